@@ -25,18 +25,13 @@ def score_groups(pred: DataFrame, keys: list[str] = KEYS) -> DataFrame:
         F.sum((1 - F.col("y")).cast("long")).alias("neg"))
 
 
-def class_totals(pred: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    return pred.groupBy(*keys).agg(F.sum(F.col("y").cast("long")).alias("P"),
-                                   F.sum((1 - F.col("y")).cast("long")).alias("N"))
-
-
 def cumulative(pred: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """(keys, p, pos, neg, tps, fps, rn, P, N) by descending score; rn = 1 for the top score."""
+    """(keys, p, pos, neg, tps, fps, rn, tot_pos, tot_neg) by descending score; rn = 1 for the top score."""
     g = score_groups(pred, keys).withColumn("one", F.lit(1))
     c = running_totals(g, keys, "p", ["pos", "neg", "one"], descending=True)
     c = c.select(*keys, "p", "pos", "neg", F.col("cum_pos").alias("tps"), F.col("cum_neg").alias("fps"),
                  F.col("cum_one").alias("rn"))
-    tot = c.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    tot = c.groupBy(*keys).agg(F.sum("pos").alias("tot_pos"), F.sum("neg").alias("tot_neg"))
     return c.join(tot, keys)
 
 
@@ -51,7 +46,7 @@ def roc_auc(pred: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     c = cumulative(pred, keys)
     return c.groupBy(*keys).agg(F.try_divide(
         F.sum(F.col("neg") * (F.col("tps") - F.col("pos") / 2.0)),
-        (F.first("P") * F.first("N")).cast("double")).alias("auc_roc"))
+        (F.first("tot_pos") * F.first("tot_neg")).cast("double")).alias("auc_roc"))
 
 
 def average_precision(pred: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -59,7 +54,7 @@ def average_precision(pred: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     c = cumulative(pred, keys)
     return c.groupBy(*keys).agg(F.try_divide(
         F.sum(F.col("pos") * F.col("tps") / (F.col("tps") + F.col("fps"))),
-        F.first("P").cast("double")).alias("average_precision"))
+        F.first("tot_pos").cast("double")).alias("average_precision"))
 
 
 def brier_score(pred: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -76,14 +71,14 @@ def roc_curve(pred: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     c = with_next(cumulative(pred, keys), keys, ["pos", "neg"])
     keep = (F.col("rn") == 1) | F.col("next_pos").isNull() | \
         (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
-    pts = c.where(keep).select(*keys, "p", "rn", "tps", "fps", "P", "N")
+    pts = c.where(keep).select(*keys, "p", "rn", "tps", "fps", "tot_pos", "tot_neg")
     origin = pts.where(F.col("rn") == 1).select(
         *keys, F.lit(float("inf")).alias("p"), F.lit(0).cast("long").alias("rn"),
-        F.lit(0).cast("long").alias("tps"), F.lit(0).cast("long").alias("fps"), "P", "N")
+        F.lit(0).cast("long").alias("tps"), F.lit(0).cast("long").alias("fps"), "tot_pos", "tot_neg")
     allp = pts.unionByName(origin)
     return allp.select(*keys, F.col("p").alias("threshold"),
-                       F.try_divide(F.col("fps").cast("double"), F.col("N").cast("double")).alias("fpr"),
-                       F.try_divide(F.col("tps").cast("double"), F.col("P").cast("double")).alias("tpr"))
+                       F.try_divide(F.col("fps").cast("double"), F.col("tot_neg").cast("double")).alias("fpr"),
+                       F.try_divide(F.col("tps").cast("double"), F.col("tot_pos").cast("double")).alias("tpr"))
 
 
 def pr_curve(pred: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -92,8 +87,8 @@ def pr_curve(pred: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     pts = c.select(*keys, F.col("p").alias("threshold"),
                    F.coalesce(F.try_divide(F.col("tps").cast("double"), (F.col("tps") + F.col("fps")).cast("double")),
                               F.lit(0.0)).alias("precision"),
-                   F.when(F.col("P") == 0, F.lit(1.0)).otherwise(
-                       F.col("tps").cast("double") / F.col("P").cast("double")).alias("recall"))
+                   F.when(F.col("tot_pos") == 0, F.lit(1.0)).otherwise(
+                       F.col("tps").cast("double") / F.col("tot_pos").cast("double")).alias("recall"))
     end = c.where(F.col("rn") == 1).select(*keys, F.lit(None).cast("double").alias("threshold"),
                                            F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
     return pts.unionByName(end)
@@ -112,7 +107,7 @@ def curve_area(pred: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     ptps = F.coalesce(F.col("ptps"), F.lit(0)).cast("double")
     pfps = F.coalesce(F.col("pfps"), F.lit(0)).cast("double")
     tps, fps = F.col("tps").cast("double"), F.col("fps").cast("double")
-    P, N = F.col("P").cast("double"), F.col("N").cast("double")
+    P, N = F.col("tot_pos").cast("double"), F.col("tot_neg").cast("double")
     # ROC: start at (0, 0).
     roc = F.try_divide((fps - pfps) * (tps + ptps) / 2.0, P * N)
     # PR: start at (recall 0, precision 1); precision at a point is tps/(tps+fps).
@@ -224,9 +219,9 @@ def model_comparison(pred: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     c = cumulative(pred, keys)
     ranked = c.groupBy(*keys).agg(
         F.try_divide(F.sum(F.col("neg") * (F.col("tps") - F.col("pos") / 2.0)),
-                     (F.first("P") * F.first("N")).cast("double")).alias("auc_roc"),
+                     (F.first("tot_pos") * F.first("tot_neg")).cast("double")).alias("auc_roc"),
         F.try_divide(F.sum(F.col("pos") * F.col("tps") / (F.col("tps") + F.col("fps"))),
-                     F.first("P").cast("double")).alias("auc_pr"))
+                     F.first("tot_pos").cast("double")).alias("auc_pr"))
     return ranked.join(brier_score(pred, keys), keys)
 
 
