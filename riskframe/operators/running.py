@@ -127,3 +127,18 @@ def quantiles_wide(long_df: DataFrame, group_cols: list[str], value_col: str, pr
     q = exact_quantiles(long_df, group_cols, value_col, [probs[n] for n in names], n_buckets)
     aggs = [F.max(F.when(F.col("prob") == F.lit(float(probs[n])), F.col("quantile"))).alias(n) for n in names]
     return q.groupBy(*group_cols).agg(*aggs) if group_cols else q.agg(*aggs)
+
+
+def top_k_per_group(df: DataFrame, group_cols: list[str], order: list, k: int, key_col: str,
+                    salt_buckets: int = 64, rank_col: str = "rank") -> DataFrame:
+    """Top ``k`` rows per group in two rounds, so no task sorts a whole group.
+
+    Round one ranks inside (group, hash(key) % salt_buckets); the true top k
+    of a group is contained in the union of those per-bucket top k.  Round
+    two ranks at most ``k * salt_buckets`` rows per group.
+    """
+    salted = df.withColumn("_salt", F.abs(F.xxhash64(F.col(key_col))) % salt_buckets)
+    w1 = Window.partitionBy(*group_cols, "_salt").orderBy(*order)
+    cand = salted.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k).drop("_r1", "_salt")
+    w2 = Window.partitionBy(*group_cols).orderBy(*order)
+    return cand.withColumn(rank_col, F.row_number().over(w2)).where(F.col(rank_col) <= k)
