@@ -95,17 +95,51 @@ def standardize(df: DataFrame, columns: list[str], fit_df: DataFrame | None = No
     return df.withColumns(out)
 
 
-def prepared(raw: DataFrame, categoricals: list[str] | None = None, levels=None) -> DataFrame:
+class PrepModel:
+    """Fitted cleaning + scaling parameters (a few numbers per column)."""
+
+    def __init__(self, medians: dict, modes: dict, scaler: dict, categoricals: list[str], scaled: list[str]):
+        self.medians, self.modes, self.scaler = medians, modes, scaler
+        self.categoricals, self.scaled = categoricals, scaled
+
+    def transform(self, raw: DataFrame) -> DataFrame:
+        """Map-only: works on batch and streaming frames alike."""
+        from .cleaning import apply_fill, drop_columns, log_transform, rename_columns
+        df = with_split(drop_columns(rename_columns(raw)))
+        df = apply_fill(df, self.medians, [c for c in config.NUMERIC_COLS if c in df.columns])
+        df = apply_fill(df, self.modes, self.categoricals)
+        df = log_transform(df).withColumns({c: F.col(c).cast("double") for c in self.scaled})
+        out = {}
+        for c in self.scaled:
+            mean, sd = self.scaler.get(f"{c}__mean"), self.scaler.get(f"{c}__std")
+            if mean is not None:
+                out[c] = (F.col(c) - F.lit(float(mean))) / F.lit(1.0 if not sd else float(sd))
+        return df.withColumns(out).select("id", "dataset", "status", *self.scaled, *self.categoricals)
+
+
+def with_split(df: DataFrame) -> DataFrame:
+    return df.withColumn("dataset", split_label(unit_hash(F.col("id"), config.SPLIT_SALT)))
+
+
+def fit_prep(raw: DataFrame, categoricals: list[str] | None = None, approx: bool = False) -> PrepModel:
+    """Fit imputers, then the scaler, on the training split of a batch raw table."""
+    from .cleaning import drop_columns, fit_medians, fit_modes, rename_columns
+    cats = config.FIXTURE_CATEGORICALS if categoricals is None else categoricals
+    df = with_split(drop_columns(rename_columns(raw)))
+    train = df.where(F.col("dataset") == "train")
+    nums = [c for c in config.NUMERIC_COLS if c in df.columns]
+    scaled = [c for c in config.SCALED_COLS if c in df.columns]
+    medians = params_of(fit_medians(train, nums, approx))
+    modes = params_of(fit_modes(train, cats))
+    cleaned = PrepModel(medians, modes, {}, cats, scaled).transform(raw)
+    scaler = params_of(fit_scaler(cleaned.where(F.col("dataset") == "train"), scaled))
+    return PrepModel(medians, modes, scaler, cats, scaled)
+
+
+def prepared(raw: DataFrame, categoricals: list[str] | None = None) -> DataFrame:
     """Model input: split, clean (fit on train), standardise (fit on train).
 
-    Keeps categoricals as strings; ``encode`` adds the one-hot block.
+    Keeps categoricals as strings; ``one_hot`` adds the encoded block.
     Columns: id, dataset, status, scaled numerics + year, categoricals.
     """
-    cats = config.FIXTURE_CATEGORICALS if categoricals is None else categoricals
-    r = raw.withColumn("dataset", split_label(unit_hash(F.col("ID"), config.SPLIT_SALT)))
-    train = F.col("dataset") == "train"
-    clean = clean_data(r, categoricals=cats, fit_filter=train)
-    scaled = [c for c in config.SCALED_COLS if c in clean.columns]
-    clean = clean.withColumns({c: F.col(c).cast("double") for c in scaled})
-    std = standardize(clean, scaled, fit_df=clean.where(train))
-    return std.select("id", "dataset", "status", *scaled, *cats)
+    return fit_prep(raw, categoricals).transform(raw)

@@ -9,7 +9,6 @@ architecture, not by the data).
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,7 +105,8 @@ def cv_grid(train: DataFrame, features: list[str], c_values=(0.01, 1.0, 100.0),
                             standardization=False, maxIter=100)
     grid = ParamGridBuilder().addGrid(lr.regParam, [1.0 / (c * n * (folds - 1) / folds) for c in c_values]).build()
     ev = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=ev, foldCol="fold", parallelism=2)
+    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=ev, foldCol="fold", numFolds=folds,
+                        parallelism=2)
     model = cv.fit(d)
     return list(c_values), [float(x) for x in model.avgMetrics], model
 
@@ -160,7 +160,3 @@ def demo_network(features: list[str]) -> list[dict]:
     b3 = np.array([-0.4])
     return [{"w": w1, "b": b1}, {"w": w2, "b": b2, "scale": scale2, "shift": shift2, "residual": True},
             {"w": w3, "b": b3}]
-
-
-def network_frame(pdf: pd.DataFrame) -> pd.DataFrame:  # pragma: no cover - helper for local checks
-    return pdf

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import q_cleaning, q_explain, q_metrics, q_profile  # noqa: F401
+from . import q_cleaning, q_explain, q_metrics, q_models, q_profile  # noqa: F401
 from .registry import CHECK, ORACLE, QUERIES  # noqa: F401
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["log_transform"](spark, sf_dir)
+    """Counterfactual flip summary: clean -> standardise -> score -> top cases -> search -> verify."""
+    return QUERIES["flip_summary"](spark, sf_dir)

@@ -23,9 +23,17 @@ def raw_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     join is orders x customer on the customer key: a shuffle join at scale,
     with AQE's skew handling for hot customers.
     """
-    o = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
-                                        "o_orderdate", "o_orderpriority"])
-    c = table(spark, sf_dir, "customer", ["c_custkey", "c_acctbal", "c_mktsegment"])
+    o = table(spark, sf_dir, "orders", ORDER_COLS)
+    c = table(spark, sf_dir, "customer", CUSTOMER_COLS)
+    return applications_from(o, c)
+
+
+ORDER_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+CUSTOMER_COLS = ["c_custkey", "c_acctbal", "c_mktsegment"]
+
+
+def applications_from(o: DataFrame, c: DataFrame) -> DataFrame:
+    """The application view from an orders frame (batch or stream) and customers (static)."""
     j = o.join(c, o.o_custkey == c.c_custkey)
 
     def u(salt: int):
