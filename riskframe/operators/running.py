@@ -29,6 +29,8 @@ def _with_group(df: DataFrame, group_cols: list[str]) -> tuple[DataFrame, list[s
 
 
 def _bucketed(df: DataFrame, group_cols: list[str], order_col: str, n_buckets: int) -> DataFrame:
+    if n_buckets <= 1:
+        return df.withColumn("_bucket", F.lit(0))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = df.groupBy(*group_cols).agg(
         F.percentile_approx(order_col, probs, SKETCH_ACCURACY).alias("_bounds"))
@@ -39,7 +41,8 @@ def _bucketed(df: DataFrame, group_cols: list[str], order_col: str, n_buckets: i
     # and keeps a shuffle join when there are very many groups.
     with_bounds = df.join(bounds, group_cols)
     return with_bounds.withColumn(
-        "_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(order_col)))).drop("_bounds")
+        "_bucket", F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(order_col))), F.lit(0))
+    ).drop("_bounds")
 
 
 def running_totals(df: DataFrame, group_cols: list[str], order_col: str, sum_cols: list[str],
