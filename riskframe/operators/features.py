@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,13 +103,17 @@ class PrepModel:
         self.medians, self.modes, self.scaler = medians, modes, scaler
         self.categoricals, self.scaled = categoricals, scaled
 
-    def transform(self, raw: DataFrame) -> DataFrame:
-        """Map-only: works on batch and streaming frames alike."""
-        from .cleaning import apply_fill, drop_columns, log_transform, rename_columns
-        df = with_split(drop_columns(rename_columns(raw)))
+    def clean(self, df: DataFrame) -> DataFrame:
+        """Impute and log-scale an already renamed frame."""
+        from .cleaning import apply_fill, log_transform
         df = apply_fill(df, self.medians, [c for c in config.NUMERIC_COLS if c in df.columns])
         df = apply_fill(df, self.modes, self.categoricals)
-        df = log_transform(df).withColumns({c: F.col(c).cast("double") for c in self.scaled})
+        return log_transform(df).withColumns({c: F.col(c).cast("double") for c in self.scaled})
+
+    def transform(self, raw: DataFrame) -> DataFrame:
+        """Map-only: works on batch and streaming frames alike."""
+        from .cleaning import drop_columns, rename_columns
+        df = self.clean(with_split(drop_columns(rename_columns(raw))))
         out = {}
         for c in self.scaled:
             mean, sd = self.scaler.get(f"{c}__mean"), self.scaler.get(f"{c}__std")
@@ -126,13 +131,19 @@ def fit_prep(raw: DataFrame, categoricals: list[str] | None = None, approx: bool
     from .cleaning import drop_columns, fit_medians, fit_modes, rename_columns
     cats = config.FIXTURE_CATEGORICALS if categoricals is None else categoricals
     df = with_split(drop_columns(rename_columns(raw)))
-    train = df.where(F.col("dataset") == "train")
     nums = [c for c in config.NUMERIC_COLS if c in df.columns]
     scaled = [c for c in config.SCALED_COLS if c in df.columns]
-    medians = params_of(fit_medians(train, nums, approx))
-    modes = params_of(fit_modes(train, cats))
-    cleaned = PrepModel(medians, modes, {}, cats, scaled).transform(raw)
-    scaler = params_of(fit_scaler(cleaned.where(F.col("dataset") == "train"), scaled))
+    # Three fits scan the training rows: read them once, as Spark ML
+    # estimators do with their input; released when fitting is done.
+    train = df.where(F.col("dataset") == "train").select(*{*nums, *scaled, *cats}).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    try:
+        medians = params_of(fit_medians(train, nums, approx))
+        modes = params_of(fit_modes(train, cats))
+        partial = PrepModel(medians, modes, {}, cats, scaled)
+        scaler = params_of(fit_scaler(partial.clean(train), scaled))
+    finally:
+        train.unpersist()
     return PrepModel(medians, modes, scaler, cats, scaled)
 
 

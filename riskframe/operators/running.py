@@ -13,6 +13,7 @@ collapse to one row before anything is shuffled by value.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,10 +42,25 @@ def _bucketed(df: DataFrame, group_cols: list[str], order_col: str, n_buckets: i
     # and keeps a shuffle join when there are very many groups.
     with_bounds = df.join(bounds, group_cols)
     return with_bounds.withColumn(
-        "_bucket", F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(order_col))), F.lit(0))
+        "_bucket", F.coalesce(_count_below(F.col("_bounds"), F.col(order_col), n_buckets - 1), F.lit(0))
     ).drop("_bounds")
 
 
+def _count_below(bounds, v, n: int, lo: int = 0, hi: int | None = None):
+    """Number of the ``n`` sorted bounds that are < v, as a binary-search CASE tree.
+
+    Uses literal array positions only, so it stays inside whole-stage codegen
+    (a ``filter`` lambda over the array would be interpreted per row) and
+    costs log2(n) comparisons per row.
+    """
+    hi = n if hi is None else hi
+    if lo >= hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(bounds[mid] < v, _count_below(bounds, v, n, mid + 1, hi)).otherwise(
+        _count_below(bounds, v, n, lo, mid))
+
+
 def running_totals(df: DataFrame, group_cols: list[str], order_col: str, sum_cols: list[str],
                    descending: bool = False, n_buckets: int = DEFAULT_BUCKETS,
                    prefix: str = "cum_") -> DataFrame:
@@ -75,17 +91,44 @@ def value_counts_long(df: DataFrame, group_cols: list[str], value_col: str) -> D
               .groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_n")))
 
 
-def exact_quantiles(long_df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
-                    n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Exact linear-interpolated quantiles per group, fully distributed.
+MAX_EXACT_BUFFER = 2_000_000
+
 
-    Returns (group..., prob, quantile).  Equals numpy's default ``percentile``
-    and SQL ``quantile_cont``.  Works by distributed selection: count distinct
-    values, running counts, then look up ranks floor/ceil(p*(n-1)).
+def exact_quantiles(long_df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
+                    n_buckets: int = DEFAULT_BUCKETS, max_exact_buffer: int | None = MAX_EXACT_BUFFER) -> DataFrame:
+    """Exact linear-interpolated quantiles per group.
+
+    Returns (group..., prob, quantile), equal to numpy's default
+    ``percentile`` and SQL ``quantile_cont``.  Spark's exact ``percentile``
+    aggregate keeps every distinct value of a group in one buffer, so it is
+    used only behind a size check: one HyperLogLog pass bounds the largest
+    group's distinct count, and above ``max_exact_buffer`` (or when
+    ``max_exact_buffer`` is None) the fully distributed selection runs
+    instead: distinct-value counts, bucketed running counts, then a lookup of
+    ranks floor/ceil(p * (n - 1)).
     """
+    if max_exact_buffer:
+        base = long_df.where(F.col(value_col).isNotNull())
+        ndv = base.groupBy(*group_cols).agg(F.approx_count_distinct(value_col, 0.05).alias("_d")) \
+            .agg(F.max("_d")).first()[0]
+        if ndv is None or ndv <= max_exact_buffer:
+            q = F.percentile(F.col(value_col), [float(p) for p in probs]).alias("_q")
+            agg = base.groupBy(*group_cols).agg(q)
+            return agg.select(*group_cols, F.explode(F.arrays_zip(
+                F.array(*[F.lit(float(p)) for p in probs]).alias("prob"), F.col("_q").alias("quantile"))).alias("z")
+            ).select(*group_cols, F.col("z.prob").alias("prob"), F.col("z.quantile").alias("quantile"))
+    return _selected_quantiles(long_df, group_cols, value_col, probs, n_buckets)
+
+
+def _selected_quantiles(long_df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
+                        n_buckets: int) -> DataFrame:
     out_groups = list(group_cols)
     long_df, group_cols = _with_group(long_df, group_cols)
-    counts = value_counts_long(long_df, group_cols, value_col)
+    # The distinct-value counts feed four branches (bounds, bucket totals,
+    # running window, group totals); keep them instead of recomputing the
+    # input for each.  They hold one row per distinct value, spill to disk if
+    # needed, and are rebuilt from lineage if an executor is lost.
+    counts = value_counts_long(long_df, group_cols, value_col).persist(StorageLevel.MEMORY_AND_DISK)
     cum = running_totals(counts, group_cols, value_col, ["_n"], n_buckets=n_buckets)
     cum = cum.withColumn("_lo_rank", F.col("cum__n") - F.col("_n"))
     totals = counts.groupBy(*group_cols).agg(F.sum("_n").alias("_total"))
@@ -115,7 +158,8 @@ def exact_quantiles(long_df: DataFrame, group_cols: list[str], value_col: str, p
 
 
 def quantiles_wide(long_df: DataFrame, group_cols: list[str], value_col: str, probs: dict[str, float],
-                   approx: bool = False, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                   approx: bool = False, n_buckets: int = DEFAULT_BUCKETS,
+                   max_exact_buffer: int | None = MAX_EXACT_BUFFER) -> DataFrame:
     """One row per group with one column per named probability.
 
     ``approx=True`` uses the bounded ``percentile_approx`` sketch (one pass);
@@ -127,7 +171,7 @@ def quantiles_wide(long_df: DataFrame, group_cols: list[str], value_col: str, pr
         base = long_df.where(F.col(value_col).isNotNull())
         res = base.groupBy(*group_cols).agg(agg) if group_cols else base.agg(agg)
         return res.select(*group_cols, *[F.col("_q")[i].cast("double").alias(n) for i, n in enumerate(names)])
-    q = exact_quantiles(long_df, group_cols, value_col, [probs[n] for n in names], n_buckets)
+    q = exact_quantiles(long_df, group_cols, value_col, [probs[n] for n in names], n_buckets, max_exact_buffer)
     aggs = [F.max(F.when(F.col("prob") == F.lit(float(probs[n])), F.col("quantile"))).alias(n) for n in names]
     return q.groupBy(*group_cols).agg(*aggs) if group_cols else q.agg(*aggs)
 

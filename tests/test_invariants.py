@@ -15,14 +15,22 @@ def test_exact_quantiles_match_numpy(spark):
     vals = np.concatenate([rng.normal(size=500), np.repeat(3.0, 200), rng.integers(0, 5, 300).astype(float)])
     df = spark.createDataFrame([(("g%d" % (i % 3)), float(v)) for i, v in enumerate(vals)], "g string, v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    for n_buckets in (1, 7, 256):
-        got = {(r.g, r.prob): r.quantile for r in exact_quantiles(df, ["g"], "v", probs, n_buckets).collect()}
+    for n_buckets, limit in ((1, None), (7, None), (256, None), (256, 10 ** 6)):
+        # limit None forces the distributed selection; a limit allows the checked buffer path
+        got = {(r.g, r.prob): r.quantile for r in exact_quantiles(df, ["g"], "v", probs, n_buckets, limit).collect()}
         for gi in range(3):
             x = vals[np.arange(len(vals)) % 3 == gi]
             for p in probs:
                 assert got[("g%d" % gi, p)] == pytest.approx(np.percentile(x, p * 100), rel=1e-12, abs=1e-12)
 
 
+def test_global_quantile_without_groups(spark):
+    df = spark.createDataFrame([(float(x),) for x in [5, 1, 4, 2, 3, 3]], "v double")
+    for limit in (None, 100):
+        got = {r.prob: r.quantile for r in exact_quantiles(df, [], "v", [0.25, 0.5, 0.9], 4, limit).collect()}
+        assert got == {0.25: 2.25, 0.5: 3.0, 0.9: 4.5}
+
+
 def test_running_totals_equal_plain_cumsum(spark):
     rng = np.random.default_rng(3)
     rows = [("a" if i % 2 else "b", float(i), int(rng.integers(0, 10))) for i in range(400)]
