@@ -128,7 +128,7 @@ def with_split(df: DataFrame) -> DataFrame:
 
 def fit_prep(raw: DataFrame, categoricals: list[str] | None = None, approx: bool = False) -> PrepModel:
     """Fit imputers, then the scaler, on the training split of a batch raw table."""
-    from .cleaning import drop_columns, fit_medians, fit_modes, rename_columns
+    from .cleaning import drop_columns, fit_imputers, rename_columns
     cats = config.FIXTURE_CATEGORICALS if categoricals is None else categoricals
     df = with_split(drop_columns(rename_columns(raw)))
     nums = [c for c in config.NUMERIC_COLS if c in df.columns]
@@ -138,8 +138,7 @@ def fit_prep(raw: DataFrame, categoricals: list[str] | None = None, approx: bool
     train = df.where(F.col("dataset") == "train").select(*{*nums, *scaled, *cats}).persist(
         StorageLevel.MEMORY_AND_DISK)
     try:
-        medians = params_of(fit_medians(train, nums, approx))
-        modes = params_of(fit_modes(train, cats))
+        medians, modes = fit_imputers(train, nums, cats, approx)
         partial = PrepModel(medians, modes, {}, cats, scaled)
         scaler = params_of(fit_scaler(partial.clean(train), scaled))
     finally:

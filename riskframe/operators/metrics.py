@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
+from ..session import cut_lineage
 from .running import running_totals
 
 KEYS = ["model", "dataset"]
@@ -32,7 +33,8 @@ def cumulative(pred: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     c = c.select(*keys, "p", "pos", "neg", F.col("cum_pos").alias("tps"), F.col("cum_neg").alias("fps"),
                  F.col("cum_one").alias("rn"))
     tot = c.groupBy(*keys).agg(F.sum("pos").alias("tot_pos"), F.sum("neg").alias("tot_neg"))
-    return c.join(tot, keys)
+    # Used by several branches downstream (next/previous point, origin rows).
+    return cut_lineage(c.join(tot, keys))
 
 
 def with_next(c: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:

@@ -13,10 +13,11 @@ collapse to one row before anything is shuffled by value.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 DEFAULT_BUCKETS = 256
 SKETCH_ACCURACY = 10000
 _ONE = "_one_group"
@@ -63,11 +64,16 @@ def _count_below(bounds, v, n: int, lo: int = 0, hi: int | None = None):
 
 def running_totals(df: DataFrame, group_cols: list[str], order_col: str, sum_cols: list[str],
                    descending: bool = False, n_buckets: int = DEFAULT_BUCKETS,
-                   prefix: str = "cum_") -> DataFrame:
+                   prefix: str = "cum_", materialize: bool = True) -> DataFrame:
     """Adds ``prefix+c``: inclusive running sum of each ``c`` along ``order_col``.
 
-    ``order_col`` must be unique within each group and non-null.
+    ``order_col`` must be unique within each group and non-null.  The input
+    feeds three branches (bounds, bucket totals, window); with
+    ``materialize`` it is checkpointed once to the shared checkpoint folder,
+    which also cuts the lineage a lost executor would have to replay.
     """
+    if materialize:
+        df = cut_lineage(df)
     cols = df.columns
     df, group_cols = _with_group(df, group_cols)
     b = _bucketed(df, group_cols, order_col, n_buckets)
@@ -125,11 +131,10 @@ def _selected_quantiles(long_df: DataFrame, group_cols: list[str], value_col: st
     out_groups = list(group_cols)
     long_df, group_cols = _with_group(long_df, group_cols)
     # The distinct-value counts feed four branches (bounds, bucket totals,
-    # running window, group totals); keep them instead of recomputing the
-    # input for each.  They hold one row per distinct value, spill to disk if
-    # needed, and are rebuilt from lineage if an executor is lost.
-    counts = value_counts_long(long_df, group_cols, value_col).persist(StorageLevel.MEMORY_AND_DISK)
-    cum = running_totals(counts, group_cols, value_col, ["_n"], n_buckets=n_buckets)
+    # running window, group totals): checkpoint them once (one row per
+    # distinct value) instead of recomputing the input for each.
+    counts = cut_lineage(value_counts_long(long_df, group_cols, value_col))
+    cum = running_totals(counts, group_cols, value_col, ["_n"], n_buckets=n_buckets, materialize=False)
     cum = cum.withColumn("_lo_rank", F.col("cum__n") - F.col("_n"))
     totals = counts.groupBy(*group_cols).agg(F.sum("_n").alias("_total"))
     # Target ranks: (#groups x #probs x 2) rows.

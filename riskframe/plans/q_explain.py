@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions.hashing import unit_hash_sql
 from ..operators import counterfactual as cf
-from ..operators import explain, features
+from ..operators import explain, features, models
+from ..session import cut_lineage
 from . import common
+from . import q_metrics  # noqa: F401  (registers the "scored" view used below)
 from .q_cleaning import FIXTURE_LEVELS
-from .q_metrics import scored
 from .registry import query
 from .sql_views import dbl, register, with_views
 
@@ -163,14 +164,18 @@ def _prepared(spark, sf):
     return features.prepared(common.raw(spark, sf))
 
 
+def _cases_from(p):
+    return cf.high_risk_cases(models.score_linear(p).where(F.col("dataset") == "test"))
+
+
 def _cases(spark, sf):
-    s = scored(spark, sf).where(F.col("dataset") == "test")
-    return cf.high_risk_cases(s)
+    return _cases_from(_prepared(spark, sf))
 
 
 def _cf_parts(spark, sf):
-    p = _prepared(spark, sf)
-    cases = _cases(spark, sf)
+    # The prepared table feeds the case search, the ranges and the case rows.
+    p = cut_lineage(_prepared(spark, sf))
+    cases = cut_lineage(_cases_from(p))
     case_feats = p.join(cases.select(F.col("test_index").alias("id")), "id", "left_semi")
     ranges = cf.fetch_ranges(cf.feature_ranges(p.where(F.col("dataset") == "train")))
     cfs = cf.generate(case_feats, ranges)

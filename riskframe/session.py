@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at scale; every one is a public Spark configuration.
@@ -49,6 +50,9 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     local runs) a fallback is used and installed, so later ``checkpoint()``
     calls work.  On a cluster the setting names shared storage.
     """
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
@@ -59,7 +63,17 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never local)."""
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared checkpoint folder (never a local one).
+
+    The input is persisted while the checkpoint is written so that it is
+    computed once (a bare checkpoint computes it twice), then released; the
+    returned frame reads the checkpoint files, so later stages and retries
+    after a lost executor do not replay the upstream plan.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
