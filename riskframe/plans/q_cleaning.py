@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions.hashing import unit_hash_sql
 from ..operators import cleaning, features
 from . import common
 from .registry import query
@@ -100,8 +101,7 @@ FROM (SELECT id, status,
 """
 
 
-@query("stratified_split", with_views(_STRAT.format(u=__import__(
-    "riskframe.functions.hashing", fromlist=["unit_hash_sql"]).unit_hash_sql("id", config.SPLIT_SALT)), "renamed"))
+@query("stratified_split", with_views(_STRAT.format(u=unit_hash_sql("id", config.SPLIT_SALT)), "renamed"))
 def stratified_split(spark, sf):
     """H3 stratified: each class split 80/10/10 by its own hash order."""
     d = cleaning.rename_columns(common.raw(spark, sf)).select("id", "status")
