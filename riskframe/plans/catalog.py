@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_cleaning, q_explain, q_metrics, q_models, q_profile  # noqa: F401
+from . import q_cleaning, q_explain, q_metrics, q_models, q_neighbors, q_profile  # noqa: F401
 from .registry import CHECK, ORACLE, QUERIES  # noqa: F401
 
 
