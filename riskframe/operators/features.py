@@ -61,11 +61,14 @@ def one_hot(df: DataFrame, columns: list[str], fit_df: DataFrame | None = None,
     (at most ``MAX_LEVELS`` per column), never row data.
     """
     if levels is None:
-        row = fit_levels(fit_df if fit_df is not None else df, columns).first()
+        src = fit_df if fit_df is not None else df
+        # collect_set buffers every level: bound the distinct counts first (HyperLogLog).
+        ndv = src.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in columns]).first().asDict()
+        wide = [c for c in columns if (ndv[c] or 0) > MAX_LEVELS]
+        if wide:
+            raise ValueError(f"{wide}: more than {MAX_LEVELS} levels; not categorical columns")
+        row = fit_levels(src, columns).first()
         levels = {c: list(row[c] or []) for c in columns}
-        for c, lv in levels.items():
-            if len(lv) > MAX_LEVELS:
-                raise ValueError(f"{c}: {len(lv)} levels exceed {MAX_LEVELS}; not a categorical")
     keep = [c for c in df.columns if c not in columns] if keep is None else keep
     encoded = [F.when(F.col(c) == F.lit(v), F.lit(1.0)).otherwise(F.lit(0.0)).alias(f"{c}_{v}")
                for c in columns for v in levels[c]]

@@ -121,3 +121,45 @@ def test_top_k_two_rounds_equals_plain_sort(spark):
         sub = sorted((x for x in rows if x[0] == g), key=lambda x: (-x[2], x[1]))[:7]
         want += [(g, i + 1, x[1]) for i, x in enumerate(sub)]
     assert got == sorted(want)
+
+
+def _brute_knn(pts, k):
+    import math as _m
+    out = {}
+    for i, (a, xa) in enumerate(pts):
+        d = sorted((_m.sqrt(sum((p - q) ** 2 for p, q in zip(xa, xb))), b) for b, xb in pts if b != a)
+        out[a] = [b for _, b in d[:k]]
+    return out
+
+
+def test_grid_knn_is_exact(spark):
+    from riskframe.operators import neighbors
+    rng = np.random.default_rng(11)
+    xs = np.concatenate([rng.normal(0, 1, (150, 2)), rng.normal(0, 0.01, (60, 2)) + 3.0, [[40.0, -40.0]]])
+    xs = np.round(xs, 3)
+    pts = [(i + 1, tuple(float(v) for v in x)) for i, x in enumerate(xs)]
+    df = spark.createDataFrame([(i, x[0], x[1]) for i, x in pts], "id long, a double, b double")
+    want = _brute_knn(pts, 4)
+    for max_cell in (10, 20000):  # a tiny limit forces refinement of the dense spot
+        got = {}
+        for r in neighbors.knn(df, ["a", "b"], 4, max_cell=max_cell).collect():
+            got.setdefault(r.id, []).append((r.rank, r.neighbor_id))
+        got = {i: [n for _, n in sorted(v)] for i, v in got.items()}
+        assert got == want  # including the far outlier, resolved in a later round
+
+
+def test_smote_balances_exactly(spark):
+    from riskframe.operators import neighbors
+    rng = np.random.default_rng(5)
+    xs = rng.normal(size=(37, 2))
+    df = spark.createDataFrame([(i + 1, float(x[0]), float(x[1])) for i, x in enumerate(xs)], "id long, a double, b double")
+    syn = neighbors.smote(df, ["a", "b"], n_majority=100, k=3)
+    rows = syn.collect()
+    assert len(rows) == 100 - 37
+    per_base = {}
+    for r in rows:
+        per_base[r.base_id] = per_base.get(r.base_id, 0) + 1
+        assert 0.0 <= r.step < 1.0
+    assert set(per_base.values()) <= {1, 2}  # q = 1, remainder spread one each
+    nb = {(r.id, r.neighbor_id) for r in neighbors.knn(df, ["a", "b"], 3).collect()}
+    assert all((r.base_id, r.neighbor_id) in nb for r in rows)
