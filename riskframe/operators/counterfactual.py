@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.hashing import unit_hash
-from .cleaning import params_of
 from .models import linear_logit, sigmoid
 
 
@@ -44,9 +43,25 @@ def feature_ranges(train: DataFrame, features: list[str] = config.MUTABLE_FEATUR
         for f in features])).alias("r")).select("r.*")
 
 
-def fetch_ranges(ranges: DataFrame) -> dict[str, tuple[float, float]]:
-    """The range table is one row per mutable feature: a bounded parameter set."""
-    return {r["feature"]: (r["min"], r["max"]) for r in ranges.collect()}
+def fetch_ranges(ranges: DataFrame, permitted: dict[str, tuple[float | None, float | None]] | None = None
+                 ) -> dict[str, tuple[float, float]]:
+    """The range table is one row per mutable feature: a bounded parameter set.
+
+    ``permitted`` narrows a feature's range to user bounds (either side may
+    be None); the result stays inside the training range so generated values
+    remain realistic.  A bound pair that leaves no room raises ValueError.
+    """
+    out = {r["feature"]: (r["min"], r["max"]) for r in ranges.collect()}
+    for f, (lo, hi) in (permitted or {}).items():
+        if f not in out:
+            raise KeyError(f"{f} is not a mutable feature")
+        tlo, thi = out[f]
+        nlo = tlo if lo is None else max(tlo, lo)
+        nhi = thi if hi is None else min(thi, hi)
+        if nlo > nhi:
+            raise ValueError(f"{f}: permitted range [{lo}, {hi}] does not meet the training range")
+        out[f] = (nlo, nhi)
+    return out
 
 
 def candidate_level(k, n_candidates: int, n_features: int):

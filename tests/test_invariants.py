@@ -163,3 +163,20 @@ def test_smote_balances_exactly(spark):
     assert set(per_base.values()) <= {1, 2}  # q = 1, remainder spread one each
     nb = {(r.id, r.neighbor_id) for r in neighbors.knn(df, ["a", "b"], 3).collect()}
     assert all((r.base_id, r.neighbor_id) in nb for r in rows)
+
+
+def test_permitted_ranges_bound_generated_values(spark, sf_small):
+    from riskframe.operators import models
+    raw = tables.raw_applications(spark, sf_small)
+    p = features.fit_prep(raw).transform(raw)
+    ranges = counterfactual.feature_ranges(p.where("dataset = 'train'"))
+    bounds = counterfactual.fetch_ranges(ranges, {"loan_amount": (-0.5, 0.5), "income": (None, 0.0)})
+    assert bounds["loan_amount"] == (-0.5, 0.5) and bounds["income"][1] == 0.0
+    s = models.score_linear(p, keep=["id", "dataset", "status"])
+    cases = counterfactual.high_risk_cases(s, n_cases=None)
+    feats = p.join(cases.select(F.col("test_index").alias("id")), "id", "left_semi")
+    d = counterfactual.deltas(feats, counterfactual.generate(feats, bounds)).collect()
+    assert all(-0.5 <= r.counterfactual <= 0.5 for r in d if r.feature == "loan_amount")
+    assert all(r.counterfactual <= 0.0 for r in d if r.feature == "income")
+    with pytest.raises(ValueError):
+        counterfactual.fetch_ranges(ranges, {"ltv": (1e9, None)})
