@@ -98,13 +98,19 @@ def generate(cases: DataFrame, ranges: dict[str, tuple[float, float]], mutable:
         changed.append(F.col(f"_ch_{f}"))
         dist.append(F.try_divide(F.abs(F.col(f) - F.col(f"orig_{f}")), F.lit(span)) if span else F.lit(0.0))
     c = c.withColumns(cols)
-    c = c.withColumn("n_changed", sum(changed)).where(F.col("n_changed") > 0)
+    c = c.withColumn("n_changed", sum(changed))
     c = c.withColumn("distance", sum(F.coalesce(d, F.lit(0.0)) for d in dist))
     c = c.withColumn("predicted_proba", sigmoid(linear_logit(coefficients, intercept)))
     pred = (F.col("predicted_proba") >= F.lit(config.DECISION_THRESHOLD)).cast("int")
-    c = c.where(pred == F.lit(desired_class))
-    w = Window.partitionBy("case_id").orderBy("n_changed", "distance", "candidate")
-    c = c.withColumn("cf_no", F.row_number().over(w)).where(F.col("cf_no") <= total_cfs)
+    # Unusable candidates (nothing changed, or still the original class) sort
+    # after every usable one, so one filter after the window keeps the best
+    # usable ones.  Filtering before the window gives the same rows, but the
+    # optimizer then spends seconds propagating constraints through the
+    # hash-heavy projections.
+    bad = (~((F.col("n_changed") > 0) & (pred == F.lit(desired_class)))).cast("int")
+    c = c.withColumn("_bad", bad)
+    w = Window.partitionBy("case_id").orderBy("_bad", "n_changed", "distance", "candidate")
+    c = c.withColumn("cf_no", F.row_number().over(w)).where((F.col("cf_no") <= total_cfs) & (F.col("_bad") == 0))
     return c.select("case_id", "cf_no", "candidate", "n_changed", "distance", "predicted_proba", *mutable)
 
 
