@@ -1,6 +1,6 @@
 """Exact k-nearest neighbours and SMOTE oversampling without enumerating all pairs.
 
-kNN runs on a grid whose cell size is set from the data's density.  In round
+kNN runs on a grid whose cell size is set from the measured cell occupancy.  In round
 t (cell size s * 2^t) every still-unresolved query point is copied into the
 3^d cells around its own and equi-joined with the points of those cells.  A
 point outside that block is farther than one cell width, so when a query's
@@ -28,6 +28,7 @@ from ..session import cut_lineage
 from .running import running_totals
 
 MAX_CELL = 20000
+TARGET_OCCUPANCY = 4.0
 MAX_ROUNDS = 40
 # Multipliers tried (in this order) for the allocation permutation.
 PERMUTATION_MULTIPLIERS = [7919, 7907, 7901, 7883, 7877, 7873]
@@ -57,11 +58,16 @@ def knn(points: DataFrame, feats: list[str], k: int = 5, id_col: str = "id",
     spans = [max(st[f"mx_{f}"] - st[f"mn_{f}"], 0.0) for f in feats]
     widest = max(spans) or 1.0
     vol = math.prod(x if x > 0 else widest for x in spans)
-    size = (vol * 2 * k / n) ** (1.0 / d) or widest
-    for _ in range(8):  # refine until no cell is a hot spot
+    # Start from ~2 points per cell as if the box were uniformly filled.
+    size = (vol * 2.0 / n) ** (1.0 / d) or widest
+    # Refine on measured occupancy, not the bounding box: clustered data
+    # leaves most of the box empty.  sum(c^2)/n is the size of the cell an
+    # average point sits in; the candidates per query are ~3^d times that.
+    for _ in range(16):
         cells = _cells(pts, feats, mins, size, "p_")
-        biggest = cells.groupBy(*[f"p_c{i}" for i in range(d)]).count().agg(F.max("count")).first()[0]
-        if biggest <= max_cell:
+        occ = cells.groupBy(*[f"p_c{i}" for i in range(d)]).count().agg(
+            F.max("count").alias("mx"), F.sum(F.col("count") * F.col("count")).alias("sq")).first()
+        if occ["mx"] <= max_cell and occ["sq"] / n <= TARGET_OCCUPANCY:
             break
         size /= 2.0
     offsets = list(itertools.product((-1, 0, 1), repeat=d))
