@@ -28,7 +28,8 @@ from ..session import cut_lineage
 from .running import running_totals
 
 MAX_CELL = 20000
-TARGET_OCCUPANCY = 4.0
+TARGET_OCCUPANCY = 8.0
+GROWTH = 2  # cell width factor between rounds
 MAX_ROUNDS = 40
 # Multipliers tried (in this order) for the allocation permutation.
 PERMUTATION_MULTIPLIERS = [7919, 7907, 7901, 7883, 7877, 7873]
@@ -75,7 +76,7 @@ def knn(points: DataFrame, feats: list[str], k: int = 5, id_col: str = "id",
     pending = pts.select(F.col("p_id").alias("q_id"), *[F.col(f"p_{f}").alias(f"q_{f}") for f in feats])
     done = []
     for t in range(MAX_ROUNDS):
-        s = size * (2 ** t)
+        s = size * (GROWTH ** t)
         data = _cells(pts, feats, mins, s, "p_")
         q = _cells(pending, feats, mins, s, "q_")
         q = q.select("q_id", *[f"q_{f}" for f in feats], F.explode(F.array(*[
