@@ -34,3 +34,18 @@ def test_entry_smoke(spark):
     assert [f.name for f in df.schema.fields] == ["case_index", "original_proba", "original_pred",
                                                   "num_counterfactuals", "num_flipped", "flip_rate"]
     assert len(rows) >= 0
+
+
+@pytest.mark.parametrize("key", ["roc_curve", "describe_numeric", "stratified_split", "top_categories",
+                                 "counterfactuals", "knn_minority", "impute_median"])
+def test_same_result_with_1_and_16_partitions(spark, sf_small, key):
+    from riskframe.plans.verify import normalized
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        res = []
+        for n in ("1", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            res.append(normalized(entry.queries()[key](spark, sf_small).toPandas()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert res[0] == res[1]
