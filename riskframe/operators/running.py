@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-DEFAULT_BUCKETS = 256
+ROWS_PER_BUCKET = 1_000_000
+MAX_BUCKETS = 1024
 SKETCH_ACCURACY = 10000
 _ONE = "_one_group"
 
@@ -63,7 +64,7 @@ def _count_below(bounds, v, n: int, lo: int = 0, hi: int | None = None):
 
 
 def running_totals(df: DataFrame, group_cols: list[str], order_col: str, sum_cols: list[str],
-                   descending: bool = False, n_buckets: int = DEFAULT_BUCKETS,
+                   descending: bool = False, n_buckets: int | None = None,
                    prefix: str = "cum_", materialize: bool = True) -> DataFrame:
     """Adds ``prefix+c``: inclusive running sum of each ``c`` along ``order_col``.
 
@@ -74,6 +75,10 @@ def running_totals(df: DataFrame, group_cols: list[str], order_col: str, sum_col
     """
     if materialize:
         df = cut_lineage(df)
+    if n_buckets is None:
+        # Size the buckets from the (already materialised, cheap to count)
+        # input: about ROWS_PER_BUCKET rows per window task.
+        n_buckets = max(1, min(MAX_BUCKETS, -(-df.count() // ROWS_PER_BUCKET)))
     cols = df.columns
     df, group_cols = _with_group(df, group_cols)
     b = _bucketed(df, group_cols, order_col, n_buckets)
@@ -101,7 +106,7 @@ MAX_EXACT_BUFFER = 2_000_000
 
 
 def exact_quantiles(long_df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
-                    n_buckets: int = DEFAULT_BUCKETS, max_exact_buffer: int | None = MAX_EXACT_BUFFER) -> DataFrame:
+                    n_buckets: int | None = None, max_exact_buffer: int | None = MAX_EXACT_BUFFER) -> DataFrame:
     """Exact linear-interpolated quantiles per group.
 
     Returns (group..., prob, quantile), equal to numpy's default
@@ -127,7 +132,7 @@ def exact_quantiles(long_df: DataFrame, group_cols: list[str], value_col: str, p
 
 
 def _selected_quantiles(long_df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
-                        n_buckets: int) -> DataFrame:
+                        n_buckets: int | None) -> DataFrame:
     out_groups = list(group_cols)
     long_df, group_cols = _with_group(long_df, group_cols)
     # The distinct-value counts feed four branches (bounds, bucket totals,
@@ -163,7 +168,7 @@ def _selected_quantiles(long_df: DataFrame, group_cols: list[str], value_col: st
 
 
 def quantiles_wide(long_df: DataFrame, group_cols: list[str], value_col: str, probs: dict[str, float],
-                   approx: bool = False, n_buckets: int = DEFAULT_BUCKETS,
+                   approx: bool = False, n_buckets: int | None = None,
                    max_exact_buffer: int | None = MAX_EXACT_BUFFER) -> DataFrame:
     """One row per group with one column per named probability.
 
