@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .. import config
 from .running import quantiles_wide
 
+LOG_COLS_DEFAULT = config.LOG_TRANSFORM_COLS
+
 
 def rename_columns(df: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
     """Rename by map; keys that are not columns are ignored."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -141,14 +143,65 @@ def fit_prep(raw: DataFrame, categoricals: list[str] | None = None, approx: bool
     train = df.where(F.col("dataset") == "train").select(*{*nums, *scaled, *cats}).persist(
         StorageLevel.MEMORY_AND_DISK)
     try:
-        medians, modes = fit_imputers(train, nums, cats, approx)
-        partial = PrepModel(medians, modes, {}, cats, scaled)
-        scaler = params_of(fit_scaler(partial.clean(train), scaled))
+        fused = None if approx else _fit_fused(train, nums, cats, scaled)
+        if fused is not None:
+            medians, modes, scaler = fused
+        else:
+            medians, modes = fit_imputers(train, nums, cats, approx)
+            partial = PrepModel(medians, modes, {}, cats, scaled)
+            scaler = params_of(fit_scaler(partial.clean(train), scaled))
     finally:
         train.unpersist()
     return PrepModel(medians, modes, scaler, cats, scaled)
 
 
+def _fit_fused(train: DataFrame, nums: list[str], cats: list[str], scaled: list[str]):
+    """Medians, modes and the scaler in one aggregate, when the buffers are provably small.
+
+    The scaler needs moments of the imputed, log-scaled column.  Those follow
+    from the moments of the non-null values plus n0 copies of the fill value
+    f(median), combined with the pairwise (Chan et al.) update, which stays
+    numerically stable.  Returns None when a distinct count exceeds the
+    buffer bound; the caller then uses the distributed fits.
+    """
+    from .cleaning import LOG_COLS_DEFAULT
+    from .running import MAX_EXACT_BUFFER
+    cols = [*nums, *cats]
+    ndv = train.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in cols]).first().asDict() if cols else {}
+    if any((ndv[c] or 0) > MAX_EXACT_BUFFER for c in cols):
+        return None
+
+    def f(c):
+        x = F.col(c).cast("double")
+        return F.log1p(x) if c in LOG_COLS_DEFAULT else x
+
+    row = train.agg(F.count(F.lit(1)).alias("_n"),
+                    *[F.percentile(F.col(c).cast("double"), 0.5).alias(f"m_{c}") for c in nums],
+                    *[F.mode(c, True).alias(f"o_{c}") for c in cats],
+                    *[a for c in scaled for a in (F.count(f(c)).alias(f"n1_{c}"), F.avg(f(c)).alias(f"a_{c}"),
+                                                  F.var_pop(f(c)).alias(f"v_{c}"))]).first()
+    medians = {c: row[f"m_{c}"] for c in nums}
+    modes = {c: row[f"o_{c}"] for c in cats}
+    n = row["_n"]
+    scaler = {}
+    for c in scaled:
+        n1, mean1, var1 = row[f"n1_{c}"], row[f"a_{c}"], row[f"v_{c}"]
+        fill = medians.get(c)
+        fill = (math.log1p(fill) if c in LOG_COLS_DEFAULT else fill) if fill is not None else None
+        n0 = n - n1 if fill is not None else 0
+        if n1 == 0:
+            mean, var = fill, (0.0 if fill is not None else None)
+        elif n0 == 0:
+            mean, var = mean1, var1
+        else:
+            delta = fill - mean1
+            mean = mean1 + delta * n0 / n
+            var = (var1 * n1 + delta * delta * n1 * n0 / n) / n
+        scaler[f"{c}__mean"] = mean
+        scaler[f"{c}__std"] = math.sqrt(var) if var is not None else None
+    return medians, modes, scaler
+
+
 def prepared(raw: DataFrame, categoricals: list[str] | None = None) -> DataFrame:
     """Model input: split, clean (fit on train), standardise (fit on train).
 
