@@ -17,8 +17,14 @@ SALT_MULTIPLIER = 1234567891
 
 
 def unit_hash(key: Column | str, salt: int) -> Column:
-    """u in [0, 1) from a BIGINT key and an integer salt."""
-    k = (F.col(key) if isinstance(key, str) else key).cast("bigint")
+    """u in [0, 1) from a BIGINT key and an integer salt.
+
+    A column name is spelled as one SQL expression (one driver call instead
+    of a dozen); the arithmetic and result are the same either way.
+    """
+    if isinstance(key, str):
+        return F.expr(unit_hash_sql(f"`{key}`", salt))
+    k = key.cast("bigint")
     x = ((k + F.lit(1)) * F.lit(KEY_MULTIPLIER) + F.lit(int(salt) * SALT_MULTIPLIER)) % F.lit(MODULUS)
     h = (x * x) % F.lit(MODULUS)
     return h.cast("double") / F.lit(float(MODULUS))

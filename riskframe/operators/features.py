@@ -24,7 +24,7 @@ def split_label(u, bounds=config.SPLIT_BOUNDS):
 def hash_split(df: DataFrame, key: str = config.ID_COL, salt: int = config.SPLIT_SALT,
                bounds=config.SPLIT_BOUNDS, out: str = "dataset") -> DataFrame:
     """80/10/10 split from a keyed hash: independent of partitioning and reruns."""
-    return df.withColumn(out, split_label(unit_hash(F.col(key), salt), bounds))
+    return df.withColumn(out, split_label(unit_hash(key, salt), bounds))
 
 
 def stratified_split(df: DataFrame, label: str = config.TARGET_COL, key: str = config.ID_COL,
@@ -36,7 +36,7 @@ def stratified_split(df: DataFrame, label: str = config.TARGET_COL, key: str = c
     class.  The global per-class order runs through bucketed running counts,
     so no class is sorted in a single task.
     """
-    h = df.select(key, label, unit_hash(F.col(key), salt).alias("_u"))
+    h = df.select(key, label, unit_hash(key, salt).alias("_u"))
     counts = h.groupBy(label, "_u").agg(F.count(F.lit(1)).alias("_n"))
     cum = running_totals(counts, [label], "_u", ["_n"])
     totals = counts.groupBy(label).agg(F.sum("_n").alias("_total"))
@@ -128,7 +128,7 @@ class PrepModel:
 
 
 def with_split(df: DataFrame) -> DataFrame:
-    return df.withColumn("dataset", split_label(unit_hash(F.col("id"), config.SPLIT_SALT)))
+    return df.withColumn("dataset", split_label(unit_hash("id", config.SPLIT_SALT)))
 
 
 def fit_prep(raw: DataFrame, categoricals: list[str] | None = None, approx: bool = False) -> PrepModel:

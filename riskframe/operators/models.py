@@ -100,7 +100,7 @@ def cv_grid(train: DataFrame, features: list[str], c_values=(0.01, 1.0, 100.0),
     from ..functions.hashing import unit_hash
     n = train.count()
     d = assemble(train, features).withColumn(label, F.col(label).cast("double")).withColumn(
-        "fold", F.least(F.floor(unit_hash(F.col("id"), fold_salt) * folds), F.lit(folds - 1)).cast("int"))
+        "fold", F.least(F.floor(unit_hash("id", fold_salt) * folds), F.lit(folds - 1)).cast("int"))
     lr = LogisticRegression(featuresCol="features", labelCol=label, elasticNetParam=0.0,
                             standardization=False, maxIter=100)
     grid = ParamGridBuilder().addGrid(lr.regParam, [1.0 / (c * n * (folds - 1) / folds) for c in c_values]).build()

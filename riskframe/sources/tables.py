@@ -37,7 +37,7 @@ def applications_from(o: DataFrame, c: DataFrame) -> DataFrame:
     j = o.join(c, o.o_custkey == c.c_custkey)
 
     def u(salt: int):
-        return unit_hash(F.col("o_orderkey"), salt)
+        return unit_hash("o_orderkey", salt)
 
     price = F.col("o_totalprice").cast("double")
     null_d = F.lit(None).cast("double")
@@ -73,7 +73,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = raw_applications(spark, sf_dir).select("ID", "Status", "dtir1")
 
     def v(salt: int):
-        return unit_hash(F.col("ID"), salt)
+        return unit_hash("ID", salt)
 
     d = F.coalesce(F.col("dtir1"), F.lit(33.0))
     return r.select(
