@@ -104,9 +104,19 @@ def standardize(df: DataFrame, columns: list[str], fit_df: DataFrame | None = No
 class PrepModel:
     """Fitted cleaning + scaling parameters (a few numbers per column)."""
 
-    def __init__(self, medians: dict, modes: dict, scaler: dict, categoricals: list[str], scaled: list[str]):
+    def __init__(self, medians: dict, modes: dict, scaler: dict, categoricals: list[str], scaled: list[str],
+                 levels: dict[str, list[str]] | None = None):
         self.medians, self.modes, self.scaler = medians, modes, scaler
         self.categoricals, self.scaled = categoricals, scaled
+        # Training levels of the categoricals (one-hot vocabulary) when the
+        # fit could collect them in the same pass; None means fit them apart.
+        self.levels = levels
+
+    def encode(self, prepared_df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
+        """One-hot block on a transformed frame, levels from the training rows."""
+        known = self.levels if self.levels is not None and all(c in self.levels for c in columns) else None
+        return one_hot(prepared_df, columns, fit_df=prepared_df.where(F.col("dataset") == "train"),
+                       levels=known, keep=keep)
 
     def clean(self, df: DataFrame) -> DataFrame:
         """Impute and log-scale an already renamed frame."""
@@ -144,15 +154,16 @@ def fit_prep(raw: DataFrame, categoricals: list[str] | None = None, approx: bool
         StorageLevel.MEMORY_AND_DISK)
     try:
         fused = None if approx else _fit_fused(train, nums, cats, scaled)
+        levels = None
         if fused is not None:
-            medians, modes, scaler = fused
+            medians, modes, scaler, levels = fused
         else:
             medians, modes = fit_imputers(train, nums, cats, approx)
             partial = PrepModel(medians, modes, {}, cats, scaled)
             scaler = params_of(fit_scaler(partial.clean(train), scaled))
     finally:
         train.unpersist()
-    return PrepModel(medians, modes, scaler, cats, scaled)
+    return PrepModel(medians, modes, scaler, cats, scaled, levels)
 
 
 def _fit_fused(train: DataFrame, nums: list[str], cats: list[str], scaled: list[str]):
@@ -163,6 +174,11 @@ def _fit_fused(train: DataFrame, nums: list[str], cats: list[str], scaled: list[
     f(median), combined with the pairwise (Chan et al.) update, which stays
     numerically stable.  Returns None when a distinct count exceeds the
     buffer bound; the caller then uses the distributed fits.
+
+    The same pass collects each categorical's training levels (the one-hot
+    vocabulary) when every level count is within ``MAX_LEVELS``: imputing
+    with the mode adds no new level, so the levels of the cleaned training
+    column are the distinct non-null raw values.
     """
     from .cleaning import LOG_COLS_DEFAULT
     from .running import MAX_EXACT_BUFFER
@@ -175,13 +191,16 @@ def _fit_fused(train: DataFrame, nums: list[str], cats: list[str], scaled: list[
         x = F.col(c).cast("double")
         return F.log1p(x) if c in LOG_COLS_DEFAULT else x
 
+    with_levels = all((ndv[c] or 0) <= MAX_LEVELS for c in cats)
     row = train.agg(F.count(F.lit(1)).alias("_n"),
+                    *[F.array_sort(F.collect_set(c)).alias(f"l_{c}") for c in (cats if with_levels else [])],
                     *[F.percentile(F.col(c).cast("double"), 0.5).alias(f"m_{c}") for c in nums],
                     *[F.mode(c, True).alias(f"o_{c}") for c in cats],
                     *[a for c in scaled for a in (F.count(f(c)).alias(f"n1_{c}"), F.avg(f(c)).alias(f"a_{c}"),
                                                   F.var_pop(f(c)).alias(f"v_{c}"))]).first()
     medians = {c: row[f"m_{c}"] for c in nums}
     modes = {c: row[f"o_{c}"] for c in cats}
+    levels = {c: list(row[f"l_{c}"] or []) for c in cats} if with_levels else None
     n = row["_n"]
     scaler = {}
     for c in scaled:
@@ -199,7 +218,13 @@ def _fit_fused(train: DataFrame, nums: list[str], cats: list[str], scaled: list[
             var = (var1 * n1 + delta * delta * n1 * n0 / n) / n
         scaler[f"{c}__mean"] = mean
         scaler[f"{c}__std"] = math.sqrt(var) if var is not None else None
-    return medians, modes, scaler
+    return medians, modes, scaler, levels
+
+
+def prepared_encoded(raw: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
+    """Prepared table with the one-hot block, vocabulary from the same fit pass."""
+    model = fit_prep(raw)
+    return model.encode(model.transform(raw), columns, keep)
 
 
 def prepared(raw: DataFrame, categoricals: list[str] | None = None) -> DataFrame:

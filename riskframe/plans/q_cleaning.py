@@ -138,5 +138,4 @@ def _one_hot_sql():
 @query("one_hot", _one_hot_sql())
 def one_hot(spark, sf):
     """H1: one 0/1 column per level, all levels, byte order (levels fitted on train)."""
-    p = features.prepared(common.raw(spark, sf))
-    return features.one_hot(p, CAT, fit_df=p.where(F.col("dataset") == "train"), keep=["id"])
+    return features.prepared_encoded(common.raw(spark, sf), CAT, keep=["id"])

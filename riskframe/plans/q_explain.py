@@ -120,9 +120,8 @@ register("deltas", "\nUNION ALL ".join(
 # ---------------------------------------------------------------- Spark side
 
 def coefficients(spark, sf):
-    p = features.prepared(common.raw(spark, sf))
-    train = p.where(F.col("dataset") == "train")
-    enc = features.one_hot(train, CAT, keep=["status"])
+    enc = features.prepared_encoded(common.raw(spark, sf), CAT, keep=["status", "dataset"]).where(
+        F.col("dataset") == "train").drop("dataset")
     names = [c for c in enc.columns if c != "status"]
     return explain.log_odds_coefficients(enc, names, index_offset=len(SCALED))
 

@@ -19,9 +19,7 @@ SCALED = config.SCALED_COLS
 
 def model_input(spark, sf):
     """Prepared table plus the one-hot block (levels from the training rows)."""
-    p = features.prepared(common.raw(spark, sf))
-    enc = features.one_hot(p, CAT, fit_df=p.where(F.col("dataset") == "train"),
-                           keep=["id", "dataset", "status", *SCALED])
+    enc = features.prepared_encoded(common.raw(spark, sf), CAT, keep=["id", "dataset", "status", *SCALED])
     names = [c for c in enc.columns if c not in ("id", "dataset", "status")]
     return enc, names
 
