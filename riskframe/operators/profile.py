@@ -30,11 +30,10 @@ QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 def describe_numeric(df: DataFrame, columns: list[str], approx: bool = False) -> DataFrame:
     """count, mean, std (n-1), min, 25/50/75 % (linear), max per numeric column."""
     lf = long_form(df, columns)
-    basic = lf.groupBy("feature").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    q = quantiles_wide(lf, ["feature"], "value", QUARTILES, approx=approx)
-    return basic.join(q, "feature", "left").select("feature", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+    basic = [F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+             F.min("value").alias("min"), F.max("value").alias("max")]
+    q = quantiles_wide(lf, ["feature"], "value", QUARTILES, approx=approx, extra_aggs=basic)
+    return q.select("feature", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -129,9 +128,8 @@ def histogram_auto(df: DataFrame, columns: list[str]) -> DataFrame:
     column -> counts; the last bin is closed.
     """
     lf = long_form(df, columns).where(F.col("value").isNotNull())
-    st = lf.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("mn"), F.max("value").alias("mx"))
-    q = quantiles_wide(lf, ["feature"], "value", {"q25": 0.25, "q75": 0.75})
-    s = st.join(q, "feature")
+    s = quantiles_wide(lf, ["feature"], "value", {"q25": 0.25, "q75": 0.75}, extra_aggs=[
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("mn"), F.max("value").alias("mx")])
     ptp = F.col("mx") - F.col("mn")
     sturges = ptp / (F.log(F.col("n").cast("double")) / F.lit(math.log(2.0)) + 1.0)
     fd = F.lit(2.0) * (F.col("q75") - F.col("q25")) * F.pow(F.col("n").cast("double"), F.lit(-1.0 / 3.0))
@@ -205,10 +203,9 @@ def group_quartiles(df: DataFrame, group: str, measure: str) -> DataFrame:
     """Per group of ``group``: quartiles, min, max and count of ``measure`` (violin inner lines)."""
     d = df.select(F.col(group).alias("group"), F.col(measure).cast("double").alias("value")).where(
         F.col("value").isNotNull())
-    q = quantiles_wide(d, ["group"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    b = d.groupBy("group").agg(F.min("value").alias("min"), F.max("value").alias("max"),
-                               F.count(F.lit(1)).alias("count"))
-    return b.join(q, "group").select("group", "q1", "median", "q3", "min", "max", "count")
+    q = quantiles_wide(d, ["group"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, extra_aggs=[
+        F.min("value").alias("min"), F.max("value").alias("max"), F.count(F.lit(1)).alias("count")])
+    return q.select("group", "q1", "median", "q3", "min", "max", "count")
 
 
 def grid_density(df: DataFrame, pairs: list[tuple[str, str]], label: str, n_bins: int = 10) -> DataFrame:

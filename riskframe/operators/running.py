@@ -105,6 +105,17 @@ def value_counts_long(df: DataFrame, group_cols: list[str], value_col: str) -> D
 MAX_EXACT_BUFFER = 2_000_000
 
 
+def fits_exact_buffer(long_df: DataFrame, group_cols: list[str], value_col: str,
+                      max_exact_buffer: int | None = MAX_EXACT_BUFFER) -> bool:
+    """True when every group's distinct non-null count (HyperLogLog) is within the bound."""
+    if not max_exact_buffer:
+        return False
+    base = long_df.where(F.col(value_col).isNotNull())
+    ndv = base.groupBy(*group_cols).agg(F.approx_count_distinct(value_col, 0.05).alias("_d")) \
+        .agg(F.max("_d")).first()[0]
+    return ndv is None or ndv <= max_exact_buffer
+
+
 def exact_quantiles(long_df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
                     n_buckets: int | None = None, max_exact_buffer: int | None = MAX_EXACT_BUFFER) -> DataFrame:
     """Exact linear-interpolated quantiles per group.
@@ -118,16 +129,13 @@ def exact_quantiles(long_df: DataFrame, group_cols: list[str], value_col: str, p
     instead: distinct-value counts, bucketed running counts, then a lookup of
     ranks floor/ceil(p * (n - 1)).
     """
-    if max_exact_buffer:
+    if fits_exact_buffer(long_df, group_cols, value_col, max_exact_buffer):
         base = long_df.where(F.col(value_col).isNotNull())
-        ndv = base.groupBy(*group_cols).agg(F.approx_count_distinct(value_col, 0.05).alias("_d")) \
-            .agg(F.max("_d")).first()[0]
-        if ndv is None or ndv <= max_exact_buffer:
-            q = F.percentile(F.col(value_col), [float(p) for p in probs]).alias("_q")
-            agg = base.groupBy(*group_cols).agg(q)
-            return agg.select(*group_cols, F.explode(F.arrays_zip(
-                F.array(*[F.lit(float(p)) for p in probs]).alias("prob"), F.col("_q").alias("quantile"))).alias("z")
-            ).select(*group_cols, F.col("z.prob").alias("prob"), F.col("z.quantile").alias("quantile"))
+        q = F.percentile(F.col(value_col), [float(p) for p in probs]).alias("_q")
+        agg = base.groupBy(*group_cols).agg(q)
+        return agg.select(*group_cols, F.explode(F.arrays_zip(
+            F.array(*[F.lit(float(p)) for p in probs]).alias("prob"), F.col("_q").alias("quantile"))).alias("z")
+        ).select(*group_cols, F.col("z.prob").alias("prob"), F.col("z.quantile").alias("quantile"))
     return _selected_quantiles(long_df, group_cols, value_col, probs, n_buckets)
 
 
@@ -169,21 +177,38 @@ def _selected_quantiles(long_df: DataFrame, group_cols: list[str], value_col: st
 
 def quantiles_wide(long_df: DataFrame, group_cols: list[str], value_col: str, probs: dict[str, float],
                    approx: bool = False, n_buckets: int | None = None,
-                   max_exact_buffer: int | None = MAX_EXACT_BUFFER) -> DataFrame:
+                   max_exact_buffer: int | None = MAX_EXACT_BUFFER, extra_aggs: list | None = None) -> DataFrame:
     """One row per group with one column per named probability.
 
     ``approx=True`` uses the bounded ``percentile_approx`` sketch (one pass);
-    the default is the exact distributed selection above.
+    the default is exact: Spark's ``percentile`` behind the buffer check, else
+    the distributed selection above.  ``extra_aggs`` (aliased aggregate
+    columns over all of ``long_df``'s rows, NULL values included) ride in the
+    same aggregate when one pass computes the quantiles; otherwise they are a
+    second aggregate joined on the group.  Quantiles skip NULL values.
     """
     names = list(probs)
+    extra = list(extra_aggs or [])
+    ps = [float(probs[n]) for n in names]
+
+    def wide_from(agg_col):
+        res = long_df.groupBy(*group_cols).agg(agg_col, *extra) if group_cols else long_df.agg(agg_col, *extra)
+        return res.select(*group_cols, *[F.col("_q")[i].cast("double").alias(n) for i, n in enumerate(names)],
+                          *[c for c in res.columns if c not in (*group_cols, "_q")])
+
     if approx:
-        agg = F.percentile_approx(value_col, [probs[n] for n in names], SKETCH_ACCURACY).alias("_q")
-        base = long_df.where(F.col(value_col).isNotNull())
-        res = base.groupBy(*group_cols).agg(agg) if group_cols else base.agg(agg)
-        return res.select(*group_cols, *[F.col("_q")[i].cast("double").alias(n) for i, n in enumerate(names)])
-    q = exact_quantiles(long_df, group_cols, value_col, [probs[n] for n in names], n_buckets, max_exact_buffer)
-    aggs = [F.max(F.when(F.col("prob") == F.lit(float(probs[n])), F.col("quantile"))).alias(n) for n in names]
-    return q.groupBy(*group_cols).agg(*aggs) if group_cols else q.agg(*aggs)
+        return wide_from(F.percentile_approx(value_col, ps, SKETCH_ACCURACY).alias("_q"))
+    if fits_exact_buffer(long_df, group_cols, value_col, max_exact_buffer):
+        # percentile ignores NULL inputs, so no pre-filter is needed.
+        return wide_from(F.percentile(F.col(value_col), ps).alias("_q"))
+    q = _selected_quantiles(long_df, group_cols, value_col, ps, n_buckets)
+    aggs = [F.max(F.when(F.col("prob") == F.lit(p), F.col("quantile"))).alias(n) for n, p in zip(names, ps)]
+    wide = q.groupBy(*group_cols).agg(*aggs) if group_cols else q.agg(*aggs)
+    if not extra:
+        return wide
+    if not group_cols:  # one row each: join on a constant key
+        return long_df.agg(*extra).withColumn("_k", F.lit(0)).join(wide.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    return long_df.groupBy(*group_cols).agg(*extra).join(wide, group_cols, "left")
 
 
 def top_k_per_group(df: DataFrame, group_cols: list[str], order: list, k: int, key_col: str,

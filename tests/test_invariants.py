@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskframe import config
 from riskframe.operators import cleaning, counterfactual, features, metrics
-from riskframe.operators.running import exact_quantiles, running_totals, top_k_per_group
+from riskframe.operators.running import exact_quantiles, quantiles_wide, running_totals, top_k_per_group
 from riskframe.sources import tables
 
 
@@ -24,6 +24,26 @@ def test_exact_quantiles_match_numpy(spark):
                 assert got[("g%d" % gi, p)] == pytest.approx(np.percentile(x, p * 100), rel=1e-12, abs=1e-12)
 
 
+def test_quantiles_wide_extra_aggs_same_on_both_paths(spark):
+    # The one-pass path (buffer check passes) and the distributed path (no
+    # buffer) must give the same quantiles and the same fused extra columns,
+    # including a group whose values are all NULL.
+    rows = [("a", float(v)) for v in [4, 1, 3, 2, 2]] + [("b", None), ("b", None), ("c", 7.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = {"q1": 0.25, "q2": 0.5}
+    res = []
+    for limit in (10 ** 6, None):
+        for groups in (["g"], []):
+            out = quantiles_wide(df, groups, "v", probs, max_exact_buffer=limit, extra_aggs=[
+                F.count("v").alias("n"), F.count(F.lit(1)).alias("rows"), F.max("v").alias("mx")])
+            res.append(sorted(tuple(r) for r in out.select(*groups, "q1", "q2", "n", "rows", "mx").collect()))
+    assert res[0] == res[2] and res[1] == res[3]
+    by_g = {r[0]: r[1:] for r in res[0]}
+    assert by_g["a"] == (2.0, 2.0, 5, 5, 4.0)
+    assert by_g["b"] == (None, None, 0, 2, None)
+    assert res[1] == [(2.0, 2.5, 6, 8, 7.0)]
+
+
 def test_global_quantile_without_groups(spark):
     df = spark.createDataFrame([(float(x),) for x in [5, 1, 4, 2, 3, 3]], "v double")
     for limit in (None, 100):
