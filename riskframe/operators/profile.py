@@ -94,11 +94,14 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     d = df.select(*[F.col(c).cast("double") for c in columns])
 
     def cell(a, b):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
         return F.struct(F.lit(a).alias("row_feature"), F.lit(b).alias("col_feature"),
-                        F.when(both, F.col(a)).alias("x"), F.when(both, F.col(b)).alias("y"))
+                        F.col(a).alias("x0"), F.col(b).alias("y0"))
 
-    cells = d.select(F.inline(F.array(*[cell(a, b) for a, b in pairs])))
+    # Plain column references per pair; the pairwise-complete mask is applied
+    # after the generator, so upstream expressions are not copied per pair.
+    both = F.col("x0").isNotNull() & F.col("y0").isNotNull()
+    cells = d.select(F.inline(F.array(*[cell(a, b) for a, b in pairs]))).select(
+        "row_feature", "col_feature", F.when(both, F.col("x0")).alias("x"), F.when(both, F.col("y0")).alias("y"))
     upper = cells.groupBy("row_feature", "col_feature").agg(
         F.try_divide(F.covar_pop("x", "y"), F.sqrt(F.var_pop("x") * F.var_pop("y"))).alias("corr"))
     mirrored = F.when(F.col("row_feature") == F.col("col_feature"),
