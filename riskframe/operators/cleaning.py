@@ -137,6 +137,8 @@ def clean_data(raw: DataFrame, categoricals: list[str] | None = None, fit_filter
     """
     df = drop_columns(rename_columns(raw))
     fit_df = df.where(fit_filter) if fit_filter is not None else df
-    df = impute_median(df, fit_df=fit_df, approx=approx)
-    df = impute_mode(df, columns=categoricals, fit_df=fit_df)
-    return log_transform(df)
+    nums = present(df, config.NUMERIC_COLS)
+    cats = present(df, config.CATEGORICAL_COLS if categoricals is None else categoricals, strict=True)
+    # Medians and modes from one aggregate when the buffers are provably small.
+    medians, modes = fit_imputers(fit_df, nums, cats, approx)
+    return log_transform(apply_fill(apply_fill(df, medians, nums), modes, cats))
