@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,7 +74,7 @@ def slices(batch: pa.RecordBatch, column: str, budget: int) -> Iterator[pa.Recor
 
     A longer single text is a slice by itself, whole.
     """
-    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
     start, total = 0, 0
     for i, n in enumerate(sizes):
         if i > start and total + n > budget:
