@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, linededup, rans, simhash
+from . import bytebpe, decontam, linededup, rans, simhash, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -58,3 +58,41 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = rans.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return rans.read_ids(spark, folder, digest=True)
+
+
+#: Fixed rules of the url query.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query("op7_url_filter", r"""
+WITH RECURSIVE rules(action, rule) AS (VALUES ('block', 'net/'), ('allow', 'example.net/en/'), ('block', 'example.com/de/'), ('allow', 'org/fr/')),
+r AS (SELECT action, rule, split_part(rule, '/', 1) AS rh, substr(rule, strpos(rule, '/')) AS rp FROM rules),
+raw AS (SELECT url, unnest([regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+                            regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS dest
+        FROM pages WHERE contains(url, '://')),
+full_ AS (SELECT url, CASE WHEN starts_with(dest, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || dest
+                           WHEN starts_with(dest, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || dest ELSE dest END AS dest
+          FROM raw WHERE dest <> ''),
+u AS (SELECT DISTINCT url FROM (SELECT url FROM pages UNION ALL SELECT url FROM full_ UNION ALL SELECT dest FROM full_)),
+parts AS (SELECT url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                 coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+                 translate(regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS node FROM u),
+fits AS (SELECT p.url, r.action, r.rule, row_number() OVER (PARTITION BY p.url ORDER BY length(r.rule) DESC, r.action, r.rule DESC) AS n
+         FROM parts p JOIN r ON (p.host = r.rh OR ends_with(p.host, '.' || r.rh)) AND starts_with(p.path, r.rp)),
+best AS (SELECT p.*, f.action, f.rule FROM parts p LEFT JOIN fits f ON p.url IS NOT DISTINCT FROM f.url AND f.n = 1),
+e AS (SELECT a.node AS a, b.node AS b FROM full_ f JOIN parts a ON f.url = a.url JOIN parts b ON f.dest = b.url WHERE a.node <> '' AND b.node <> ''),
+both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(a, b) AS (SELECT a, b FROM both_ UNION SELECT reach.a, both_.b FROM reach JOIN both_ ON reach.b = both_.a),
+bad AS (SELECT DISTINCT reach.a AS node FROM reach JOIN best ON reach.b = best.node WHERE best.action = 'block')
+SELECT pages.page_id, best.host, best.path, best.rule, coalesce(best.action, CASE WHEN bad.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages JOIN best ON pages.url IS NOT DISTINCT FROM best.url LEFT JOIN bad ON bad.node = best.node
+""")
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op10_decontaminate")
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.col("matched").alias("n_matched"), F.col("window").alias("n_window"))
