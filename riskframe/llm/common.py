@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import StorageLevel
@@ -104,3 +105,24 @@ class Memo(dict):
             self.update(self.seed)
             new = [w for w in words if w not in self]
         self.update(zip(new, self.fn(new), strict=True))
+
+
+STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def spread(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def gram_buckets(codes: np.ndarray, order: int, bits: int) -> list[np.ndarray]:
+    """For k = 1 .. order, the bucket (of 2**bits) of the k-gram that ends at each code."""
+    codes, out = codes.astype(np.uint64) + np.uint64(1), []
+    sums, power = np.zeros(len(codes), np.uint64), np.uint64(1)
+    for k in range(order):
+        sums[k:] += codes[:len(codes) - k] * power
+        power = np.uint64(int(power) * int(STEP) & (1 << 64) - 1)
+        out.append((spread(sums + np.uint64(k << 56)) >> np.uint64(64 - bits)).astype(np.int64))
+    return out

@@ -25,7 +25,6 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, row_key, slices, written
+from .common import documents, row_key, slices, spread, written
 
 ROUNDS = (1, 1, 2, 2)                # longest symbol that a round joins: run, pair, run, pair
 CONTEXT = sum(ROUNDS)
@@ -45,13 +44,6 @@ NONE = U(0xFFFFFFFFFFFFFFFF)
 BASES = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95))       # odd multipliers of the two rolling names
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit values that spreads every bit."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
 class Names:
     """64-bit names of ranges of a symbol sequence, by prefix sums."""
 
@@ -63,7 +55,7 @@ class Names:
         self.sums = np.concatenate([[U(0)], np.cumsum(x * powers[:n], dtype=U)])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(U))
+        return spread((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(U))
 
 
 def word_names(text: str | None) -> np.ndarray:
@@ -82,15 +74,15 @@ def boundaries(x: np.ndarray, fresh: np.ndarray) -> np.ndarray:
         if number % 2 == 0:                              # runs
             joined = both & (name[1:] == name[:-1])
         else:                                            # pairs
-            side = (mixed(name + U(number)) & U(1)).astype(bool)
+            side = (spread(name + U(number)) & U(1)).astype(bool)
             joined = both & ~side[:-1] & side[1:]
         keep = np.concatenate([[True], ~joined])
         first = np.flatnonzero(keep)
         count = np.diff(np.append(first, len(name)))
         if number % 2 == 0:
-            name = np.where(count > 1, mixed(name[first] * U(3) + count.astype(U) + U(number << 32)), name[first])
+            name = np.where(count > 1, spread(name[first] * U(3) + count.astype(U) + U(number << 32)), name[first])
         else:
-            name = np.where(count > 1, mixed(name[first] * U(5) + mixed(name[np.minimum(first + 1, len(name) - 1)]) + U(number << 32)), name[first])
+            name = np.where(count > 1, spread(name[first] * U(5) + spread(name[np.minimum(first + 1, len(name) - 1)]) + U(number << 32)), name[first])
         start = start[first]
     return start
 
@@ -135,8 +127,8 @@ def anchors(x: np.ndarray, sizes: np.ndarray, width: int):
     lo = np.flatnonzero(new)
     count = np.diff(np.append(lo, len(s)))
     first, last = s[lo], s[lo] + count - 1
-    name = np.where(bare[lo], mixed(one.of(first, first + width) + U(1)), name[lo])
-    span = mixed(two.of(first, last + width) + np.where(bare[lo], 0, place[lo] - first).astype(U) * U(977) + count.astype(U))
+    name = np.where(bare[lo], spread(one.of(first, first + width) + U(1)), name[lo])
+    span = spread(two.of(first, last + width) + np.where(bare[lo], 0, place[lo] - first).astype(U) * U(977) + count.astype(U))
     seq = of[first]
     return seq, name.view(np.int64), span.view(np.int64), first - begins[seq], count
 
