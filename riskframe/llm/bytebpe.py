@@ -154,6 +154,9 @@ DIGESTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_
                         T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
 
+CHECKED = T.StructType([*ENCODED.fields, T.StructField("decoded_sha256", T.StringType())])
+
+
 def _mapped(df: DataFrame, schema: T.StructType, column: str, fn) -> DataFrame:
     """``fn(values) -> rows`` behind doc_id, for slices of bounded size."""
     names = schema.fieldNames()[1:]
@@ -188,6 +191,14 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                    lambda every: [(codec(path, pattern).decode(ids or b""),) for ids in every])
 
 
+def encode_checked(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``encode`` with the sha256 of what the ids decode to."""
+    def rows(texts):
+        c = codec(path, pattern)
+        return [(len(ids) // 4, ids, hashlib.sha256(c.decode(ids)).hexdigest()) for ids in c.encode_all(texts)]
+    return _mapped(_ids(docs, id_col, text_col), CHECKED, "text", rows)
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode again; the digests of the ids and of the decoded bytes."""
     def rows(texts):

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Memo, documents, gram_buckets, slices
 
@@ -197,7 +198,8 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     return Model(languages, grams, seen)
 
 
-def _labelled(docs: DataFrame, model: Model | None, schema: str, names: list[str], rows) -> DataFrame:
+def _labelled(docs: DataFrame, model: Model | None, schema, names: list[str], rows, own: int = 1) -> DataFrame:
+    """``rows(found, languages)`` behind the first ``own`` columns of ``docs``, which has a ``text``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)               # a fixed number of values a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +209,7 @@ def _labelled(docs: DataFrame, model: Model | None, schema: str, names: list[str
                 texts = part.column("text").to_pylist()
                 found = labeller.label(texts) if labeller else [(np.empty(0, np.int64),) * 2 for _ in texts]
                 cols = rows(found, labeller.model.languages if labeller else [])
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:own], *cols], names=names)
 
     return docs.mapInArrow(run, schema)
 
@@ -229,6 +231,13 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return _labelled(d, model, "doc_id long, lang_pred string, score double", ["doc_id", "lang_pred", "score"], _documents)
 
 
+def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The columns of ``docs`` (doc_id first) with lang_pred and lang_score behind them."""
+    schema = T.StructType(list(docs.schema.fields)).add("lang_pred", "string").add("lang_score", "double")
+    own = len(docs.columns)
+    return _labelled(docs, model, schema, schema.fieldNames(), _documents, own)
+
+
 def _spans(found, languages: list[str]) -> list[pa.Array]:
     out = []
     for labels, _ in found:

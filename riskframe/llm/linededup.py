@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WHITE, ascii_lower, documents, row_key, shuffle_width, written
 
@@ -208,7 +209,7 @@ def _apply(columns: list[str], text: str):
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with dropped lines cut from the text, plus n_lines and n_dropped
     (a text without dropped lines is left as it is)."""
-    schema = docs.schema.add("n_lines", "long").add("n_dropped", "long")
+    schema = T.StructType(list(docs.schema.fields)).add("n_lines", "long").add("n_dropped", "long")
     d = docs.withColumns({"__k1": F.xxhash64(F.lit(1), docs["doc_id"], docs["text"]), "__k2": F.xxhash64(F.lit(2), docs["doc_id"], docs["text"])})
     b = bitmaps.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "n_lines", "n_dropped", "keep")
     return d.join(b, ["__k1", "__k2"]).drop("__k1", "__k2").mapInArrow(_apply(schema.fieldNames(), "text"), schema)

@@ -23,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, shuffle_width, slices, written
+from .common import documents, row_key, shuffle_width, slices, written
 from .components import components
 
 SLICE = 8 << 20
@@ -56,16 +56,17 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id and ``fp``, the fingerprint as a signed long."""
-    d = documents(docs)
+    """doc_id, k1, k2 (the row's key) and ``fp``, the fingerprint as a signed long."""
+    d = row_key(documents(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 fp = np.array([fingerprint(t, shingle) for t in part.column("text").to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc_id", "k1", "k2")] + [pa.array(fp.view(np.int64))], names=["doc_id", "k1", "k2", "fp"])
 
-    return d.select(d["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    d = d.select(d["doc_id"].cast("long").alias("doc_id"), F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), "text")
+    return d.mapInArrow(run, "doc_id long, k1 long, k2 long, fp long")
 
 
 def cover(matches: int, width: int) -> list[tuple[int, ...]]:
@@ -192,13 +193,25 @@ def links(fps: DataFrame, max_bits: int = 4, key_bytes: int | None = None) -> Da
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """doc_id, fp, fingerprint (16 hex digits) and component_id (smallest doc_id
-    reachable over links) of every row."""
+    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable
+    over links) of every row; also its key (k1, k2) and ``group``, never null, of its component."""
     each = written(fingerprints(docs, shingle), "simhash-fp")
     distinct = each.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
     roots = components(links(distinct.select("fp"), max_bits), "a", "b")
     member = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "first_doc", F.coalesce("root", "fp").alias("root"))
     named = member.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    label = member.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return each.join(label, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    label = member.select("fp", "root").join(named, "root").select("fp", "component_id", F.col("root").alias("group"))
+    return each.join(label, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "k1", "k2", "group")
+
+
+def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """One row of each near-duplicate group, that of its smallest doc_id (a null id last); ``docs``'s columns."""
+    found = near_duplicates(docs, shingle, max_bits)
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("one"))
+    first = first.select(F.col("one.k1").alias("__k1"), F.col("one.k2").alias("__k2"))
+    keyed = docs.withColumns({"__k1": F.xxhash64(F.lit(1), docs["doc_id"], docs["text"]), "__k2": F.xxhash64(F.lit(2), docs["doc_id"], docs["text"])})
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    w = Window.partitionBy("__k1", "__k2").orderBy(*rest) if rest else Window.partitionBy("__k1", "__k2").orderBy("__k1")
+    kept = keyed.join(first, ["__k1", "__k2"]).withColumn("__n", F.row_number().over(w))      # equal rows: one
+    return kept.where("__n = 1").select(docs.columns)
