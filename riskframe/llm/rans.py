@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import os
 import uuid
 import zlib
@@ -36,6 +37,7 @@ LANES = 512
 STEPS = 256                     # steps between checkpoints
 BLOCK = 1 << 19                 # ids after which a block is closed
 SLICE = 4 << 20
+JOINED = 4096                   # words encoded as one text
 TAIL = ".,!?;:*#$%&|)]}\"-+=/"  # marks that always start a pre-token of their own behind a letter or digit
 
 
@@ -51,11 +53,28 @@ class Words:
         from tokenizers import Tokenizer
         self.model = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cores = Memo(self._encode, 1 << 20)
-        self.parts = Memo(self._split, 1 << 20)
+        suffix = json.loads(self.model.to_str())["model"].get("end_of_word_suffix")
+        self.last = np.zeros(self.model.get_vocab_size(), bool)          # ids that end a pre-token
+        if suffix:
+            self.last[[i for token, i in self.model.get_vocab().items() if token.endswith(suffix)]] = True
+        self.cores = Memo(self._encode, 1 << 19)
+        self.parts = Memo(self._split, 1 << 17)
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)] if words else []
+        """Words of ASCII letters are one pre-token each: many go in one text, cut behind each
+        pre-token's last id.  Others are texts of their own."""
+        whole = [w for w in words if w.isascii() and w.isalpha()] if self.last.any() else []
+        found = {}
+        for at in range(0, len(whole), JOINED):
+            some = whole[at:at + JOINED]
+            ids = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            ends = (np.flatnonzero(self.last[ids]) + 1) * self.kind.itemsize
+            raw = ids.tobytes()
+            found.update(zip(some, [raw[a:b] for a, b in itertools.pairwise([0, *ends.tolist()])], strict=True))
+        rest = [w for w in words if w not in found]
+        if rest:
+            found.update(zip(rest, [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(rest, add_special_tokens=False)], strict=True))
+        return [found[w] for w in words]
 
     def _split(self, parts: list[str]) -> list[bytes]:
         """A word without the marks behind it, in lower case if ASCII, has the ids it has alone."""
