@@ -53,7 +53,7 @@ def fit_medians(fit_df: DataFrame, columns: list[str], approx: bool = False) ->
     Exact by default (distributed selection, no per-task value buffer);
     ``approx=True`` uses the one-pass bounded sketch.
     """
-    q = quantiles_wide(_long(fit_df, columns), ["column"], "value", {"median": 0.5}, approx=approx)
+    q = quantiles_wide(_long(fit_df, columns), ["column"], "value", {"median": 0.5}, approx=approx, small=True)
     return q.agg(*[F.max(F.when(F.col("column") == c, F.col("median"))).alias(c) for c in columns])
 
 
@@ -68,27 +68,8 @@ def fit_modes(fit_df: DataFrame, columns: list[str]) -> DataFrame:
     return best.agg(*[F.max(F.when(F.col("column") == c, F.col("m.v"))).alias(c) for c in columns])
 
 
-def fit_imputers(fit_df: DataFrame, numeric: list[str], categorical: list[str], approx: bool = False,
-                 max_buffer: int | None = None) -> tuple[dict, dict]:
-    """(medians, modes) in as few passes as the data allows.
-
-    One HyperLogLog pass bounds every column's distinct count.  When all are
-    below ``max_buffer``, a single wide aggregate computes the exact medians
-    (``percentile``) and modes (``mode``, ties to the smallest value): their
-    per-column buffers hold at most that many values.  Otherwise each part
-    falls back to the distributed, buffer-free operators above.
-    """
-    from .running import MAX_EXACT_BUFFER
-    limit = MAX_EXACT_BUFFER if max_buffer is None else max_buffer
-    cols = [*numeric, *categorical]
-    if not cols:
-        return {}, {}
-    ndv = fit_df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in cols]).first().asDict()
-    small = all((ndv[c] or 0) <= limit for c in cols)
-    if small and not approx:
-        row = fit_df.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(f"m_{c}") for c in numeric],
-                         *[F.mode(c, True).alias(f"o_{c}") for c in categorical]).first()
-        return ({c: row[f"m_{c}"] for c in numeric}, {c: row[f"o_{c}"] for c in categorical})
+def fit_imputers(fit_df: DataFrame, numeric: list[str], categorical: list[str], approx: bool = False) -> tuple[dict, dict]:
+    """(medians, modes), the same way at every size; no buffer holds a column's values."""
     medians = params_of(fit_medians(fit_df, numeric, approx)) if numeric else {}
     modes = params_of(fit_modes(fit_df, categorical)) if categorical else {}
     return medians, modes
@@ -139,6 +120,5 @@ def clean_data(raw: DataFrame, categoricals: list[str] | None = None, fit_filter
     fit_df = df.where(fit_filter) if fit_filter is not None else df
     nums = present(df, config.NUMERIC_COLS)
     cats = present(df, config.CATEGORICAL_COLS if categoricals is None else categoricals, strict=True)
-    # Medians and modes from one aggregate when the buffers are provably small.
     medians, modes = fit_imputers(fit_df, nums, cats, approx)
     return log_transform(apply_fill(apply_fill(df, medians, nums), modes, cats))

@@ -4,9 +4,9 @@ For each rejected case, ``C`` candidates are generated by exploding a
 sequence on the case row (no join with a candidate table).  Candidate ``k``
 changes each mutable feature with probability ``level/m`` (``level`` grows
 with ``k``), drawing the new value uniformly in the feature's training
-range; draws come from a keyed hash of ``case_id * C + k``, so reruns and
-lost executors reproduce them.  Candidates are scored with the same linear
-expression as the batch scorer, filtered to the desired class, and the best
+range; draws come from a keyed digest of (case_id, k), so reruns and
+lost executors reproduce them.  Candidates are scored by the given scorer
+(the batch scorer's linear expression by default), filtered to the desired class, and the best
 ``total_cfs`` per case (fewest changes, then smallest range-scaled L1 move,
 then candidate number) are kept with one window partitioned by case.
 """
@@ -21,18 +21,21 @@ from ..functions.hashing import unit_hash
 from .models import linear_logit, sigmoid
 
 
-def high_risk_cases(scored: DataFrame, n_cases: int | None = config.N_CASES,
-                    threshold: float = config.HIGH_RISK_THRESHOLD) -> DataFrame:
-    """Rows with p > threshold; the top ``n_cases`` by p (all of them when None).
-
-    Input: (id, status, predicted_probability, ...).  Output: test_index,
-    predicted_proba, true_label.  Fewer rows than asked when fewer qualify.
-    """
+def top_cases(scored: DataFrame, n_cases: int | None = config.N_CASES,
+              threshold: float = config.HIGH_RISK_THRESHOLD) -> DataFrame:
+    """Whole rows with p > threshold; the top ``n_cases`` by p (all of them when None)."""
     hr = scored.where(F.col("predicted_probability") > F.lit(threshold))
     if n_cases is not None:
         hr = hr.orderBy(F.col("predicted_probability").desc(), F.col("id").asc()).limit(n_cases)
-    return hr.select(F.col("id").alias("test_index"), F.col("predicted_probability").alias("predicted_proba"),
-                     F.col("status").alias("true_label"))
+    return hr
+
+
+def high_risk_cases(scored: DataFrame, n_cases: int | None = config.N_CASES,
+                    threshold: float = config.HIGH_RISK_THRESHOLD) -> DataFrame:
+    """``top_cases`` as test_index, predicted_proba, true_label; fewer rows when fewer qualify."""
+    return top_cases(scored, n_cases, threshold).select(
+        F.col("id").alias("test_index"), F.col("predicted_probability").alias("predicted_proba"),
+        F.col("status").alias("true_label"))
 
 
 def feature_ranges(train: DataFrame, features: list[str] = config.MUTABLE_FEATURES) -> DataFrame:
@@ -69,23 +72,32 @@ def candidate_level(k, n_candidates: int, n_features: int):
     return F.lit(1) + F.floor(k * F.lit(n_features) / F.lit(n_candidates))
 
 
+def linear_scorer(coefficients: dict | None = None, intercept: float | None = None):
+    """A scorer: frame with the features in, ``predicted_proba`` added."""
+    coefficients = config.SCORE_COEFFICIENTS if coefficients is None else coefficients
+    intercept = config.SCORE_INTERCEPT if intercept is None else intercept
+    return lambda df: df.withColumn("predicted_proba", sigmoid(linear_logit(coefficients, intercept)))
+
+
 def generate(cases: DataFrame, ranges: dict[str, tuple[float, float]], mutable: list[str] = config.MUTABLE_FEATURES,
              n_candidates: int = config.CF_CANDIDATES, total_cfs: int = config.TOTAL_CFS,
-             desired_class: int = config.DESIRED_CLASS, coefficients: dict | None = None,
-             intercept: float | None = None) -> DataFrame:
-    """Counterfactuals for ``cases`` (id plus all scored features, standardised).
-
-    Output: case_id, cf_no, candidate, n_changed, distance, predicted_proba
-    and the mutable feature values of the counterfactual.  Features outside
-    ``mutable`` are copied unchanged by construction.
+             desired_class: int = config.DESIRED_CLASS, scorer=None, carry: list[str] | None = None) -> DataFrame:
+    """Counterfactuals for ``cases`` (id plus all features the scorer reads).
+
+    ``scorer`` is any function that takes a frame with the features and adds
+    ``predicted_proba``: the linear score by default, a fitted Spark ML model
+    or a network as well.  ``carry`` names the features that are not mutable;
+    they are copied unchanged.  With ``carry`` the output has the predicted
+    ``label`` too, so that it is a whole row of the feature table.  Output:
+    case_id, cf_no, candidate, n_changed, distance, predicted_proba, the
+    mutable features[, carry..., label].
     """
-    coefficients = config.SCORE_COEFFICIENTS if coefficients is None else coefficients
-    intercept = config.SCORE_INTERCEPT if intercept is None else intercept
+    scorer = linear_scorer() if scorer is None else scorer
     m = len(mutable)
-    c = cases.select(F.col("id").alias("case_id"), *[F.col(f).alias(f"orig_{f}") for f in mutable],
-                     *[F.col(f) for f in coefficients if f not in mutable],
+    rest = [c for c in cases.columns if c != "id" and c not in mutable]
+    c = cases.select(F.col("id").alias("case_id"), *[F.col(f).alias(f"orig_{f}") for f in mutable], *rest,
                      F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1))).alias("candidate"))
-    key = F.col("case_id") * F.lit(n_candidates) + F.col("candidate")
+    key = ["case_id", "candidate"]
     level = candidate_level(F.col("candidate"), n_candidates, m)
     cols, changed, dist = {}, [], []
     for j, f in enumerate(mutable):
@@ -100,18 +112,19 @@ def generate(cases: DataFrame, ranges: dict[str, tuple[float, float]], mutable:
     c = c.withColumns(cols)
     c = c.withColumn("n_changed", sum(changed))
     c = c.withColumn("distance", sum(F.coalesce(d, F.lit(0.0)) for d in dist))
-    c = c.withColumn("predicted_proba", sigmoid(linear_logit(coefficients, intercept)))
+    c = scorer(c)
     pred = (F.col("predicted_proba") >= F.lit(config.DECISION_THRESHOLD)).cast("int")
     # Unusable candidates (nothing changed, or still the original class) sort
     # after every usable one, so one filter after the window keeps the best
     # usable ones.  Filtering before the window gives the same rows, but the
     # optimizer then spends seconds propagating constraints through the
     # hash-heavy projections.
-    bad = (~((F.col("n_changed") > 0) & (pred == F.lit(desired_class)))).cast("int")
-    c = c.withColumn("_bad", bad)
+    c = c.withColumn("label", pred)
+    c = c.withColumn("_bad", (~((F.col("n_changed") > 0) & (F.col("label") == F.lit(desired_class)))).cast("int"))
     w = Window.partitionBy("case_id").orderBy("_bad", "n_changed", "distance", "candidate")
     c = c.withColumn("cf_no", F.row_number().over(w)).where((F.col("cf_no") <= total_cfs) & (F.col("_bad") == 0))
-    return c.select("case_id", "cf_no", "candidate", "n_changed", "distance", "predicted_proba", *mutable)
+    whole = [*carry, "label"] if carry is not None else []
+    return c.select("case_id", "cf_no", "candidate", "n_changed", "distance", "predicted_proba", *mutable, *whole)
 
 
 def outcome(cases: DataFrame, cfs: DataFrame) -> DataFrame:

@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from .. import config
 
 
-def check_alignment(names: DataFrame, coefficients: DataFrame) -> None:
-    """Names and coefficients must pair up one to one by feature_index, else raise."""
-    j = names.select("feature_index", F.lit(1).alias("_n")).join(
-        coefficients.select("feature_index", F.lit(1).alias("_c")), "feature_index", "full_outer")
-    bad = j.where(F.col("_n").isNull() | F.col("_c").isNull()).count()
-    if bad:
-        raise ValueError(f"Mismatch between coefficients ({coefficients.count()}) "
-                         f"and feature names ({names.count()})")
+def pair_names(names: DataFrame, coefficients: DataFrame) -> DataFrame:
+    """(feature_index, feature, coefficient): names and coefficients joined one to one by
+    feature_index; raises where either side has an index that the other lacks."""
+    j = names.select("feature_index", "feature").join(coefficients.select("feature_index", "coefficient"), "feature_index", "full_outer")
+    lone = j.where(F.col("feature").isNull() | F.col("coefficient").isNull()).count()
+    if lone:
+        raise ValueError(f"{lone} feature names or coefficients have no partner")
+    return j
 
 
 def feature_importance(coefficients: DataFrame) -> DataFrame:

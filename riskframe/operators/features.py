@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,10 +9,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions.hashing import unit_hash
 from .cleaning import clean_data, params_of
-from .running import running_totals
-
-MAX_LEVELS = 10000
-
+from .running import join_on, running_totals
 
 def split_label(u, bounds=config.SPLIT_BOUNDS):
     lo, hi = bounds
@@ -33,19 +28,17 @@ def stratified_split(df: DataFrame, label: str = config.TARGET_COL, key: str = c
     """Split each class by its own hash order: percent_rank within the label.
 
     percent_rank = (rank - 1) / (n - 1) with rank over the hash within the
-    class.  The global per-class order runs through bucketed running counts,
-    so no class is sorted in a single task.
+    class; a NULL label is a class, repeated rows stay.  The global per-class
+    order runs through bucketed running counts, so no class is sorted in a
+    single task, and a class's size comes with its bucket offsets.
     """
-    h = df.select(key, label, unit_hash(key, salt).alias("_u"))
+    h = df.withColumn("_u", unit_hash(key, salt))
     counts = h.groupBy(label, "_u").agg(F.count(F.lit(1)).alias("_n"))
-    cum = running_totals(counts, [label], "_u", ["_n"])
-    totals = counts.groupBy(label).agg(F.sum("_n").alias("_total"))
-    ranked = cum.join(totals, label).select(
-        label, "_u",
-        F.coalesce(F.try_divide((F.col("cum__n") - F.col("_n")).cast("double"),
-                                (F.col("_total") - 1).cast("double")), F.lit(0.0)).alias("_pr"))
-    j = h.join(ranked, [label, "_u"])
-    return df.join(j.select(key, split_label(F.col("_pr"), bounds).alias(out)), key)
+    cum = running_totals(counts, [label], "_u", ["_n"], totals_prefix="_all")
+    ranked = cum.select(label, "_u", F.coalesce(F.try_divide((F.col("cum__n") - F.col("_n")).cast("double"),
+                                                             (F.col("_all_n") - 1).cast("double")), F.lit(0.0)).alias("_pr"))
+    j = join_on(h, ranked, [label, "_u"])
+    return j.withColumn(out, split_label(F.col("_pr"), bounds)).select(*df.columns, out)
 
 
 def fit_levels(fit_df: DataFrame, columns: list[str]) -> DataFrame:
@@ -54,21 +47,22 @@ def fit_levels(fit_df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def one_hot(df: DataFrame, columns: list[str], fit_df: DataFrame | None = None,
-            levels: dict[str, list[str]] | None = None, keep: list[str] | None = None) -> DataFrame:
+            levels: dict[str, list[str]] | None = None, keep: list[str] | None = None,
+            max_levels: int = 10_000) -> DataFrame:
     """One 0/1 double per level, named ``<col>_<level>``, levels in byte order.
 
     Every level is kept (no dropped base level).  Unknown levels at transform
-    time give all zeros.  Output columns must be known to the plan, so the
-    distinct levels are fetched once to the driver: a bounded, checked list
-    (at most ``MAX_LEVELS`` per column), never row data.
+    time give all zeros.  Each level is a column of the plan, so the distinct
+    levels are fetched once to the driver, never row data; a column with more
+    than ``max_levels`` of them raises an error instead of being cut.
     """
     if levels is None:
         src = fit_df if fit_df is not None else df
         # collect_set buffers every level: bound the distinct counts first (HyperLogLog).
         ndv = src.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in columns]).first().asDict()
-        wide = [c for c in columns if (ndv[c] or 0) > MAX_LEVELS]
+        wide = [c for c in columns if (ndv[c] or 0) > max_levels]
         if wide:
-            raise ValueError(f"{wide}: more than {MAX_LEVELS} levels; not categorical columns")
+            raise ValueError(f"{wide}: more than {max_levels} levels; not categorical columns")
         row = fit_levels(src, columns).first()
         levels = {c: list(row[c] or []) for c in columns}
     keep = [c for c in df.columns if c not in columns] if keep is None else keep
@@ -148,77 +142,16 @@ def fit_prep(raw: DataFrame, categoricals: list[str] | None = None, approx: bool
     df = with_split(drop_columns(rename_columns(raw)))
     nums = [c for c in config.NUMERIC_COLS if c in df.columns]
     scaled = [c for c in config.SCALED_COLS if c in df.columns]
-    # Three fits scan the training rows: read them once, as Spark ML
+    # Several fits scan the training rows: read them once, as Spark ML
     # estimators do with their input; released when fitting is done.
     train = df.where(F.col("dataset") == "train").select(*{*nums, *scaled, *cats}).persist(
         StorageLevel.MEMORY_AND_DISK)
     try:
-        fused = None if approx else _fit_fused(train, nums, cats, scaled)
-        levels = None
-        if fused is not None:
-            medians, modes, scaler, levels = fused
-        else:
-            medians, modes = fit_imputers(train, nums, cats, approx)
-            partial = PrepModel(medians, modes, {}, cats, scaled)
-            scaler = params_of(fit_scaler(partial.clean(train), scaled))
+        medians, modes = fit_imputers(train, nums, cats, approx)
+        scaler = params_of(fit_scaler(PrepModel(medians, modes, {}, cats, scaled).clean(train), scaled))
     finally:
         train.unpersist()
-    return PrepModel(medians, modes, scaler, cats, scaled, levels)
-
-
-def _fit_fused(train: DataFrame, nums: list[str], cats: list[str], scaled: list[str]):
-    """Medians, modes and the scaler in one aggregate, when the buffers are provably small.
-
-    The scaler needs moments of the imputed, log-scaled column.  Those follow
-    from the moments of the non-null values plus n0 copies of the fill value
-    f(median), combined with the pairwise (Chan et al.) update, which stays
-    numerically stable.  Returns None when a distinct count exceeds the
-    buffer bound; the caller then uses the distributed fits.
-
-    The same pass collects each categorical's training levels (the one-hot
-    vocabulary) when every level count is within ``MAX_LEVELS``: imputing
-    with the mode adds no new level, so the levels of the cleaned training
-    column are the distinct non-null raw values.
-    """
-    from .cleaning import LOG_COLS_DEFAULT
-    from .running import MAX_EXACT_BUFFER
-    cols = [*nums, *cats]
-    ndv = train.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in cols]).first().asDict() if cols else {}
-    if any((ndv[c] or 0) > MAX_EXACT_BUFFER for c in cols):
-        return None
-
-    def f(c):
-        x = F.col(c).cast("double")
-        return F.log1p(x) if c in LOG_COLS_DEFAULT else x
-
-    with_levels = all((ndv[c] or 0) <= MAX_LEVELS for c in cats)
-    row = train.agg(F.count(F.lit(1)).alias("_n"),
-                    *[F.array_sort(F.collect_set(c)).alias(f"l_{c}") for c in (cats if with_levels else [])],
-                    *[F.percentile(F.col(c).cast("double"), 0.5).alias(f"m_{c}") for c in nums],
-                    *[F.mode(c, True).alias(f"o_{c}") for c in cats],
-                    *[a for c in scaled for a in (F.count(f(c)).alias(f"n1_{c}"), F.avg(f(c)).alias(f"a_{c}"),
-                                                  F.var_pop(f(c)).alias(f"v_{c}"))]).first()
-    medians = {c: row[f"m_{c}"] for c in nums}
-    modes = {c: row[f"o_{c}"] for c in cats}
-    levels = {c: list(row[f"l_{c}"] or []) for c in cats} if with_levels else None
-    n = row["_n"]
-    scaler = {}
-    for c in scaled:
-        n1, mean1, var1 = row[f"n1_{c}"], row[f"a_{c}"], row[f"v_{c}"]
-        fill = medians.get(c)
-        fill = (math.log1p(fill) if c in LOG_COLS_DEFAULT else fill) if fill is not None else None
-        n0 = n - n1 if fill is not None else 0
-        if n1 == 0:
-            mean, var = fill, (0.0 if fill is not None else None)
-        elif n0 == 0:
-            mean, var = mean1, var1
-        else:
-            delta = fill - mean1
-            mean = mean1 + delta * n0 / n
-            var = (var1 * n1 + delta * delta * n1 * n0 / n) / n
-        scaler[f"{c}__mean"] = mean
-        scaler[f"{c}__std"] = math.sqrt(var) if var is not None else None
-    return medians, modes, scaler, levels
+    return PrepModel(medians, modes, scaler, cats, scaled)
 
 
 def prepared_encoded(raw: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..session import cut_lineage
-from .running import running_totals
+from .running import join_on, running_totals
 
 KEYS = ["model", "dataset"]
 
@@ -29,12 +29,18 @@ def score_groups(pred: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 def cumulative(pred: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """(keys, p, pos, neg, tps, fps, rn, tot_pos, tot_neg) by descending score; rn = 1 for the top score."""
     g = score_groups(pred, keys).withColumn("one", F.lit(1))
-    c = running_totals(g, keys, "p", ["pos", "neg", "one"], descending=True)
-    c = c.select(*keys, "p", "pos", "neg", F.col("cum_pos").alias("tps"), F.col("cum_neg").alias("fps"),
-                 F.col("cum_one").alias("rn"))
-    tot = c.groupBy(*keys).agg(F.sum("pos").alias("tot_pos"), F.sum("neg").alias("tot_neg"))
-    # Used by several branches downstream (next/previous point, origin rows).
-    return cut_lineage(c.join(tot, keys))
+    # Keys name models and datasets: their number is bounded by the call.
+    c = running_totals(g, keys, "p", ["pos", "neg", "one"], descending=True, small=True, totals_prefix="tot_")
+    return c.select(*keys, "p", "pos", "neg", F.col("cum_pos").alias("tps"), F.col("cum_neg").alias("fps"),
+                    F.col("cum_one").alias("rn"), "tot_pos", "tot_neg")
+
+
+def ranking(pred_groups: DataFrame, keys: list[str], *measures: str) -> DataFrame:
+    """auc_roc and / or auc_pr per key from ``cumulative`` rows; products are taken in doubles."""
+    d = {c: F.col(c).cast("double") for c in ("pos", "neg", "tps", "fps", "tot_pos", "tot_neg")}
+    aggs = {"auc_roc": F.try_divide(F.sum(d["neg"] * (d["tps"] - d["pos"] / 2.0)), F.max(d["tot_pos"]) * F.max(d["tot_neg"])),
+            "auc_pr": F.try_divide(F.sum(d["pos"] * d["tps"] / (d["tps"] + d["fps"])), F.max(d["tot_pos"]))}
+    return pred_groups.groupBy(*keys).agg(*[aggs[m].alias(m) for m in measures])
 
 
 def with_next(c: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
@@ -45,18 +51,12 @@ def with_next(c: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
 
 def roc_auc(pred: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Area under ROC, ties count one half: sum(neg * (tps - pos/2)) / (P*N)."""
-    c = cumulative(pred, keys)
-    return c.groupBy(*keys).agg(F.try_divide(
-        F.sum(F.col("neg") * (F.col("tps") - F.col("pos") / 2.0)),
-        (F.first("tot_pos") * F.first("tot_neg")).cast("double")).alias("auc_roc"))
+    return ranking(cumulative(pred, keys), keys, "auc_roc")
 
 
 def average_precision(pred: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Step-wise average precision: sum over thresholds of (pos/P) * tps/(tps+fps)."""
-    c = cumulative(pred, keys)
-    return c.groupBy(*keys).agg(F.try_divide(
-        F.sum(F.col("pos") * F.col("tps") / (F.col("tps") + F.col("fps"))),
-        F.first("tot_pos").cast("double")).alias("average_precision"))
+    return ranking(cumulative(pred, keys), keys, "auc_pr").withColumnRenamed("auc_pr", "average_precision")
 
 
 def brier_score(pred: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -70,7 +70,8 @@ def roc_curve(pred: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     A point is kept when it is the first or last, or when its (pos, neg)
     step differs from the next one (the slope changes there).
     """
-    c = with_next(cumulative(pred, keys), keys, ["pos", "neg"])
+    # two branches (next point, origin) read the cumulative rows: materialise them once
+    c = with_next(cut_lineage(cumulative(pred, keys)), keys, ["pos", "neg"])
     keep = (F.col("rn") == 1) | F.col("next_pos").isNull() | \
         (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
     pts = c.where(keep).select(*keys, "p", "rn", "tps", "fps", "tot_pos", "tot_neg")
@@ -85,7 +86,7 @@ def roc_curve(pred: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 def pr_curve(pred: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Precision/recall at every distinct threshold plus the final (1, 0) point (threshold NULL)."""
-    c = cumulative(pred, keys)
+    c = cut_lineage(cumulative(pred, keys))
     pts = c.select(*keys, F.col("p").alias("threshold"),
                    F.coalesce(F.try_divide(F.col("tps").cast("double"), (F.col("tps") + F.col("fps")).cast("double")),
                               F.lit(0.0)).alias("precision"),
@@ -102,7 +103,7 @@ def curve_area(pred: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     Rows: keys, curve ('roc' | 'pr'), area.  The PR area differs from average
     precision by construction (linear interpolation between points).
     """
-    c = cumulative(pred, keys)
+    c = cut_lineage(cumulative(pred, keys))
     # Previous point along descending score: row rn-1, or the curve start for rn = 1.
     prev = c.select(*keys, (F.col("rn") + 1).alias("rn"), F.col("tps").alias("ptps"), F.col("fps").alias("pfps"))
     j = c.join(prev, keys + ["rn"], "left")
@@ -142,7 +143,9 @@ def histogram_bins(df: DataFrame, group_cols: list[str], value_col: str, n_bins:
 
     All ``n_bins`` bins are returned, empty ones with count 0: the bin rows
     come from exploding a sequence per group (no join with a bin table).
-    When min == max the range is widened by 0.5 on each side.
+    When min == max the range is widened by 0.5 on each side.  Groups are
+    columns, models, datasets and classes, so their ranges are few and broadcast:
+    the long table meets no exchange but that of its partial counts.
     """
     v = df.where(F.col(value_col).isNotNull())
     rng = v.groupBy(*group_cols).agg(F.min(value_col).alias("_mn"), F.max(value_col).alias("_mx"))
@@ -150,14 +153,14 @@ def histogram_bins(df: DataFrame, group_cols: list[str], value_col: str, n_bins:
                      F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("lo"),
                      F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("hi"))
     width = (F.col("hi") - F.col("lo")) / F.lit(float(n_bins))
-    binned = v.join(rng, group_cols).withColumn(
+    binned = join_on(v, rng, group_cols, small=True).withColumn(
         "bin", F.least(F.floor((F.col(value_col) - F.col("lo")) / (F.col("hi") - F.col("lo")) * n_bins),
                        F.lit(n_bins - 1)).cast("int"))
     counts = binned.groupBy(*group_cols, "bin").agg(F.count(F.lit(1)).alias("count"))
     grid = rng.select(*group_cols, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
     grid = grid.select(*group_cols, "bin", (F.col("lo") + F.col("bin") * width).alias("bin_lo"),
                        (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_hi"))
-    return grid.join(counts, group_cols + ["bin"], "left").select(
+    return join_on(grid, counts, group_cols + ["bin"], "left").select(
         *group_cols, "bin", "bin_lo", "bin_hi", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
@@ -218,13 +221,8 @@ def classification_report(pred: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 def model_comparison(pred: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Model x dataset table of AUC-ROC, AUC-PR (average precision) and Brier score."""
-    c = cumulative(pred, keys)
-    ranked = c.groupBy(*keys).agg(
-        F.try_divide(F.sum(F.col("neg") * (F.col("tps") - F.col("pos") / 2.0)),
-                     (F.first("tot_pos") * F.first("tot_neg")).cast("double")).alias("auc_roc"),
-        F.try_divide(F.sum(F.col("pos") * F.col("tps") / (F.col("tps") + F.col("fps"))),
-                     F.first("tot_pos").cast("double")).alias("auc_pr"))
-    return ranked.join(brier_score(pred, keys), keys)
+    ranked = ranking(cumulative(pred, keys), keys, "auc_roc", "auc_pr")
+    return join_on(ranked, brier_score(pred, keys), keys, small=True)
 
 
 def best_model(comparison: DataFrame, dataset: str = "validation") -> DataFrame:

@@ -8,7 +8,10 @@ architecture, not by the data).
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,7 +72,7 @@ def coefficient_table(spark, model, features: list[str]) -> DataFrame:
     """(feature_index, feature, coefficient) of a fitted linear model (size = #features)."""
     coefs = model.coefficients.toArray().tolist()
     if len(coefs) != len(features):
-        raise ValueError(f"Mismatch between coefficients ({len(coefs)}) and feature names ({len(features)})")
+        raise ValueError(f"the model has {len(coefs)} coefficients, {len(features)} names were given")
     rows = [(i, f, float(c)) for i, (f, c) in enumerate(zip(features, coefs))]
     return spark.createDataFrame(rows, "feature_index int, feature string, coefficient double")
 
@@ -81,82 +84,144 @@ def score_model(model, df: DataFrame, features: list[str], keep: list[str]) -> D
         "predicted_label", (F.col("predicted_probability") >= config.DECISION_THRESHOLD).cast("int"))
 
 
-def fit_mlp(train: DataFrame, features: list[str], hidden=(64, 32), max_iter: int = 200, seed: int = 42,
-            label: str = "status"):
-    """Feed-forward classifier (Spark ML's MLP: sigmoid hidden layers, softmax output)."""
+def fit_mlp(train: DataFrame, validation: DataFrame, features: list[str], hidden=((4,), (8,)), iterations=(20, 60),
+            seed: int = 42, label: str = "status"):
+    """Feed-forward classifier (Spark ML's MLP: sigmoid hidden layers, softmax output).
+
+    Small nets, stopped where the validation AUC is best: each size is fitted
+    for each number of iterations and the best on ``validation`` stays."""
     from pyspark.ml.classification import MultilayerPerceptronClassifier
-    layers = [len(features), *hidden, 2]
-    mlp = MultilayerPerceptronClassifier(featuresCol="features", labelCol=label, layers=layers,
-                                         maxIter=max_iter, seed=seed, blockSize=128)
-    return mlp.fit(assemble(train, features).withColumn(label, F.col(label).cast("double")))
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    t, v = (assemble(d, features).select(F.col(label).cast("double").alias(label), "features").persist(StorageLevel.MEMORY_AND_DISK)
+            for d in (train, validation))
+    ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="probability", numBins=0)
+    try:
+        best = None
+        for sizes in hidden:
+            for n in iterations:
+                m = MultilayerPerceptronClassifier(featuresCol="features", labelCol=label, layers=[len(features), *sizes, 2],
+                                                   maxIter=n, seed=seed, blockSize=128).fit(t)
+                auc = ev.evaluate(m.transform(v))
+                if best is None or auc > best[0]:
+                    best = auc, m
+        return best[1]
+    finally:
+        t.unpersist()
+        v.unpersist()
+
+
+def logistic_gradient(train: DataFrame, model, features: list[str], C: float, label: str = "status") -> DataFrame:
+    """(feature_index, feature, gradient) of mean loss + ||w||^2 / (2 C n) at the fitted coefficients.
+
+    One aggregate over the training rows; zero at the optimum.  The intercept
+    (index -1) is not penalised."""
+    w = [float(x) for x in model.coefficients]
+    p = sigmoid(linear_logit(dict(zip(features, w, strict=True)), float(model.intercept)))
+    r = train.select(*features, (p - F.col(label)).alias("_r"))
+    row = r.agg(F.count(F.lit(1)).alias("_n"), F.avg("_r").alias("_g"), *[F.avg(F.col("_r") * F.col(f)).alias(f"_g{i}") for i, f in enumerate(features)]).first()
+    rows = [(i, f, row[f"_g{i}"] + w[i] / (C * row["_n"])) for i, f in enumerate(features)] + [(-1, "intercept", row["_g"])]
+    return train.sparkSession.createDataFrame(rows, "feature_index int, feature string, gradient double")
 
 
 def cv_grid(train: DataFrame, features: list[str], c_values=(0.01, 1.0, 100.0), folds: int = 5,
-            label: str = "status", fold_salt: int = 42):
-    """k-fold grid search over C; folds from a keyed hash (not ``rand``)."""
+            label: str = "status", fold_salt: int = 42, max_iter: int = 1000):
+    """k-fold grid search over C; folds from a keyed hash (not ``rand``); exact AUC (no score bins).
+
+    Returns (C values, mean AUC per C, {(fold, C): (AUC, model)}, the model of the best C)."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
     from ..functions.hashing import unit_hash
-    n = train.count()
     d = assemble(train, features).withColumn(label, F.col(label).cast("double")).withColumn(
         "fold", F.least(F.floor(unit_hash("id", fold_salt) * folds), F.lit(folds - 1)).cast("int"))
-    lr = LogisticRegression(featuresCol="features", labelCol=label, elasticNetParam=0.0,
-                            standardization=False, maxIter=100)
-    grid = ParamGridBuilder().addGrid(lr.regParam, [1.0 / (c * n * (folds - 1) / folds) for c in c_values]).build()
-    ev = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=ev, foldCol="fold", numFolds=folds,
-                        parallelism=2)
-    model = cv.fit(d)
-    return list(c_values), [float(x) for x in model.avgMetrics], model
+    d = d.select("id", label, "features", "fold").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        sizes = {r["fold"]: r["count"] for r in d.groupBy("fold").count().collect()}
+        n = sum(sizes.values())
+
+        def fitted(part, size, c):
+            return LogisticRegression(featuresCol="features", labelCol=label, regParam=1.0 / (c * size), elasticNetParam=0.0,
+                                      standardization=False, maxIter=max_iter, tol=1e-8).fit(part)
+
+        ev = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0)
+        aucs = {}
+        for f in range(folds):
+            rest, held = d.where(F.col("fold") != f), d.where(F.col("fold") == f)
+            for c in c_values:
+                m = fitted(rest, n - sizes.get(f, 0), c)
+                aucs[f, c] = float(ev.evaluate(m.transform(held))), m
+        means = [sum(aucs[f, c][0] for f in range(folds)) / folds for c in c_values]
+        best = c_values[max(range(len(c_values)), key=lambda i: means[i])]
+        return list(c_values), means, aucs, fitted(d, n, best)
+    finally:
+        d.unpersist()
 
 
 # ------------------------------------------------------- network forward pass
 
-def network_forward(x: np.ndarray, layers: list[dict]) -> np.ndarray:
-    """Dense -> (affine batch-norm) -> ReLU blocks with optional residual add, sigmoid output."""
+def _affine(x: np.ndarray, layer: dict) -> np.ndarray:
+    """Dense layer, then the normalisation's scale and shift."""
+    out = x @ np.asarray(layer["w"]) + np.asarray(layer["b"])
+    return out * np.asarray(layer["scale"]) + np.asarray(layer["shift"]) if "scale" in layer else out
+
+
+def network_forward(x: np.ndarray, network: list[dict]) -> np.ndarray:
+    """Probability of class 1.
+
+    A network is a list of parts: ``{"dense": layer}`` is dense, normalisation,
+    ReLU (a change of width); ``{"block": [first, second]}`` is a residual block
+    of two layers inside one skip, ReLU(second(ReLU(first(h))) + h);
+    ``{"output": layer}`` is the final logit.  A layer has w, b and, with a
+    normalisation, scale and shift.
+    """
     h = x
-    for layer in layers[:-1]:
-        out = h @ layer["w"] + layer["b"]
-        if "scale" in layer:
-            out = out * layer["scale"] + layer["shift"]
-        if layer.get("residual"):
-            out = out + h
-        h = np.maximum(out, 0.0)
-    last = layers[-1]
-    z = (h @ last["w"] + last["b"]).reshape(-1)
-    return 1.0 / (1.0 + np.exp(-z))
-
-
-def score_network(df: DataFrame, features: list[str], layers: list[dict], keep: list[str]) -> DataFrame:
+    for part in network:
+        if "dense" in part:
+            h = np.maximum(_affine(h, part["dense"]), 0.0)
+        elif "block" in part:
+            first, second = part["block"]
+            h = np.maximum(_affine(np.maximum(_affine(h, first), 0.0), second) + h, 0.0)
+        else:
+            h = 1.0 / (1.0 + np.exp(-_affine(h, part["output"])))
+    return h.reshape(-1)
+
+
+def save_network(spark, network: list[dict], path: str) -> None:
+    """One JSON document of a few numbers a unit."""
+    plain = json.dumps(network, default=lambda a: np.asarray(a).tolist())
+    spark.createDataFrame([(plain,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_network(spark, path: str) -> list[dict]:
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
+
+
+def score_network(df: DataFrame, features: list[str], network: list[dict], keep: list[str]) -> DataFrame:
     """Inference over a table: Arrow batches through numpy, weights broadcast once."""
     spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(layers)
+    bc = spark.sparkContext.broadcast(network)
     schema = T.StructType([f for f in df.select(*keep).schema.fields] +
                           [T.StructField("predicted_probability", T.DoubleType())])
 
     def run(batches):
-        ls = bc.value
+        net = bc.value
         for pdf in batches:
             x = pdf[features].to_numpy(dtype=np.float64)
             out = pdf[keep].copy()
-            out["predicted_probability"] = network_forward(x, ls) if len(pdf) else np.zeros(0)
+            out["predicted_probability"] = network_forward(x, net) if len(pdf) else np.zeros(0)
             yield out
 
     return df.select(*keep, *[c for c in features if c not in keep]).mapInPandas(run, schema).withColumn(
         "predicted_label", (F.col("predicted_probability") >= config.DECISION_THRESHOLD).cast("int"))
 
 
-def demo_network(features: list[str]) -> list[dict]:
-    """A fixed 3-unit residual network (weights from a rule) used by the oracle check."""
-    d = len(features)
-    w1 = np.array([[((i * 7 + j * 3) % 11 - 5) / 10.0 for j in range(3)] for i in range(d)])
-    b1 = np.array([0.1, -0.2, 0.05])
-    w2 = np.array([[0.5, -0.25, 0.0], [0.0, 0.4, 0.3], [-0.2, 0.0, 0.6]])
-    b2 = np.array([0.0, 0.1, -0.1])
-    scale2 = np.array([1.5, 0.5, 1.0])
-    shift2 = np.array([0.0, 0.2, -0.3])
-    w3 = np.array([[1.2], [-0.8], [0.9]])
-    b3 = np.array([-0.4])
-    return [{"w": w1, "b": b1}, {"w": w2, "b": b2, "scale": scale2, "shift": shift2, "residual": True},
-            {"w": w3, "b": b3}]
+def rule_network(n_features: int, widths: tuple[int, ...] = (4, 3)) -> list[dict]:
+    """A network whose weights follow a rule: one residual block per width, dense parts between them."""
+    def layer(a, b, k, norm=True):
+        out = {"w": [[((i * 7 + j * 3 + k) % 11 - 5) / 10.0 for j in range(b)] for i in range(a)],
+               "b": [((j + k) % 5 - 2) / 10.0 for j in range(b)]}
+        return out | ({"scale": [1.0 + ((j + k) % 3 - 1) / 4.0 for j in range(b)], "shift": [((j * 2 + k) % 7 - 3) / 20.0 for j in range(b)]} if norm else {})
+    parts, size = [], n_features
+    for k, width in enumerate(widths):
+        parts += [{"dense": layer(size, width, 3 * k)}, {"block": [layer(width, width, 3 * k + 1), layer(width, width, 3 * k + 2)]}]
+        size = width
+    return [*parts, {"output": layer(size, 1, 9, norm=False)}]

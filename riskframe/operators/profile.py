@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import histogram_bins
-from .running import quantiles_wide, top_k_per_group
+from .running import join_on, quantiles_wide, top_k_per_group
 
 
 def long_form(df: DataFrame, columns: list[str], value_type: str = "double", extra: list[str] | None = None) -> DataFrame:
@@ -32,7 +32,7 @@ def describe_numeric(df: DataFrame, columns: list[str], approx: bool = False) ->
     lf = long_form(df, columns)
     basic = [F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
              F.min("value").alias("min"), F.max("value").alias("max")]
-    q = quantiles_wide(lf, ["feature"], "value", QUARTILES, approx=approx, extra_aggs=basic)
+    q = quantiles_wide(lf, ["feature"], "value", QUARTILES, approx=approx, small=True, extra_aggs=basic)
     return q.select("feature", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
@@ -41,7 +41,7 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     lf = long_form(df, columns, "string").where(F.col("value").isNotNull())
     counts = lf.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("count"))
     totals = counts.groupBy("feature").agg(F.sum("count").alias("_total"))
-    return counts.join(totals, "feature").select(
+    return join_on(counts, totals, ["feature"], small=True).select(
         "feature", "value", "count", (F.col("count") * 100.0 / F.col("_total")).alias("percent"))
 
 
@@ -131,7 +131,7 @@ def histogram_auto(df: DataFrame, columns: list[str]) -> DataFrame:
     column -> counts; the last bin is closed.
     """
     lf = long_form(df, columns).where(F.col("value").isNotNull())
-    s = quantiles_wide(lf, ["feature"], "value", {"q25": 0.25, "q75": 0.75}, extra_aggs=[
+    s = quantiles_wide(lf, ["feature"], "value", {"q25": 0.25, "q75": 0.75}, small=True, extra_aggs=[
         F.count(F.lit(1)).alias("n"), F.min("value").alias("mn"), F.max("value").alias("mx")])
     ptp = F.col("mx") - F.col("mn")
     sturges = ptp / (F.log(F.col("n").cast("double")) / F.lit(math.log(2.0)) + 1.0)
@@ -141,7 +141,7 @@ def histogram_auto(df: DataFrame, columns: list[str]) -> DataFrame:
     s = s.select("feature", F.when(ptp == 0, F.col("mn") - 0.5).otherwise(F.col("mn")).alias("lo"),
                  F.when(ptp == 0, F.col("mx") + 0.5).otherwise(F.col("mx")).alias("hi"),
                  F.when(ptp == 0, F.lit(1)).otherwise(nb).alias("n_bins"))
-    binned = lf.join(s, "feature").withColumn(
+    binned = join_on(lf, s, ["feature"], small=True).withColumn(
         "bin", F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("n_bins")),
                        F.col("n_bins") - 1).cast("int"))
     counts = binned.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("count"))
@@ -166,14 +166,14 @@ def density(df: DataFrame, columns: list[str], grid_points: int = 200, fine_bins
     st = lf.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("mn"),
                                   F.max("value").alias("mx"), F.stddev_samp("value").alias("sd"))
     B = float(fine_bins)
-    binned = lf.join(st, "feature").withColumn(
+    binned = join_on(lf, st, ["feature"], small=True).withColumn(
         "b", F.when(F.col("mx") == F.col("mn"), F.lit(0)).otherwise(
             F.least(F.floor((F.col("value") - F.col("mn")) / (F.col("mx") - F.col("mn")) * B), F.lit(fine_bins - 1))))
     w = binned.groupBy("feature", "b").agg(F.count(F.lit(1)).alias("cnt"))
     st = st.select("feature", "n", "mn", "mx",
                    (F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h"),
                    (F.col("mx") - F.col("mn")).alias("rng"))
-    centers = w.join(st, "feature").select(
+    centers = join_on(w, st, ["feature"], small=True).select(
         "feature", "cnt", "n", "h", "mn", "mx", "rng",
         (F.col("mn") + (F.col("b") + 0.5) * (F.col("rng") / B)).alias("c"))
     g = float(grid_points - 1)
@@ -190,15 +190,15 @@ def density(df: DataFrame, columns: list[str], grid_points: int = 200, fine_bins
 def box_stats(df: DataFrame, columns: list[str], approx: bool = False) -> DataFrame:
     """Quartiles, whiskers (extreme values inside 1.5 IQR fences) and outlier counts."""
     lf = long_form(df, columns).where(F.col("value").isNotNull())
-    q = quantiles_wide(lf, ["feature"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, approx=approx)
+    q = quantiles_wide(lf, ["feature"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, approx=approx, small=True)
     q = q.select("*", (F.col("q3") - F.col("q1")).alias("iqr"))
     q = q.select("*", (F.col("q1") - 1.5 * F.col("iqr")).alias("lower_fence"),
                  (F.col("q3") + 1.5 * F.col("iqr")).alias("upper_fence"))
     v, lo, hi = F.col("value"), F.col("lower_fence"), F.col("upper_fence")
-    agg = lf.join(q.select("feature", "lower_fence", "upper_fence"), "feature").groupBy("feature").agg(
+    agg = join_on(lf, q.select("feature", "lower_fence", "upper_fence"), ["feature"], small=True).groupBy("feature").agg(
         F.min(F.when(v >= lo, v)).alias("whisker_low"), F.max(F.when(v <= hi, v)).alias("whisker_high"),
         F.count_if((v < lo) | (v > hi)).alias("n_outliers"))
-    return q.join(agg, "feature").select("feature", "q1", "median", "q3", "iqr", "lower_fence", "upper_fence",
+    return join_on(q, agg, ["feature"], small=True).select("feature", "q1", "median", "q3", "iqr", "lower_fence", "upper_fence",
                                         "whisker_low", "whisker_high", "n_outliers")
 
 
@@ -224,5 +224,5 @@ def grid_density(df: DataFrame, pairs: list[tuple[str, str]], label: str, n_bins
         return F.when(F.col(hi) == F.col(lo), F.lit(0)).otherwise(
             F.least(F.floor((F.col(v) - F.col(lo)) / (F.col(hi) - F.col(lo)) * n_bins), F.lit(n_bins - 1))).cast("int")
 
-    return lf.join(r, "pair").groupBy("pair", "label", b("x", "x0", "x1").alias("bx"), b("y", "y0", "y1").alias("by")) \
+    return join_on(lf, r, ["pair"], small=True).groupBy("pair", "label", b("x", "x0", "x1").alias("bx"), b("y", "y0", "y1").alias("by")) \
         .agg(F.count(F.lit(1)).alias("count"))

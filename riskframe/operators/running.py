@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 1024
 SKETCH_ACCURACY = 10000
 _ONE = "_one_group"
 
@@ -31,69 +30,75 @@ def _with_group(df: DataFrame, group_cols: list[str]) -> tuple[DataFrame, list[s
     return df.withColumn(_ONE, F.lit(0)), [_ONE]
 
 
-def _bucketed(df: DataFrame, group_cols: list[str], order_col: str, n_buckets: int) -> DataFrame:
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", small: bool = False) -> DataFrame:
+    """Equi-join in which NULL keys meet; ``left``'s keys stay.
+
+    ``small`` broadcasts ``right``: only for a side whose rows are bounded by
+    the call (one per column, per model and dataset, per class), not by the data.
+    """
+    right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        cond = c if cond is None else cond & c
+    return left.join(F.broadcast(right) if small else right, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def _bucketed(df: DataFrame, group_cols: list[str], order_col: str, n_buckets: int, small: bool) -> DataFrame:
     if n_buckets <= 1:
         return df.withColumn("_bucket", F.lit(0))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = df.groupBy(*group_cols).agg(
-        F.percentile_approx(order_col, probs, SKETCH_ACCURACY).alias("_bounds"))
-    if group_cols == [_ONE]:
-        # Exactly one row of n_buckets doubles: a proven size bound.
-        bounds = F.broadcast(bounds)
-    # Otherwise one row per group: AQE broadcasts it at runtime when small
-    # and keeps a shuffle join when there are very many groups.
-    with_bounds = df.join(bounds, group_cols)
-    return with_bounds.withColumn(
-        "_bucket", F.coalesce(_count_below(F.col("_bounds"), F.col(order_col), n_buckets - 1), F.lit(0))
-    ).drop("_bounds")
-
-
-def _count_below(bounds, v, n: int, lo: int = 0, hi: int | None = None):
-    """Number of the ``n`` sorted bounds that are < v, as a binary-search CASE tree.
-
-    Uses literal array positions only, so it stays inside whole-stage codegen
-    (a ``filter`` lambda over the array would be interpreted per row) and
-    costs log2(n) comparisons per row.
-    """
-    hi = n if hi is None else hi
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(bounds[mid] < v, _count_below(bounds, v, n, mid + 1, hi)).otherwise(
-        _count_below(bounds, v, n, lo, mid))
+        F.percentile_approx(order_col, probs, max(SKETCH_ACCURACY, 4 * n_buckets)).alias("_bounds"))
+    out = join_on(df, bounds, group_cols, small=small or group_cols == [_ONE])
+    # Number of bounds below the value by halving steps: log2(n) comparisons a row.
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range((n_buckets - 1).bit_length()))])
+    v, last = F.col(order_col), F.lit(n_buckets - 1)
+
+    def halve(pos, step):
+        below = (pos + step <= last) & F.coalesce(F.get("_bounds", pos + step - 1) < v, F.lit(False))
+        return F.when(below, pos + step).otherwise(pos)
+
+    out = out.withColumn("_bucket", F.aggregate(steps, F.lit(0), halve))
+    return out.drop("_bounds")
 
 
 def running_totals(df: DataFrame, group_cols: list[str], order_col: str, sum_cols: list[str],
                    descending: bool = False, n_buckets: int | None = None,
-                   prefix: str = "cum_", materialize: bool = True) -> DataFrame:
+                   prefix: str = "cum_", materialize: bool = True, small: bool = False,
+                   totals_prefix: str | None = None) -> DataFrame:
     """Adds ``prefix+c``: inclusive running sum of each ``c`` along ``order_col``.
 
     ``order_col`` must be unique within each group and non-null.  The input
     feeds three branches (bounds, bucket totals, window); with
     ``materialize`` it is checkpointed once to the shared checkpoint folder,
     which also cuts the lineage a lost executor would have to replay.
+    ``totals_prefix`` adds each group's whole sums as well; ``small`` says that
+    the number of groups is bounded by the call.
     """
     if materialize:
         df = cut_lineage(df)
     if n_buckets is None:
         # Size the buckets from the (already materialised, cheap to count)
-        # input: about ROWS_PER_BUCKET rows per window task.
-        n_buckets = max(1, min(MAX_BUCKETS, -(-df.count() // ROWS_PER_BUCKET)))
+        # input: about ROWS_PER_BUCKET rows per window task, however many.
+        n_buckets = max(1, -(-df.count() // ROWS_PER_BUCKET))
     cols = df.columns
     df, group_cols = _with_group(df, group_cols)
-    b = _bucketed(df, group_cols, order_col, n_buckets)
+    b = _bucketed(df, group_cols, order_col, n_buckets, small)
     keys = group_cols + ["_bucket"]
     totals = b.groupBy(*keys).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     bucket_order = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
     w_off = Window.partitionBy(*group_cols).orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, *[F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_o_{c}")
-                                     for c in sum_cols])
-    # offsets has (#groups x n_buckets) rows; AQE broadcasts it at runtime.
-    j = b.join(offsets, keys)
+    whole = Window.partitionBy(*group_cols)
+    offsets = totals.select(*keys, *[F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_o_{c}") for c in sum_cols],
+                            *[F.sum(f"_t_{c}").over(whole).alias(f"{totals_prefix}{c}") for c in (sum_cols if totals_prefix else [])])
+    # (#groups x n_buckets) rows on the keys of the window that follows: one
+    # exchange serves both, and a bucket holds about ROWS_PER_BUCKET rows.
+    j = join_on(b, offsets, keys, small=small and n_buckets <= 1024)
     row_order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     w = Window.partitionBy(*keys).orderBy(row_order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = j.select(*cols, *[(F.col(f"_o_{c}") + F.sum(c).over(w)).alias(prefix + c) for c in sum_cols])
-    return out
+    return j.select(*cols, *[(F.col(f"_o_{c}") + F.sum(c).over(w)).alias(prefix + c) for c in sum_cols],
+                    *[F.col(f"{totals_prefix}{c}") for c in (sum_cols if totals_prefix else [])])
 
 
 def value_counts_long(df: DataFrame, group_cols: list[str], value_col: str) -> DataFrame:
@@ -102,113 +107,80 @@ def value_counts_long(df: DataFrame, group_cols: list[str], value_col: str) -> D
               .groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_n")))
 
 
-MAX_EXACT_BUFFER = 2_000_000
-
-
-def fits_exact_buffer(long_df: DataFrame, group_cols: list[str], value_col: str,
-                      max_exact_buffer: int | None = MAX_EXACT_BUFFER) -> bool:
-    """True when every group's distinct non-null count (HyperLogLog) is within the bound."""
-    if not max_exact_buffer:
-        return False
-    base = long_df.where(F.col(value_col).isNotNull())
-    ndv = base.groupBy(*group_cols).agg(F.approx_count_distinct(value_col, 0.05).alias("_d")) \
-        .agg(F.max("_d")).first()[0]
-    return ndv is None or ndv <= max_exact_buffer
-
-
 def exact_quantiles(long_df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
-                    n_buckets: int | None = None, max_exact_buffer: int | None = MAX_EXACT_BUFFER) -> DataFrame:
-    """Exact linear-interpolated quantiles per group.
+                    small: bool = False, accuracy: int = SKETCH_ACCURACY) -> DataFrame:
+    """Exact linear-interpolated quantiles per group, in two passes at every size.
 
     Returns (group..., prob, quantile), equal to numpy's default
-    ``percentile`` and SQL ``quantile_cont``.  Spark's exact ``percentile``
-    aggregate keeps every distinct value of a group in one buffer, so it is
-    used only behind a size check: one HyperLogLog pass bounds the largest
-    group's distinct count, and above ``max_exact_buffer`` (or when
-    ``max_exact_buffer`` is None) the fully distributed selection runs
-    instead: distinct-value counts, bucketed running counts, then a lookup of
-    ranks floor/ceil(p * (n - 1)).
+    ``percentile`` and SQL ``quantile_cont``; NULL values are skipped, a NULL
+    group is a group.  Pass one brackets each quantile with a bounded sketch
+    (rank error at most 1 / accuracy).  Pass two counts the rows below, above,
+    and per value inside each bracket, and the target ranks
+    floor/ceil(p * (n - 1)) are looked up there: a window holds the distinct
+    values of a bracket, 8 / accuracy of the group's rows, not the group.  A
+    rank outside its bracket would raise an error.  ``small`` says that the
+    number of groups is bounded by the call.
     """
-    if fits_exact_buffer(long_df, group_cols, value_col, max_exact_buffer):
-        base = long_df.where(F.col(value_col).isNotNull())
-        q = F.percentile(F.col(value_col), [float(p) for p in probs]).alias("_q")
-        agg = base.groupBy(*group_cols).agg(q)
-        return agg.select(*group_cols, F.explode(F.arrays_zip(
-            F.array(*[F.lit(float(p)) for p in probs]).alias("prob"), F.col("_q").alias("quantile"))).alias("z")
-        ).select(*group_cols, F.col("z.prob").alias("prob"), F.col("z.quantile").alias("quantile"))
-    return _selected_quantiles(long_df, group_cols, value_col, probs, n_buckets)
-
-
-def _selected_quantiles(long_df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
-                        n_buckets: int | None) -> DataFrame:
     out_groups = list(group_cols)
-    long_df, group_cols = _with_group(long_df, group_cols)
-    # The distinct-value counts feed four branches (bounds, bucket totals,
-    # running window, group totals): checkpoint them once (one row per
-    # distinct value) instead of recomputing the input for each.
-    counts = cut_lineage(value_counts_long(long_df, group_cols, value_col))
-    cum = running_totals(counts, group_cols, value_col, ["_n"], n_buckets=n_buckets, materialize=False)
-    cum = cum.withColumn("_lo_rank", F.col("cum__n") - F.col("_n"))
-    totals = counts.groupBy(*group_cols).agg(F.sum("_n").alias("_total"))
-    # Target ranks: (#groups x #probs x 2) rows.
-    targets = totals.select(*group_cols, "_total",
-                            F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
-    targets = targets.withColumn("_pos", F.col("prob") * (F.col("_total") - 1)) \
-        .withColumn("_r_lo", F.floor("_pos")).withColumn("_r_hi", F.ceil("_pos")) \
-        .withColumn("_frac", F.col("_pos") - F.col("_r_lo"))
-    ranks = targets.select(*[F.col(g).alias(f"_k_{g}") for g in group_cols], "prob", "_frac", F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("_r_lo").alias("r")),
-        F.struct(F.lit(1).alias("side"), F.col("_r_hi").alias("r")))).alias("t"))
-    ranks = ranks.select(*[f"_k_{g}" for g in group_cols], "prob", "_frac", "t.side", "t.r")
-    if group_cols == [_ONE]:
-        ranks = F.broadcast(ranks)  # 2 x len(probs) rows
-    cond = (F.col("r") >= F.col("_lo_rank")) & (F.col("r") < F.col("cum__n"))
-    for g in group_cols:
-        cond = cond & F.col(f"_k_{g}").eqNullSafe(F.col(g))
-    hit = cum.join(ranks, cond)
-    picked = hit.groupBy(*[F.col(f"_k_{g}").alias(g) for g in group_cols], "prob").agg(
-        F.max(F.when(F.col("side") == 0, F.col(value_col))).alias("_v_lo"),
-        F.max(F.when(F.col("side") == 1, F.col(value_col))).alias("_v_hi"),
-        F.max("_frac").alias("_frac"))
+    base, groups = _with_group(long_df.where(F.col(value_col).isNotNull()), group_cols)
+    base = base.select(*groups, F.col(value_col).cast("double").alias("_v"))
+    margin = 4.0 / accuracy
+    ends = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
+    sketch = base.groupBy(*groups).agg(F.percentile_approx("_v", ends, accuracy).alias("_e"))
+    brackets = sketch.select(*groups, F.array(*[
+        F.struct(F.lit(j).alias("j"), F.col("_e")[j].alias("lo"), F.col("_e")[j + len(probs)].alias("hi"))
+        for j in range(len(probs))]).alias("_b"))
+    v = join_on(base, brackets, groups, small=small or groups == [_ONE])
+    v = v.select(*groups, "_v", F.explode("_b").alias("_b")).select(*groups, "_v", "_b.*")
+    side = F.when(F.col("_v") < F.col("lo"), 0).when(F.col("_v") > F.col("hi"), 2).otherwise(1)
+    v = v.withColumn("_side", side).withColumn("_in", F.when(F.col("_side") == 1, F.col("_v")))
+    cells = v.groupBy(*groups, "j", "_side", "_in").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
+    w = Window.partitionBy(*groups, "j").orderBy("_side", "_in")
+    whole = Window.partitionBy(*groups, "j")
+    cells = cells.withColumns({"_to": F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+                               "_all": F.sum("_n").over(whole)})
+    p = F.element_at(F.array(*[F.lit(float(x)) for x in probs]), F.col("j") + 1)
+    cells = cells.withColumns({"prob": p, "_pos": p * (F.col("_all") - 1)})
+    cells = cells.withColumns({"_lo": F.floor("_pos"), "_hi": F.ceil("_pos")})
+
+    def at(rank: str):
+        here = (F.col(rank) >= F.col("_to") - F.col("_n")) & (F.col(rank) < F.col("_to"))
+        value = (F.when(F.col("_side") == 1, F.col("_in"))
+                 .when((F.col("_side") == 0) & (F.col(rank) == F.col("_to") - 1), F.col("_mx"))
+                 .when((F.col("_side") == 2) & (F.col(rank) == F.col("_to") - F.col("_n")), F.col("_mn"))
+                 .otherwise(F.raise_error(F.lit("a quantile's rank lies outside its bracket")).cast("double")))
+        return F.max(F.when(here, value))
+
+    picked = cells.groupBy(*groups, "prob").agg(at("_lo").alias("_v_lo"), at("_hi").alias("_v_hi"),
+                                                F.max(F.col("_pos") - F.col("_lo")).alias("_frac"))
     q = F.when(F.col("_v_lo") == F.col("_v_hi"), F.col("_v_lo")).otherwise(
         (F.lit(1.0) - F.col("_frac")) * F.col("_v_lo") + F.col("_frac") * F.col("_v_hi"))
     return picked.select(*out_groups, "prob", q.alias("quantile"))
 
 
 def quantiles_wide(long_df: DataFrame, group_cols: list[str], value_col: str, probs: dict[str, float],
-                   approx: bool = False, n_buckets: int | None = None,
-                   max_exact_buffer: int | None = MAX_EXACT_BUFFER, extra_aggs: list | None = None) -> DataFrame:
+                   approx: bool = False, small: bool = False, extra_aggs: list | None = None) -> DataFrame:
     """One row per group with one column per named probability.
 
     ``approx=True`` uses the bounded ``percentile_approx`` sketch (one pass);
-    the default is exact: Spark's ``percentile`` behind the buffer check, else
-    the distributed selection above.  ``extra_aggs`` (aliased aggregate
-    columns over all of ``long_df``'s rows, NULL values included) ride in the
-    same aggregate when one pass computes the quantiles; otherwise they are a
-    second aggregate joined on the group.  Quantiles skip NULL values.
+    the default is exact (see ``exact_quantiles``).  ``extra_aggs`` are aliased
+    aggregate columns over all of ``long_df``'s rows, NULL values included; a
+    group without any value has NULL quantiles.
     """
     names = list(probs)
-    extra = list(extra_aggs or [])
     ps = [float(probs[n]) for n in names]
-
-    def wide_from(agg_col):
-        res = long_df.groupBy(*group_cols).agg(agg_col, *extra) if group_cols else long_df.agg(agg_col, *extra)
-        return res.select(*group_cols, *[F.col("_q")[i].cast("double").alias(n) for i, n in enumerate(names)],
-                          *[c for c in res.columns if c not in (*group_cols, "_q")])
-
+    keyed, groups = _with_group(long_df, group_cols)
     if approx:
-        return wide_from(F.percentile_approx(value_col, ps, SKETCH_ACCURACY).alias("_q"))
-    if fits_exact_buffer(long_df, group_cols, value_col, max_exact_buffer):
-        # percentile ignores NULL inputs, so no pre-filter is needed.
-        return wide_from(F.percentile(F.col(value_col), ps).alias("_q"))
-    q = _selected_quantiles(long_df, group_cols, value_col, ps, n_buckets)
-    aggs = [F.max(F.when(F.col("prob") == F.lit(p), F.col("quantile"))).alias(n) for n, p in zip(names, ps)]
-    wide = q.groupBy(*group_cols).agg(*aggs) if group_cols else q.agg(*aggs)
-    if not extra:
-        return wide
-    if not group_cols:  # one row each: join on a constant key
-        return long_df.agg(*extra).withColumn("_k", F.lit(0)).join(wide.withColumn("_k", F.lit(0)), "_k").drop("_k")
-    return long_df.groupBy(*group_cols).agg(*extra).join(wide, group_cols, "left")
+        res = keyed.groupBy(*groups).agg(F.percentile_approx(value_col, ps, SKETCH_ACCURACY).alias("_q"), *(extra_aggs or []))
+        rest = [c for c in res.columns if c not in (*groups, "_q")]
+        return res.select(*group_cols, *[F.col("_q")[i].cast("double").alias(n) for i, n in enumerate(names)], *rest)
+    q = exact_quantiles(keyed, groups, value_col, ps, small or groups == [_ONE])
+    wide = q.groupBy(*groups).agg(*[F.max(F.when(F.col("prob") == F.lit(p), F.col("quantile"))).alias(n)
+                                    for n, p in zip(names, ps, strict=True)])
+    every = keyed.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rows"), *(extra_aggs or [])).drop("_rows")
+    out = join_on(every, wide, groups, "left", small=small or groups == [_ONE])
+    return out.select(*group_cols, *names, *[c for c in every.columns if c not in groups])
 
 
 def top_k_per_group(df: DataFrame, group_cols: list[str], order: list, k: int, key_col: str,

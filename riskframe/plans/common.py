@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..sources import tables
 
 DP = 6
 
 
-def rounded(df: DataFrame, dp: int = DP) -> DataFrame:
-    """Round every double column (both engines sum in different orders)."""
-    return df.select(*[F.round(F.col(f.name), dp).alias(f.name) if isinstance(f.dataType, T.DoubleType)
-                       else F.col(f.name) for f in df.schema.fields])
+def rounded(df: DataFrame, cols: list[str], dp: int = DP) -> DataFrame:
+    """Round the named measures (both engines sum in different orders); keys and thresholds stay exact."""
+    return df.withColumns({c: F.round(F.col(c), dp) for c in cols}) if cols else df
 
 
 def round_sql(sql: str, cols: list[str], dp: int = DP) -> str:

@@ -72,7 +72,7 @@ def _logit(cols):
 
 def _gen_sql():
     C, m = config.CF_CANDIDATES, len(MUT)
-    key = f"(c.case_id * {C} + c.candidate)"
+    key = ["c.case_id", "c.candidate"]
     level = f"(1 + FLOOR(c.candidate * {m} / {C}))"
     sel, ch, dist = [], [], []
     for j, f in enumerate(MUT):
@@ -135,8 +135,10 @@ def log_odds_coefficients(spark, sf):
 @query("feature_importance", with_views("SELECT * FROM importance", "importance"),
        ["coefficient", "abs_coefficient", "odds_ratio"])
 def feature_importance(spark, sf):
-    """Abs, effect, clipped odds ratio, rank by |coefficient|."""
-    return explain.feature_importance(coefficients(spark, sf))
+    """Names joined to coefficients, abs, effect, clipped odds ratio, rank by |coefficient|."""
+    c = cut_lineage(coefficients(spark, sf))
+    names = spark.createDataFrame([(len(SCALED) + i, f"{a}_{v}") for i, (a, v) in enumerate(ONE_HOT)], "feature_index int, feature string")
+    return explain.feature_importance(explain.pair_names(names, c))
 
 
 @query("top_features", with_views(
@@ -171,14 +173,21 @@ def _cases(spark, sf):
     return _cases_from(_prepared(spark, sf))
 
 
+def _case_rows(p):
+    """The top cases with every feature: they ride through the limit, nothing is joined back."""
+    scored = models.score_linear(p, keep=["id", "dataset", "status", *SCALED, *CAT])
+    return cut_lineage(cf.top_cases(scored.where(F.col("dataset") == "test")))
+
+
+def _ranges(p, permitted=None):
+    return cf.fetch_ranges(cf.feature_ranges(p.where(F.col("dataset") == "train")), permitted)
+
+
 def _cf_parts(spark, sf):
-    # The prepared table feeds the case search, the ranges and the case rows.
-    p = cut_lineage(_prepared(spark, sf))
-    cases = cut_lineage(_cases_from(p))
-    case_feats = p.join(cases.select(F.col("test_index").alias("id")), "id", "left_semi")
-    ranges = cf.fetch_ranges(cf.feature_ranges(p.where(F.col("dataset") == "train")))
-    cfs = cf.generate(case_feats, ranges)
-    return cases, case_feats, cfs
+    p = _prepared(spark, sf)
+    case_feats = _case_rows(p)      # a row a case
+    cases = cf.high_risk_cases(case_feats, None)
+    return cases, case_feats, cf.generate(case_feats, _ranges(p))
 
 
 @query("high_risk_cases", with_views("SELECT * FROM cases", "cases"), ["predicted_proba"])
@@ -247,3 +256,36 @@ def cf_change_frequency(spark, sf):
     """K8: how often each mutable feature is changed across all counterfactuals."""
     _, case_feats, cfs = _cf_parts(spark, sf)
     return cf.change_frequency(cf.deltas(case_feats, cfs))
+
+
+#: Features that the search leaves alone, in the order of the feature table.
+CARRIED = [c for c in SCALED if c not in MUT] + CAT
+register("cfs_full", "SELECT x.*, " + ", ".join(f"o.{c}" for c in CARRIED) + ", CAST(0 AS INT) AS label "
+         "FROM cfs x JOIN case_feats o ON x.case_id = o.id", ["cfs", "case_feats"])
+
+
+@query("counterfactuals_full", with_views("SELECT * FROM cfs_full", "cfs_full"), ["distance", "predicted_proba", *MUT, "year"])
+def counterfactuals_full(spark, sf):
+    """K3: whole counterfactual rows, every feature and the label, immutable ones copied."""
+    p = _prepared(spark, sf)
+    return cf.generate(_case_rows(p), _ranges(p), carry=CARRIED)
+
+
+#: User bounds of the permitted-range query, in standard deviations.
+PERMITTED = {"loan_amount": (-1.0, 0.5), "income": (None, 1.0), "ltv": (-0.5, None)}
+register("ranges_permitted", "SELECT " + ", ".join(
+    f"GREATEST({f}__min, {dbl(PERMITTED.get(f, (None, None))[0])}) AS {f}__min" if PERMITTED.get(f, (None, None))[0] is not None else f"{f}__min"
+    for f in MUT) + ", " + ", ".join(
+    f"LEAST({f}__max, {dbl(PERMITTED.get(f, (None, None))[1])}) AS {f}__max" if PERMITTED.get(f, (None, None))[1] is not None else f"{f}__max"
+    for f in MUT) + " FROM ranges", ["ranges"])
+register("gen_permitted", _GEN.replace("ranges r", "ranges_permitted r"), ["cand", "ranges_permitted"])
+register("scored_c_permitted", _SCORED_C.replace("FROM gen", "FROM gen_permitted"), ["gen_permitted"])
+
+
+@query("counterfactuals_permitted", with_views(
+    f"SELECT * FROM ({_BEST.replace('FROM scored_c ', 'FROM scored_c_permitted ')}) WHERE cf_no <= {config.TOTAL_CFS}",
+    "scored_c_permitted"), ["distance", "predicted_proba", *MUT])
+def counterfactuals_permitted(spark, sf):
+    """K9: the search inside user bounds, cut to the training range."""
+    p = _prepared(spark, sf)
+    return cf.generate(_case_rows(p), _ranges(p, PERMITTED))

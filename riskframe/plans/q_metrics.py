@@ -24,7 +24,7 @@ WINDOW w AS (PARTITION BY model, dataset ORDER BY p DESC ROWS BETWEEN UNBOUNDED
 
 _AUC = ("CAST(SUM(neg * (CAST(tps AS DOUBLE) - CAST(pos AS DOUBLE) / 2)) AS DOUBLE) / "
         "(CAST(MAX(tot_pos) AS DOUBLE) * CAST(MAX(tot_neg) AS DOUBLE))")
-_AP = "SUM(CAST(pos * tps AS DOUBLE) / CAST(tps + fps AS DOUBLE)) / CAST(MAX(tot_pos) AS DOUBLE)"
+_AP = "SUM(CAST(pos AS DOUBLE) * CAST(tps AS DOUBLE) / CAST(tps + fps AS DOUBLE)) / CAST(MAX(tot_pos) AS DOUBLE)"
 _BRIER = "AVG(POWER(p - y, 2))"
 
 register("auc_tbl", f"SELECT model, dataset, {_AUC} AS auc_roc, {_AP} AS auc_pr FROM cum GROUP BY model, dataset",

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions.hashing import unit_hash, unit_hash_sql
 from ..operators import counterfactual as cf
 from ..operators import explain, features, metrics, models
+from ..session import checkpoint_dir, cut_lineage
 from ..streaming import scoring
 from . import common
-from .q_explain import _BEST, _CAND, _GEN, _SCORED_C
+from .q_explain import _BEST, _CAND, _GEN, _SCORED_C, MUT, ONE_HOT, _case_rows, _prepared, _ranges
 from .registry import query
 from .sql_views import dbl, register, with_views
 
@@ -18,42 +22,55 @@ SCALED = config.SCALED_COLS
 
 
 def model_input(spark, sf):
-    """Prepared table plus the one-hot block (levels from the training rows)."""
-    enc = features.prepared_encoded(common.raw(spark, sf), CAT, keep=["id", "dataset", "status", *SCALED])
+    """Prepared table plus the one-hot block (levels from the training rows), materialised once:
+    fits pass over it many times."""
+    enc = cut_lineage(features.prepared_encoded(common.raw(spark, sf), CAT, keep=["id", "dataset", "status", *SCALED]))
     names = [c for c in enc.columns if c not in ("id", "dataset", "status")]
     return enc, names
 
 
 # ------------------------------------------------------------ network forward
 
+NETWORK = models.rule_network(len(SCALED))
+
+
 def _network_sql():
-    layers = models.demo_network(SCALED)
-    w1, b1 = layers[0]["w"], layers[0]["b"]
-    l2 = layers[1]
-    w3, b3 = layers[2]["w"], layers[2]["b"]
-    h1 = []
-    for k in range(w1.shape[1]):
-        s = " + ".join(f"{SCALED[i]} * {dbl(w1[i][k])}" for i in range(len(SCALED)))
-        h1.append(f"GREATEST({s} + {dbl(b1[k])}, 0.0) AS h1_{k}")
-    h2 = []
-    for k in range(l2["w"].shape[1]):
-        s = " + ".join(f"h1_{i} * {dbl(l2['w'][i][k])}" for i in range(l2["w"].shape[0]))
-        h2.append(f"GREATEST(({s} + {dbl(l2['b'][k])}) * {dbl(l2['scale'][k])} + {dbl(l2['shift'][k])} + h1_{k}, 0.0)"
-                  f" AS h2_{k}")
-    z = " + ".join(f"h2_{k} * {dbl(w3[k][0])}" for k in range(w3.shape[0])) + f" + {dbl(b3[0])}"
+    """One nested SELECT a layer; unit columns are numbered per layer."""
+    def affine(layer, ins, k):
+        z = "(" + " + ".join(f"{c} * {dbl(layer['w'][i][k])}" for i, c in enumerate(ins)) + f" + {dbl(layer['b'][k])})"
+        return f"({z} * {dbl(layer['scale'][k])} + {dbl(layer['shift'][k])})" if "scale" in layer else z
+
+    sql, ins, depth = "prepared", SCALED, 0
+
+    def step(layer, skip=None):
+        nonlocal sql, ins, depth
+        depth += 1
+        outs = [f"h{depth}_{k}" for k in range(len(layer["b"]))]
+        units = [f"GREATEST({affine(layer, ins, k)}{' + ' + skip[k] if skip else ''}, 0.0) AS {o}" for k, o in enumerate(outs)]
+        sql, ins = f"(SELECT *, {', '.join(units)} FROM {sql})", outs
+
+    for part in NETWORK:
+        if "dense" in part:
+            step(part["dense"])
+        elif "block" in part:
+            before = ins
+            step(part["block"][0])
+            step(part["block"][1], before)
+    z = affine(NETWORK[-1]["output"], ins, 0)
     return f"""
 SELECT id, dataset, status, p AS predicted_probability, CAST(CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS INT) AS predicted_label
-FROM (SELECT id, dataset, status, 1.0 / (1.0 + EXP(-({z}))) AS p
-      FROM (SELECT id, dataset, status, h1_0, h1_1, h1_2, {', '.join(h2)}
-            FROM (SELECT id, dataset, status, {', '.join(h1)} FROM prepared)))
+FROM (SELECT id, dataset, status, 1.0 / (1.0 + EXP(-({z}))) AS p FROM {sql})
 """
 
 
 @query("score_network", with_views(_network_sql(), "prepared"), ["predicted_probability"])
 def score_network(spark, sf):
-    """Residual network forward pass in Arrow batches (mapInPandas, weights broadcast)."""
+    """Two residual blocks with a down-projection between them, weights from a saved file,
+    in Arrow batches (mapInPandas, weights broadcast)."""
+    path = f"{checkpoint_dir(spark)}/network-{uuid.uuid4().hex}"
+    models.save_network(spark, NETWORK, path)
     p = features.prepared(common.raw(spark, sf))
-    return models.score_network(p, SCALED, models.demo_network(SCALED), ["id", "dataset", "status"])
+    return models.score_network(p, SCALED, models.load_network(spark, path), ["id", "dataset", "status"])
 
 
 # ------------------------------------------------------------- fitted models
@@ -62,41 +79,52 @@ def _train(enc):
     return enc.where(F.col("dataset") == "train")
 
 
-@query("fit_logistic", check="R")
+def _logistic(enc, names):
+    return models.fit_logistic(_train(enc), names, C=100.0, max_iter=1000)
+
+
+NAMES = [*SCALED, *[f"{c}_{v}" for c, v in ONE_HOT]]
+
+
+@query("fit_logistic", "\nUNION ALL ".join(
+    f"SELECT CAST({i} AS INT) AS feature_index, '{f}' AS feature, TRUE AS stationary" for i, f in [*enumerate(NAMES), (-1, "intercept")]))
 def fit_logistic(spark, sf):
-    """L2 logistic regression (C = 100, lbfgs) on the training rows; coefficient table."""
+    """L2 logistic regression (C = 100, lbfgs) on the training rows, checked: at the fitted
+    coefficients the gradient of the penalised loss vanishes in every direction."""
     enc, names = model_input(spark, sf)
-    m = models.fit_logistic(_train(enc), names, C=100.0, max_iter=1000)
-    coefs = models.coefficient_table(spark, m, names)
-    return coefs.unionByName(spark.createDataFrame([(-1, "intercept", float(m.intercept))],
-                                                   "feature_index int, feature string, coefficient double"))
+    g = models.logistic_gradient(_train(enc), _logistic(enc, names), names, 100.0)
+    return g.select("feature_index", "feature", (F.abs("gradient") < 1e-5).alias("stationary"))
 
 
 @query("logistic_importance", check="R")
 def logistic_importance(spark, sf):
-    """G1 on the fitted logistic coefficients (the workflow's importance step)."""
+    """G1 / E1 on the fitted logistic coefficients (names checked against them)."""
     enc, names = model_input(spark, sf)
-    m = models.fit_logistic(_train(enc), names, C=100.0, max_iter=1000)
-    return explain.feature_importance(models.coefficient_table(spark, m, names))
+    return explain.feature_importance(models.coefficient_table(spark, _logistic(enc, names), names))
 
 
-@query("score_model", check="R")
+@query("score_model", with_views("""
+SELECT dataset, CAST(COUNT(*) AS BIGINT) AS n, CAST(COUNT(*) AS BIGINT) AS n_recomputed, CAST(COUNT(*) AS BIGINT) AS n_labels
+FROM prepared GROUP BY dataset""", "prepared"))
 def score_model(spark, sf):
-    """I4: fitted logistic model applied to every row (probability and label)."""
+    """I4: the fitted logistic model applied to every row, checked: each probability equals the
+    sigmoid of the returned coefficients, each label its threshold."""
     enc, names = model_input(spark, sf)
-    m = models.fit_logistic(_train(enc), names, C=100.0, max_iter=1000)
-    return models.score_model(m, enc, names, ["id", "dataset", "status"])
+    m = _logistic(enc, names)
+    p = models.sigmoid(models.linear_logit(dict(zip(names, map(float, m.coefficients), strict=True)), float(m.intercept)))
+    scored = models.score_model(m, enc.withColumn("_p", p), names, ["id", "dataset", "status", "_p"])
+    close = F.abs(F.col("_p") - F.col("predicted_probability")) < 1e-9
+    label = F.col("predicted_label") == (F.col("_p") >= config.DECISION_THRESHOLD).cast("int")
+    return scored.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.count_if(close).alias("n_recomputed"), F.count_if(label).alias("n_labels"))
 
 
 @query("model_metrics", check="R")
 def model_metrics(spark, sf):
     """I1 + I3 + J10: held-out AUC-ROC, AUC-PR and Brier of the fitted logistic and MLP models."""
     enc, names = model_input(spark, sf)
-    train = _train(enc)
-    lr = models.fit_logistic(train, names, C=100.0, max_iter=1000)
-    mlp = models.fit_mlp(train, names)
     keep = ["id", "dataset", "status"]
-    recs = models.as_prediction_records(models.score_model(lr, enc, names, keep), "logistic").unionByName(
+    mlp = models.fit_mlp(_train(enc), enc.where(F.col("dataset") == "validation"), names)
+    recs = models.as_prediction_records(models.score_model(_logistic(enc, names), enc, names, keep), "logistic").unionByName(
         models.as_prediction_records(models.score_model(mlp, enc, names, keep), "mlp"))
     return metrics.model_comparison(recs.where(F.col("dataset") != "train"))
 
@@ -105,18 +133,36 @@ def model_metrics(spark, sf):
 def fit_mlp(spark, sf):
     """I3 (re-aimed): Spark ML feed-forward classifier; validation/test metrics."""
     enc, names = model_input(spark, sf)
-    mlp = models.fit_mlp(_train(enc), names)
+    mlp = models.fit_mlp(_train(enc), enc.where(F.col("dataset") == "validation"), names)
     s = models.score_model(mlp, enc, names, ["id", "dataset", "status"])
-    recs = models.as_prediction_records(s, "mlp")
-    return metrics.model_comparison(recs.where(F.col("dataset") != "train"))
+    return metrics.model_comparison(models.as_prediction_records(s, "mlp").where(F.col("dataset") != "train"))
+
+
+FOLDS, GRID = 5, (0.01, 1.0, 100.0)
 
 
-@query("cv_grid", check="R")
+@query("cv_grid", with_views(f"""
+SELECT f.fold, c.C, f.n, f.positives, TRUE AS auc_checked
+FROM (SELECT CAST(LEAST(FLOOR({unit_hash_sql('id', 42)} * {FOLDS}), {FOLDS - 1}) AS INT) AS fold,
+             CAST(COUNT(*) AS BIGINT) AS n, CAST(SUM(status) AS BIGINT) AS positives
+      FROM prepared WHERE dataset = 'train' GROUP BY 1) f,
+     (VALUES {', '.join(f'({dbl(c)})' for c in GRID)}) c(C)""", "prepared"))
 def cv_grid(spark, sf):
-    """5-fold grid search over C (hash folds), mean AUC-ROC per C."""
+    """5-fold grid search over C (hash folds), checked: fold sizes and positives, and every
+    fold's AUC against this package's exact one on the fold's own scores."""
     enc, names = model_input(spark, sf)
-    cs, scores, _ = models.cv_grid(_train(enc), names, c_values=(0.01, 1.0, 100.0), folds=5)
-    return spark.createDataFrame([(float(c), float(s)) for c, s in zip(cs, scores)], "C double, mean_auc double")
+    train = _train(enc).withColumn("fold", F.least(F.floor(unit_hash("id", 42) * FOLDS), F.lit(FOLDS - 1)).cast("int"))
+    _, _, aucs, _ = models.cv_grid(_train(enc), names, c_values=GRID, folds=FOLDS)
+    parts = None
+    for (f, c), (_, m) in aucs.items():
+        one = models.score_model(m, train.where(F.col("fold") == f), names, ["fold", "status"]).select(
+            "fold", F.lit(float(c)).alias("C"), F.col("status").alias("y"), F.col("predicted_probability").alias("p"))
+        parts = one if parts is None else parts.unionByName(one)
+    own = metrics.roc_auc(parts, ["fold", "C"])
+    told = spark.createDataFrame([(f, float(c), a) for (f, c), (a, _) in aucs.items()], "fold int, C double, auc double")
+    sizes = train.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("status").cast("long")).alias("positives"))
+    return own.join(told, ["fold", "C"]).join(sizes, "fold").select(
+        "fold", "C", "n", "positives", (F.abs(F.col("auc") - F.col("auc_roc")) < 1e-6).alias("auc_checked"))
 
 
 # ------------------------------------------------------------------ streams
@@ -144,3 +190,17 @@ def stream_counterfactuals(spark, sf):
     prep = features.fit_prep(raw)
     ranges = cf.fetch_ranges(cf.feature_ranges(prep.transform(raw).where(F.col("dataset") == "train")))
     return scoring.counterfactual_stream(spark, sf, prep, ranges)
+
+
+@query("counterfactuals_model", check="R")
+def counterfactuals_model(spark, sf):
+    """K3 for a fitted classifier: the search scored by the Spark ML logistic model, whole rows."""
+    enc, names = model_input(spark, sf)
+    m = _logistic(enc, names)
+    keep = ["id", "dataset", "status", *names]
+    cases = cut_lineage(cf.top_cases(models.score_model(m, enc, names, keep).where(F.col("dataset") == "test"), threshold=0.5))
+    carry = [n for n in names if n not in MUT]
+
+    def scorer(df):
+        return models.score_model(m, df, names, df.columns).drop("predicted_label").withColumnRenamed("predicted_probability", "predicted_proba")
+    return cf.generate(cases.select("id", *names), _ranges(_prepared(spark, sf)), scorer=scorer, carry=carry)

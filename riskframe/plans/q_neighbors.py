@@ -42,7 +42,7 @@ SELECT n_min, n_maj - n_min AS need, (n_maj - n_min) // n_min AS q, (n_maj - n_m
 FROM (SELECT (SELECT COUNT(*) FROM minority) AS n_min,
              (SELECT MAX(n) FROM (SELECT COUNT(*) AS n FROM prepared WHERE dataset = 'train' GROUP BY status)) AS n_maj)
 """, ["minority", "prepared"])
-_KEY = "(s.base_id * (p.q + 2) + s.sample)"
+_KEY = ["s.base_id", "s.sample"]
 register("smote_rows", f"""
 WITH alloc AS (
   SELECT m.id AS base_id, p.q + CASE WHEN ((ROW_NUMBER() OVER (ORDER BY m.id) - 1) * p.a) % p.n_min < p.rem

@@ -16,12 +16,12 @@ CHECK: dict[str, str] = {}
 def query(name: str, sql: str | None = None, round_cols: list[str] | None = None, check: str = "E"):
     """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name``.
 
-    Double columns of the Spark result are rounded to 6 dp; ``round_cols``
-    names the columns the oracle must round the same way.
+    ``round_cols`` names the measures that both sides round to 6 dp; all other
+    columns must agree exactly.
     """
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return rounded(fn(spark, sf_dir))
+            return rounded(fn(spark, sf_dir), round_cols or [])
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
         QUERIES[name] = run

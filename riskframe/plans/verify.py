@@ -29,7 +29,7 @@ def _norm(v):
             return "NULL"
         if math.isinf(v):
             return "inf" if v > 0 else "-inf"
-        return f"{round(v, 6):.6f}"
+        return repr(v + 0.0)
     return str(v)
 
 

@@ -7,7 +7,6 @@ is absent (local runs, tests) do we point it at a folder we are given.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark import StorageLevel
@@ -48,7 +47,9 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
 
     Reads ``spark.checkpoint.dir`` from the session.  When unset (tests,
     local runs) a fallback is used and installed, so later ``checkpoint()``
-    calls work.  On a cluster the setting names shared storage.
+    calls work; ``local[...]`` masters may do without one, as driver and
+    executors are one process there.  Any other master without the setting is
+    an error.
     """
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
@@ -57,7 +58,11 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
-    path = fallback or os.environ.get("RISKFRAME_LOCAL_CHECKPOINT") or tempfile.mkdtemp(prefix="riskframe-ckpt-")
+    path = fallback
+    if path is None:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="riskframe-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path

@@ -6,8 +6,7 @@ use Spark writers, so output is written by the executors in parallel.
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,14 +24,18 @@ def read_feature_names(spark: SparkSession, path: str) -> DataFrame:
     Raises FileNotFoundError when the file is absent and ValueError when it
     holds no names.  A name list is one small file: it is read whole.
     """
-    if not os.path.exists(path):
-        raise FileNotFoundError(f"Feature names file not found at {path}")
-    lines = spark.read.text(path, wholetext=True).select(
+    try:
+        text = spark.read.text(path, wholetext=True)
+    except AnalysisException as e:      # Spark's reader knows every kind of path
+        if "PATH_NOT_FOUND" in str(e):
+            raise FileNotFoundError(f"no name list at {path}") from None
+        raise
+    lines = text.select(
         F.posexplode(F.split(F.col("value"), r"\r?\n")).alias("pos", "line"))
     names = lines.select("pos", F.trim("line").alias("feature")).where(F.col("feature") != "")
     out = names.select((F.row_number().over(Window.orderBy("pos")) - 1).alias("feature_index"), "feature")
     if out.limit(1).count() == 0:
-        raise ValueError("No feature names found")
+        raise ValueError(f"the name list at {path} is empty")
     return out
 
 

@@ -23,9 +23,13 @@ from ..sources import tables
 
 
 def application_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
-    schema = spark.read.parquet(os.path.join(sf_dir, "orders.parquet")).select(*tables.ORDER_COLS).schema
-    orders = (spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet")
-              .option("maxFilesPerTrigger", max_files_per_trigger).parquet(sf_dir))
+    # The table may be one file or a folder of part files.  A file stream
+    # watches a folder: given as a glob, the path's own name matches either
+    # the single file or, as a folder, is expanded to the files in it.
+    path = os.path.join(sf_dir, "orders.parquet")
+    schema = spark.read.parquet(path).select(*tables.ORDER_COLS).schema
+    orders = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+              .parquet(os.path.join(sf_dir, "orders[.]parquet")))
     customers = tables.table(spark, sf_dir, "customer", tables.CUSTOMER_COLS)
     return tables.applications_from(orders, customers)
 

@@ -62,4 +62,4 @@ def test_mismatched_names_raise(spark):
     names = spark.createDataFrame([(0, "a"), (1, "b")], "feature_index int, feature string")
     coefs = spark.createDataFrame([(0, 1.0)], "feature_index int, coefficient double")
     with pytest.raises(ValueError):
-        explain.check_alignment(names, coefs)
+        explain.pair_names(names, coefs)

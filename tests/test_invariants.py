@@ -15,40 +15,55 @@ def test_exact_quantiles_match_numpy(spark):
     vals = np.concatenate([rng.normal(size=500), np.repeat(3.0, 200), rng.integers(0, 5, 300).astype(float)])
     df = spark.createDataFrame([(("g%d" % (i % 3)), float(v)) for i, v in enumerate(vals)], "g string, v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    for n_buckets, limit in ((1, None), (7, None), (256, None), (256, 10 ** 6)):
-        # limit None forces the distributed selection; a limit allows the checked buffer path
-        got = {(r.g, r.prob): r.quantile for r in exact_quantiles(df, ["g"], "v", probs, n_buckets, limit).collect()}
+    for accuracy in (10000, 50):
+        # a coarse sketch makes brackets wide and narrow ones miss nothing
+        got = {(r.g, r.prob): r.quantile for r in exact_quantiles(df, ["g"], "v", probs, accuracy=accuracy).collect()}
         for gi in range(3):
             x = vals[np.arange(len(vals)) % 3 == gi]
             for p in probs:
                 assert got[("g%d" % gi, p)] == pytest.approx(np.percentile(x, p * 100), rel=1e-12, abs=1e-12)
 
 
-def test_quantiles_wide_extra_aggs_same_on_both_paths(spark):
-    # The one-pass path (buffer check passes) and the distributed path (no
-    # buffer) must give the same quantiles and the same fused extra columns,
-    # including a group whose values are all NULL.
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 7, 20, 101])
+def test_quantiles_of_small_groups(spark, n):
+    vals = [float((i * 37) % 11) for i in range(n)]
+    probs = [0.0, 0.01, 0.25, 1 / 3, 0.5, 0.75, 0.99, 1.0]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    got = {r.prob: r.quantile for r in exact_quantiles(df, [], "v", probs).collect()}
+    assert got == pytest.approx({p: np.percentile(vals, p * 100) for p in probs})
+
+
+def test_quantiles_of_many_rows_use_the_brackets(spark):
+    df = spark.range(0, 300_000).selectExpr("CAST((id * 7919) % 300007 AS DOUBLE) AS v", "CAST(id % 2 AS STRING) AS g")
+    x = (np.arange(300_000, dtype=np.int64) * 7919 % 300007).astype(float)
+    got = {(r.g, r.prob): r.quantile for r in exact_quantiles(df, ["g"], "v", [0.25, 0.5, 0.9], accuracy=1000).collect()}
+    for g in (0, 1):
+        for p in (0.25, 0.5, 0.9):
+            assert got[str(g), p] == pytest.approx(np.percentile(x[g::2], p * 100))
+
+
+def test_null_group_is_a_group(spark):
+    rows = [("a", 1.0), ("a", 2.0), (None, 5.0), (None, 7.0), ("b", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for small in (True, False):
+        out = quantiles_wide(df, ["g"], "v", {"q2": 0.5}, small=small, extra_aggs=[F.count(F.lit(1)).alias("rows")])
+        assert {r.g: (r.q2, r.rows) for r in out.collect()} == {"a": (1.5, 2), None: (6.0, 2), "b": (None, 1)}
+    t = spark.createDataFrame([(g, i, i + 1) for g in ("a", None) for i in range(400)], "g string, o int, n int")
+    want = {(g, i): (i + 1) * (i + 2) // 2 for g in ("a", None) for i in range(400)}
+    for buckets in (1, 1024):
+        got = running_totals(t, ["g"], "o", ["n"], n_buckets=buckets, totals_prefix="all_").collect()
+        assert {(r.g, r.o): r.cum_n for r in got} == want and {r.all_n for r in got} == {80200}
+
+
+def test_quantiles_wide_extra_aggs(spark):
+    # including a group whose values are all NULL
     rows = [("a", float(v)) for v in [4, 1, 3, 2, 2]] + [("b", None), ("b", None), ("c", 7.0)]
     df = spark.createDataFrame(rows, "g string, v double")
-    probs = {"q1": 0.25, "q2": 0.5}
-    res = []
-    for limit in (10 ** 6, None):
-        for groups in (["g"], []):
-            out = quantiles_wide(df, groups, "v", probs, max_exact_buffer=limit, extra_aggs=[
-                F.count("v").alias("n"), F.count(F.lit(1)).alias("rows"), F.max("v").alias("mx")])
-            res.append(sorted(tuple(r) for r in out.select(*groups, "q1", "q2", "n", "rows", "mx").collect()))
-    assert res[0] == res[2] and res[1] == res[3]
-    by_g = {r[0]: r[1:] for r in res[0]}
+    extra = [F.count("v").alias("n"), F.count(F.lit(1)).alias("rows"), F.max("v").alias("mx")]
+    by_g = {r.g: tuple(r)[1:] for r in quantiles_wide(df, ["g"], "v", {"q1": 0.25, "q2": 0.5}, extra_aggs=extra).collect()}
     assert by_g["a"] == (2.0, 2.0, 5, 5, 4.0)
     assert by_g["b"] == (None, None, 0, 2, None)
-    assert res[1] == [(2.0, 2.5, 6, 8, 7.0)]
-
-
-def test_global_quantile_without_groups(spark):
-    df = spark.createDataFrame([(float(x),) for x in [5, 1, 4, 2, 3, 3]], "v double")
-    for limit in (None, 100):
-        got = {r.prob: r.quantile for r in exact_quantiles(df, [], "v", [0.25, 0.5, 0.9], 4, limit).collect()}
-        assert got == {0.25: 2.25, 0.5: 3.0, 0.9: 4.5}
+    assert [tuple(r) for r in quantiles_wide(df, [], "v", {"q1": 0.25, "q2": 0.5}, extra_aggs=extra).collect()] == [(2.0, 2.5, 6, 8, 7.0)]
 
 
 def test_running_totals_equal_plain_cumsum(spark):
