@@ -35,7 +35,7 @@ FIRST = 0x100          # byte b is the code point FIRST + b
 MAPPED = {b: FIRST + b for b in range(256)}
 #: White_Space of Unicode, which the rank library's \\s means; Python's differs at U+001C to U+001F.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-SLICE = 4 << 20        # bytes of text handled at a time
+SLICE = 2 << 20        # bytes of text handled at a time
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -79,8 +79,8 @@ class Codec:
                 seed[token.decode()] = np.uint32(r).astype("<u4").tobytes()
             except UnicodeDecodeError:
                 pass
-        self.cache = Memo(self._pieces, 1 << 18, seed=seed)
-        self.parts = Memo(self._after_space, 1 << 20)
+        self.cache = Memo(self._pieces, 1 << 17, seed=seed)
+        self.parts = Memo(self._after_space, 1 << 17)
         # inverse mapping: piece text -> bytes, laid out by id
         size = max(ranks.values(), default=-1) + 1
         pieces: list[bytes] = [b""] * size

@@ -34,7 +34,7 @@ SWITCH = 8.0                    # cost of a change of language, in nats
 OTHER = -30.0                   # score of a word under a language whose script it isn't in
 SHARE = 0.001                   # of a language's letters that a script needs to belong to it
 UNKNOWN = "und"
-SLICE = 8 << 20
+SLICE = 3 << 20
 #: Unicode ranges by script; letters elsewhere are one script more.
 SCRIPTS = {
     "latin": [(0x41, 0x24F), (0x1E00, 0x1EFF)], "greek": [(0x370, 0x3FF), (0x1F00, 0x1FFF)], "cyrillic": [(0x400, 0x52F)],
@@ -107,7 +107,7 @@ class Labeller:
 
     def __init__(self, model: Model):
         self.model = model
-        self.scores = Memo(self._rows, 1 << 19)
+        self.scores = Memo(self._rows, 1 << 17)
 
     def _rows(self, words: list[str]) -> list[tuple[bytes, int]]:
         plain = [letters(w) for w in words]

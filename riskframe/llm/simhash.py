@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import documents, row_key, shuffle_width, slices, written
 from .components import components
 
-SLICE = 8 << 20
+SLICE = 4 << 20
 CHUNK = 1 << 16                # shingles hashed at a time
 LONG_LIST = 1 << 16            # a longer list is dealt anew by one more byte
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
