@@ -33,8 +33,8 @@ from ..session import checkpoint_dir
 from .common import Memo, documents, row_key, shuffle_width, slices
 
 BITS = 20                       # frequencies sum to 2**BITS
-LANES = 512
-STEPS = 256                     # steps between checkpoints
+LANES = 2048
+STEPS = 128                     # steps between checkpoints
 BLOCK = 1 << 19                 # ids after which a block is closed
 SLICE = 4 << 20
 JOINED = 4096                   # words encoded as one text
@@ -58,7 +58,7 @@ class Words:
         if suffix:
             self.last[[i for token, i in self.model.get_vocab().items() if token.endswith(suffix)]] = True
         self.cores = Memo(self._encode, 1 << 19)
-        self.parts = Memo(self._split, 1 << 17)
+        self.parts = Memo(self._split, 1 << 19)
 
     def _encode(self, words: list[str]) -> list[bytes]:
         """Words of ASCII letters are one pre-token each: many go in one text, cut behind each
@@ -122,10 +122,8 @@ def frequencies(tokens: DataFrame, kind: np.dtype, size: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in batch.column("ids").to_pylist():
-                total += np.bincount(np.frombuffer(ids, kind), minlength=size) if len(ids) > 4 * size else 0
-                if len(ids) <= 4 * size:
-                    np.add.at(total, np.frombuffer(ids, kind), 1)
+            for part in slices(batch, "ids", SLICE):
+                total += np.bincount(np.frombuffer(b"".join(part.column("ids").to_pylist()), kind), minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
