@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.running import top_k_per_group
 from .common import Memo, documents, gram_buckets, slices
 
 PER_LANGUAGE = 400
@@ -162,8 +163,9 @@ def viterbi(scores: list[np.ndarray], penalty: float, states: int) -> list[np.nd
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """Fit on (doc_id, text, lang) rows with a language; None if there is none."""
     l = labelled.select(labelled["doc_id"].alias("doc_id"), labelled["text"].alias("text"), labelled["lang"].alias("lang")).where("doc_id is not null and text is not null and lang is not null")
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = l.select("doc_id", "lang").withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= per_language).select("doc_id", "lang").distinct()
+    # two rounds over hashed parts of a language: no task ranks a whole one
+    chosen = top_k_per_group(l.select("doc_id", "lang"), ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")], per_language, "doc_id", rank_col="__n")
+    chosen = chosen.select("doc_id", "lang").distinct()
     sample = l.join(F.broadcast(chosen), ["doc_id", "lang"])               # per_language rows a language at most
     shape = ORDER, 1 << BITS
 
