@@ -41,6 +41,11 @@ JOINED = 4096                   # words encoded as one text
 TAIL = ".,!?;:*#$%&|)]}\"-+=/"  # marks that always start a pre-token of their own behind a letter or digit
 
 
+def plain(word: str) -> bool:
+    """Of characters up to Latin Extended-A, whose lower case is one letter each (U+0130's is not)."""
+    return word.isascii() or max(word) <= "\u017f" and "\u0130" not in word
+
+
 class Words:
     """Token ids of texts by the tokenizers library, each distinct word encoded once.
 
@@ -61,14 +66,16 @@ class Words:
         self.parts = Memo(self._split, 1 << 19)
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        """Words of ASCII letters are one pre-token each: many go in one text, cut behind each
+        """Plain words are one pre-token each: many go in one text, cut behind each
         pre-token's last id.  Others are texts of their own."""
-        whole = [w for w in words if w.isascii() and w.isalpha()] if self.last.any() else []
+        whole = [w for w in words if w.isalpha() and plain(w)] if self.last.any() else []
         found = {}
         for at in range(0, len(whole), JOINED):
             some = whole[at:at + JOINED]
             ids = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
             ends = (np.flatnonzero(self.last[ids]) + 1) * self.kind.itemsize
+            if len(ends) != len(some):
+                continue                                     # not one pre-token each after all
             raw = ids.tobytes()
             found.update(zip(some, [raw[a:b] for a, b in itertools.pairwise([0, *ends.tolist()])], strict=True))
         rest = [w for w in words if w not in found]
@@ -77,11 +84,11 @@ class Words:
         return [found[w] for w in words]
 
     def _split(self, parts: list[str]) -> list[bytes]:
-        """A word without the marks behind it, in lower case if ASCII, has the ids it has alone."""
+        """A word without the marks behind it, in lower case if plain, has the ids it has alone."""
         cut = []
         for p in parts:
             core = p.rstrip(TAIL)
-            if core and core[-1].isalnum() and core.isascii():
+            if core and core[-1].isalnum() and plain(core):
                 cut.append((core.lower(), p[len(core):]))
             else:
                 cut.append((p, ""))

@@ -30,7 +30,7 @@ def test_coder_round_trip_from_every_checkpoint(n, ids):
 
 def test_words_equal_the_library(sf_small):
     rng = random.Random(1)
-    pieces = ["a", "B's", "don't", "É", "é", "1234", "...", " ", "\n", "\t", "\x1c", "İx", "ß.", "x!!", "<|endoftext|>", "'s", "a.'s", "　", "Σ", "ΑΣ", "-", "🙂."]
+    pieces = ["a", "B's", "don't", "É", "é", "1234", "...", " ", "\n", "\t", "\x1c", "İx", "ß.", "x!!", "ÀÉÑ,", "Œuvre", "straße", "e\u0301", "ŉa", "ªº", "\u0130", "<|endoftext|>", "'s", "a.'s", "　", "Σ", "ΑΣ", "-", "🙂."]
     texts = ["".join(rng.choices(pieces, k=rng.randrange(0, 12))) for _ in range(4000)] + ["x" * 20000, "", "A. " * 9000]
     t = Tokenizer.from_file(PATH)
     w = rans.Words(PATH)
