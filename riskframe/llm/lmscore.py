@@ -147,5 +147,6 @@ def score(docs: DataFrame, models: Models, weight: float = 2.0) -> DataFrame:
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, order: int = 4, bits: int = 18, weight: float = 2.0) -> DataFrame:
     """Scores of all of ``docs``; ``target_ids`` (column doc_id) names the target's documents."""
     wanted = target_ids.select(target_ids["doc_id"].alias("doc_id"), F.lit(True).alias("__target")).where("doc_id is not null").distinct()
-    marked = documents(docs).join(wanted, "doc_id", "left").select("text", "__target")
+    # a shuffle join at every size: the ids grow with the corpus
+    marked = documents(docs).join(wanted.hint("merge"), "doc_id", "left").select("text", "__target")
     return score(docs, fit(marked, "__target", order, bits), weight)
