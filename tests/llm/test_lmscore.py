@@ -87,3 +87,17 @@ def test_query(spark, sf_small):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_small}/labels.parquet").collect()}
     mean = lambda q: np.mean([r.score for r in rows if labels.get(r.doc_id) == q and r.score is not None])
     assert mean(1) < mean(0)
+
+
+def test_grams_do_not_share_counts(spark, monkeypatch):
+    """More distinct grams than any fixed number of buckets keeps apart: a count for each gram itself."""
+    rng = random.Random(5)
+    docs = [(i, "".join(chr(0x4E00 + rng.randrange(6000)) for _ in range(2000))) for i in range(40)]
+    wanted = set(range(0, 40, 2))
+    ids = spark.createDataFrame([(i,) for i in wanted], "doc_id long")
+    got = lmscore.cross_entropy_difference(spark.createDataFrame(docs, "doc_id long, text string"), ids, ORDER, weight=WEIGHT).collect()
+    monkeypatch.setitem(globals(), "bucket", lambda gram: gram)
+    want = {d[0]: d[1:] for d in brute(docs, wanted)}
+    assert len(got) == len(docs)
+    for r in got:
+        assert tuple(r)[1:] == pytest.approx(want[r.doc_id], abs=1e-9), r.doc_id
