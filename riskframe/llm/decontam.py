@@ -5,13 +5,14 @@ token positions, so a hit survives substituted words.  Items' hashes meet
 documents' in an equi-join; around each hit the item is laid over the document
 and the equal tokens are counted in every window that holds the hit.  The masks
 are such that a window of ``WINDOW`` tokens, or a shorter item, with a fifth of
-its tokens substituted has a hit in any case.
+its tokens substituted has a hit in any case; an item of 4 tokens or fewer, where
+a fifth is less than a token, is hashed whole.
 
 DataFrame functions only.  Tokens are the lower-cased runs of letters and
-digits.  Defined results: an item of fewer than ``SHORTEST`` tokens says too
-little to match and takes no part; null texts have no token; repeated rows of
-either table count once, and equal texts under different ids each; an empty
-table gives no rows.
+digits; in scripts written without spaces each letter is a token.  Defined
+results: an item without a token takes no part; null texts have no token;
+repeated rows of either table count once, and equal texts under different ids
+each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,19 +22,32 @@ from pyspark.sql import functions as F
 
 from .common import documents, row_key
 
-#: For windows of WINDOW tokens, and for items of SHORTEST to WINDOW - 1.
+#: For windows of WINDOW tokens, and for items of LITTLE to WINDOW - 1; shorter ones have masks by their size.
 MASKS = ("1101111", "11010111", "111001011")
 SHORT_MASKS = ("10111", "1111")
-WINDOW, SHORTEST, SIMILARITY = 20, 8, 0.8
+WINDOW, LITTLE, SHORTEST, SIMILARITY = 20, 8, 1, 0.8
 #: Hashes of items up to which they are broadcast (about 50 bytes each); more are joined by shuffle.
 BROADCAST_SEEDS = 1_000_000
 
 
+#: A letter of a script written without spaces; nearly all texts are decided by the first range.
+UNSPACED = (r"([\x{E00}-\x{10FFFF}&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\x{30FC}\x{FF70}\p{IsBopomofo}\p{IsYi}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+            r"\p{IsJavanese}\p{IsBalinese}\p{IsTai_Le}\p{IsNew_Tai_Lue}\p{IsTai_Tham}\p{IsTai_Viet}]&&\p{L}])")
+
+
 def tokens(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+    apart = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), UNSPACED, " $1 ")
+    return F.array_remove(F.split(apart, r"[^\p{L}\p{N}]+"), "")
+
 
+def little_masks(size: int) -> tuple[str, ...]:
+    """Masks for items of ``size`` tokens, fewer than ``LITTLE``: each leaves out one of 5 tokens or more."""
+    if size < 5:
+        return ("1" * size,)
+    return ("1" * (size - 1), *("1" * i + "0" + "1" * (size - 1 - i) for i in range(1, size - 1)))
 
-def _seeds(words: str, at: str, masks: tuple[str, ...], least: int) -> list[Column]:
+
+def _seeds(words: str, at: str, masks: list[str] | tuple[str, ...], least: int) -> list[Column]:
     """Hash of the tokens that each mask keeps from position ``at``, where the mask fits."""
     out = []
     for number, mask in enumerate(masks, least):
@@ -42,8 +56,8 @@ def _seeds(words: str, at: str, masks: tuple[str, ...], least: int) -> list[Colu
     return out
 
 
-def _positions(df: DataFrame) -> DataFrame:
-    span = min(map(len, MASKS + SHORT_MASKS))
+def _positions(df: DataFrame, masks: list[str] | tuple[str, ...]) -> DataFrame:
+    span = min(map(len, masks))
     return df.where(F.col("n") >= span).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("n") - span)))
 
 
@@ -58,17 +72,26 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     b = b.select(F.col("doc_id").alias("item_id"), F.col("__k1").alias("i1"), F.col("__k2").alias("i2"), tokens(F.col("text")).alias("iw"))
     b = b.withColumn("n", F.size("iw")).where(F.col("n") >= SHORTEST)
 
-    def of_items(part: DataFrame, masks: tuple[str, ...], least: int) -> DataFrame:
-        h = F.explode(F.array(*_seeds("iw", "p", masks, least)))
-        return _positions(part).select("i1", "i2", F.col("p").alias("q"), F.col("n").alias("size"), h.alias("h"))
-
-    seeds = (of_items(b.where(F.col("n") >= WINDOW), MASKS, 0)
-             .unionByName(of_items(b.where(F.col("n") < WINDOW), SHORT_MASKS, len(MASKS))).where("h is not null"))
+    n = F.col("n")
+    # sizes of little items: at most LITTLE - 1 rows; documents are hashed under the masks of those that occur
+    sizes = sorted(r["n"] for r in b.where(n < LITTLE).select("n").distinct().collect())
+    kinds = [(n >= WINDOW, MASKS), ((n >= LITTLE) & (n < WINDOW), SHORT_MASKS), *((n == k, little_masks(k)) for k in sizes)]
+    masks = [m for _, some in kinds for m in some]
+
+    def of_items(part: DataFrame, own: tuple[str, ...], least: int) -> DataFrame:
+        h = F.explode(F.array(*_seeds("iw", "p", own, least)))
+        return _positions(part, own).select("i1", "i2", F.col("p").alias("q"), F.col("n").alias("size"), h.alias("h"))
+
+    seeds, least = None, 0
+    for which, own in kinds:
+        part = of_items(b.where(which), own, least)
+        seeds, least = part if seeds is None else seeds.unionByName(part), least + len(own)
+    seeds = seeds.where("h is not null")
     found = seeds.count()
 
     d = row_key(documents(docs)).select("doc_id", "__k1", "__k2", tokens(F.col("text")).alias("w"))
-    d = _positions(d.withColumn("n", F.size("w")))
-    h = F.explode(F.array(*_seeds("w", "p", MASKS, 0), *_seeds("w", "p", SHORT_MASKS, len(MASKS))))
+    d = _positions(d.withColumn("n", F.size("w")), masks)
+    h = F.explode(F.array(*_seeds("w", "p", masks, 0)))
     d = d.select("doc_id", "__k1", "__k2", "w", "n", "p", h.alias("h")).where("h is not null")
 
     # the item from its first token on, laid over the document at p - q

@@ -85,3 +85,23 @@ def test_query(spark, sf_small):
     hit = {d for d, _ in got}
     docs = [x for x in read("documents") if x[0] in hit or len(toks(x[1])) < 150][:120]
     assert {k: v for k, v in got.items() if k[0] in {d for d, _ in docs}} == brute(docs, items)
+
+
+@pytest.mark.parametrize("size", [1, 4, 5, 6, 7])
+def test_little_masks_hit_every_tolerated_substitution(size):
+    masks = decontam.little_masks(size)
+    bits = [sum(1 << i for i, c in enumerate(m) if c == "1") << s for m in masks for s in range(size - len(m) + 1)]
+    for gone in itertools.combinations(range(size), size // 5):
+        assert any(not sum(1 << i for i in gone) & b for b in bits)
+
+
+def test_short_items_and_unspaced_scripts(spark):
+    han, kana, thai = "机器学习模型需要大量高质量的训练数据", "これはひらがなのぶんしょうです", "กขคงจฉชซ"
+    items = [(1, "Paris"), (2, "one two three"), (3, "a b c d e f g"), (4, han), (5, kana), (6, thai), (7, "你好"), (8, " -- ")]
+    docs = [(1, "I saw PARIS, again"), (2, "x one two three y"), (3, "one two four three"), (4, "0 a b c d e f g 1"), (5, "前文" + han + "后文"), (6, "前文" + han.replace("大量", "很多") + "后文"),
+            (7, "まえ" + kana), (8, "ก" + thai + "ก"), (9, "说你好吗"), (10, "你不好"), (11, "Parisian"), (12, "model 数据 data")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.matched, r.window) for r in decontam.overlaps(d, b).collect()}
+    assert got == {(1, 1): (1, 1), (2, 2): (3, 3), (4, 3): (7, 7), (5, 4): (18, 18), (6, 4): (16, 18), (7, 5): (15, 15), (8, 6): (8, 8), (9, 7): (2, 2)}
+    assert sorted(r.doc_id for r in decontam.clean(d, b).collect()) == [3, 10, 11, 12]
