@@ -21,10 +21,10 @@ from .common import ascii_lower
 from .components import components
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-TARGET = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
+TAG = r"""(?is)<(?:link|meta)\b(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>"""
+#: An attribute's value, in quotes or bare, behind whole attributes: never from within another's value.
+VALUE = r"""(?is)^<\w+(?:[\s/"']*+(?!NAME[\s=])[^\s=>/"']++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+))?+)*+[\s/"']*+NAME\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
+TARGET = r"""(?is)^(?:\s*[\d.]*\s*[;,\s]\s*(?:url\s*=\s*)?|.*?\burl\s*=\s*)["']?\s*([^"'\s]+)"""
 
 
 def host(url: Column) -> Column:
@@ -57,20 +57,51 @@ def ruled(rules: list[tuple[str, str]], host_: Column, path_: Column) -> Column:
     return F.greatest(none, none, *found)
 
 
-def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b) of every canonical link and immediate refresh in the html, as nodes.
+def _value(tag: Column, name: str) -> Column:
+    """Value of a tag's attribute, without its quotes and with ``&amp;`` decoded; empty if there is none."""
+    raw = F.regexp_extract(tag, VALUE.replace("NAME", name), 1)
+    return F.regexp_replace(F.trim(F.regexp_replace(raw, r"""^["']|["']$""", "")), "(?i)&(?:amp|#38|#x26);", "&")
 
-    Root-relative and scheme-relative targets are completed; others need ``://``.
-    """
-    links = F.array(F.regexp_extract(F.regexp_extract("html", CANONICAL, 0), HREF, 1),
-                    F.regexp_extract(F.regexp_extract("html", REFRESH, 0), TARGET, 1))
+
+def _without_dots(path_: Column) -> Column:
+    """A path that starts with ``/``, its segments ``.`` and ``..`` resolved."""
+    parts = F.slice(F.split(path_, "/"), 2, F.length(path_) + 1)
+    last = F.element_at(parts, -1)
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(parts, none, lambda out, x: F.when(x == ".", out)
+                       .when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(x))))
+    kept = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def resolved(url: Column, to: Column) -> Column:
+    """Target ``to`` of a link on the page ``url``, completed; null if it is no url of a page."""
+    scheme, site = F.regexp_extract(url, r"(?s)^(.*?:)//", 1), F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    whole, own = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1), path(url)
+    asked = F.regexp_extract(to, r"(?s)^([^?#]*)", 1)
+    rest = F.substring(to, F.length(asked) + 1, F.length(to))
+    folder = F.when(own == "", "/").otherwise(F.regexp_extract(own, r"(?s)^(.*/)", 1))
+    return (F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.when(to.contains("://"), to))
+            .when(to.startswith("//"), F.concat(scheme, to))
+            .when(to.startswith("/"), F.concat(site, _without_dots(asked), rest))
+            .when(to.startswith("?"), F.concat(site, own, to))
+            .when(to.startswith("#"), F.concat(site, whole, to))
+            .otherwise(F.concat(site, _without_dots(F.concat(folder, asked)), rest)))
+
+
+def alias_edges(pages: DataFrame) -> DataFrame:
+    """(a, b) of every canonical link and refresh in the html, as nodes; targets are
+    resolved against the page's url."""
     e = (pages.select(pages["url"].alias("url"), pages["html"].alias("html"))
-         .where(F.col("html").rlike(CANONICAL) | F.col("html").rlike(REFRESH))
-         .select("url", F.explode(links).alias("to")).where("to <> ''"))
-    to, url = F.col("to"), F.col("url")
-    full = (F.when(to.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)^(.*?:)//", 1), to))
-            .when(to.startswith("/"), F.concat(F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), to)).otherwise(to))
-    return e.select(node(url).alias("a"), node(full).alias("b")).where("a is not null and b is not null")
+         .where(F.col("html").rlike("(?i)canonical|refresh"))
+         .select("url", F.explode(F.regexp_extract_all("html", F.lit(TAG), F.lit(0))).alias("tag")))
+    tag = F.col("tag")
+    link = F.lower(F.substring(tag, 2, 4)) == "link"
+    canonical = link & F.array_contains(F.split(F.lower(_value(tag, "rel")), r"\s+"), "canonical")
+    refresh = ~link & (F.lower(_value(tag, "http-equiv")) == "refresh")
+    to = F.when(canonical, _value(tag, "href")).when(refresh, F.regexp_extract(_value(tag, "content"), TARGET, 1))
+    e = e.select("url", to.alias("to")).where("to <> ''")
+    return e.select(node(F.col("url")).alias("a"), node(resolved(F.col("url"), F.col("to"))).alias("b")).where("a is not null and b is not null")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], redirects: DataFrame | None = None) -> DataFrame:

@@ -47,3 +47,42 @@ def test_redirects_and_empty(spark, pages):
     assert got[8] == "block" and got[13] == "allow"
     assert urlfilter.judge(pages.limit(0), RULES).collect() == []
     assert {x.verdict for x in urlfilter.judge(pages, []).collect()} == {"allow"}
+
+
+REFRESH = "<meta content=\"{}\" http-equiv='Refresh' />"
+
+
+@pytest.mark.parametrize("url,html,target", [
+    ("http://a.com/x/y?z", LINK.format("page2.html"), "http://a.com/x/page2.html"),
+    ("http://a.com", LINK.format("page2.html"), "http://a.com/page2.html"),
+    ("http://a.com/x/y/z", LINK.format("../p"), "http://a.com/x/p"),
+    ("http://a.com/x/y", LINK.format("../../.././p/."), "http://a.com/p/"),
+    ("http://a.com/x/y", LINK.format(".."), "http://a.com/"),
+    ("http://a.com/x/y", LINK.format("/q/../p?r=../s"), "http://a.com/p?r=../s"),
+    ("http://a.com/x?a=1#f", LINK.format("?p=2"), "http://a.com/x?p=2"),
+    ("http://a.com/x", LINK.format("/p?a=1&amp;b=2"), "http://a.com/p?a=1&b=2"),
+    ("http://a.com/x", LINK.format("p?to=http://b.com/"), "http://a.com/p?to=http://b.com/"),
+    ("http://a.com/x", LINK.format("mailto:me@b.com"), None),
+    ("http://a.com/x", "<link rel=canonical><link rel='canonical' href='http://b.com/2'>", "http://b.com/2"),
+    ("http://a.com/x", "<link rel='nofollow Canonical' href=http://b.com/2>", "http://b.com/2"),
+    ("http://a.com/x", "<link rel='x-canonical' href=http://b.com/2>", None),
+    ("http://a.com/x", "<link title='rel=canonical' rel=icon data-href=http://b.com/1 href=http://b.com/2>", None),
+    ("http://a.com/x", "<link data-href='http://b.com/1' title='a > b' rel=canonical href='http://b.com/2'/>", "http://b.com/2"),
+    ("http://a.com/x", "<meta http-equiv=refresh content=5>" + REFRESH.format("0;url='next.html'"), "http://a.com/next.html"),
+    ("http://a.com/x", REFRESH.format("0; URL=/p?a=1&amp;b=2"), "http://a.com/p?a=1&b=2"),
+    ("no scheme", LINK.format("page2.html"), None),
+    ("http://a.com/x", "<link rel=\"canonical\"href='p'>", "http://a.com/p"),
+    ("http://a.com/x", "<meta name=description content=\"it's 5 > 4\"><link href=it's rel=canonical>", "http://a.com/it's"),
+    ("http://a.com/x", REFRESH.format("0; /p") + "<link " + "x='y' " * 3000 + "><link " + "z" * 100000 + ">", "http://a.com/p"),
+])
+def test_edges_of_links(spark, url, html, target):
+    pages = spark.createDataFrame([(url, html)], "url string, html string")
+    got = [(r.a, r.b) for r in urlfilter.alias_edges(pages).collect()]
+    assert got == ([] if target is None else [(url.split("#")[0], target)])
+
+
+def test_every_link_of_a_page_reaches_its_aliases(spark):
+    rows = [(1, "http://a.com/d/1?k=1&l=2", None), (2, "http://a.com/d/2", LINK.format("1?k=1&amp;l=2") + LINK.format("../3")),
+            (3, "http://a.com/3", REFRESH.format("0;url=//b.net/")), (4, "http://a.com/4", LINK.format("5"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in urlfilter.judge(pages, RULES).collect()} == {1: "block", 2: "block", 3: "block", 4: "allow"}
