@@ -84,12 +84,14 @@ class Words:
         return [found[w] for w in words]
 
     def _split(self, parts: list[str]) -> list[bytes]:
-        """A word without the marks behind it, in lower case if plain, has the ids it has alone."""
+        """A word without the marks behind it, in lower case if plain, has the ids it has alone.
+
+        Special tokens are matched in their own case: what may hold one keeps its case."""
         cut = []
         for p in parts:
             core = p.rstrip(TAIL)
             if core and core[-1].isalnum() and plain(core):
-                cut.append((core.lower(), p[len(core):]))
+                cut.append((core if "<|" in core else core.lower(), p[len(core):]))
             else:
                 cut.append((p, ""))
         self.cores.fill(itertools.chain.from_iterable(cut))

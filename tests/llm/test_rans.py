@@ -65,3 +65,10 @@ def test_query(spark, sf_small):
     from riskframe.llm.queries import QUERIES
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()]
     check(rows, QUERIES["op4_rans"](spark, sf_small).collect())
+
+
+def test_special_tokens_in_other_case():
+    texts = ["<|ENDOFTEXT|>x", "<|endoftext|>x", "a<|EndOfText|>b C", "<|startOFtext|>Ab", "X<|Y"]
+    w = rans.Words(PATH)
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, w.kind).tolist() for x in w.encode_all(texts)] == want
