@@ -19,8 +19,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no letter in the text) go; ``lang`` becomes the prediction.
 
-    Learns from the labelled rows of ``docs`` that aren't held out."""
+    Learns from the labelled rows of ``docs`` that aren't held out; without any,
+    every language is unknown and the text alone decides who goes."""
     model = langid.fit(docs.where(~langid.held_out(docs["doc_id"])))
+    if model is None:
+        return docs.select(COLUMNS).where(F.col("text").rlike(r"\p{L}")).withColumn("lang", F.lit(langid.UNKNOWN)).select(COLUMNS)
     found = langid.annotate(docs.select(COLUMNS), model).where(F.col("lang_pred") != langid.UNKNOWN)
     return found.withColumn("lang", F.col("lang_pred")).select(COLUMNS)
 

@@ -92,3 +92,9 @@ def test_empty_table(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for stage in (stages.language_id, stages.line_dedup, stages.simhash_dedup, stages.decontaminate, stages.byte_bpe):
         assert stage(spark, docs, folder).collect() == []
+
+
+def test_without_labels_texts_with_letters_stay(spark, folder):
+    rows = [(1, "the of and", None, "s", 10), (2, "123 456", None, "s", 7), (3, None, None, "s", 0), (4, "\u4f60\u597d", None, "s", 2), (5, "", None, "s", 0)]
+    got = stages.language_id(spark, spark.createDataFrame(rows, SCHEMA), folder).collect()
+    assert sorted((r.doc_id, r.text, r.lang) for r in got) == [(1, "the of and", "und"), (4, "\u4f60\u597d", "und")]
