@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import os
 
+import pandas as pd
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -20,7 +22,7 @@ def duckdb_connection(sf_dir: str):
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA:
         return "NULL"
     if hasattr(v, "item") and not isinstance(v, (str, bytes)):
         v = v.item()
@@ -39,6 +41,9 @@ def normalized(pdf) -> tuple[list[str], list[tuple]]:
 
 
 def compare(spark_pdf, oracle_pdf) -> tuple[bool, str]:
+    for c in set(spark_pdf.columns) & set(oracle_pdf.columns):
+        if str(oracle_pdf[c].dtype) == "Int64" and spark_pdf[c].isna().any():     # whole numbers with nulls
+            spark_pdf = spark_pdf.assign(**{c: spark_pdf[c].astype("Int64")})
     sc, sr = normalized(spark_pdf)
     oc, orows = normalized(oracle_pdf)
     if sc != oc:
