@@ -2,11 +2,11 @@
 
 Queries and candidates meet in blocks: a grid of candidate blocks by query
 blocks, each of bounded size.  Within a pair of blocks every dimension has the
-candidates in sorted order.  A query goes down all lists together, each from
-the end where its component counts most; what it meets is scored in full, and
-it stops once the sum of the lists' current values, which no unseen candidate
-passes, is below its k-th score.  The blocks' best are merged by a window of
-``k`` rows a block.
+candidates in sorted order.  The block's queries go down all lists together,
+each from the end where its component counts most; what any of them meets is
+scored in full, and a query stops once the sum of its lists' current values,
+which no unseen candidate passes, is below its k-th score.  The blocks' best are
+merged by a window of ``k`` rows a block.
 
 Components become floor(scale * x) of the double value; scores are whole
 numbers.  Defined results: a row whose vector or id is null, or whose vector
@@ -23,44 +23,55 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FIRST_DEPTH, DEEPER = 16, 4                 # rows of the lists read first, and how much deeper each time
+NONE = np.iinfo(np.int64).min
 
 
-def _search(v: np.ndarray, ids: np.ndarray, own: np.ndarray, q: np.ndarray, query: int, order: np.ndarray, values: np.ndarray, k: int):
-    """Positions and scores of a query's k best in one block."""
-    n, dims = v.shape
-    used = np.flatnonzero(q)
-    up = q[used] > 0
-    seen = np.zeros(n, bool)
-    where, score, depth = np.empty(0, np.int64), np.empty(0, v.dtype), FIRST_DEPTH
-    while True:
-        depth = min(depth, n)
-        if len(used):
-            met = np.zeros(n, bool)
-            met[order[n - depth:, used[up]]] = True
-            met[order[:depth, used[~up]]] = True
+def _best(score: np.ndarray, where: np.ndarray, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's ``k`` best columns: highest scores, then smallest positions (below ``n``; NONE marks no score)."""
+    if score.shape[1] > k:
+        known = score != NONE
+        if float(np.abs(np.where(known, score, 0)).max(initial=0)) * (n + 1) < 2.0 ** 62:
+            key = np.where(known, score * n + (n - 1 - where), NONE)          # one whole number orders both
+            at = np.argpartition(key, key.shape[1] - k, axis=1)[:, -k:]
         else:
-            met, depth = np.ones(n, bool), n
+            at = np.lexsort((where, ~score), axis=1)[:, :k]
+        score, where = np.take_along_axis(score, at, axis=1), np.take_along_axis(where, at, axis=1)
+    return score, where
+
+
+def _search(v: np.ndarray, own: np.ndarray, q: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Scores and positions of the ``k`` best rows of ``v`` for every query, all queries
+    together, and how many rows were met.
+
+    Each round reads the lists of all dimensions to one more depth, from the end that
+    a query's sign asks for, and scores what any unfinished query met in one product.
+    A query is finished when the sum of its lists' current values is below its k-th score.
+    """
+    n = len(v)
+    order = np.argsort(v, axis=0, kind="stable")
+    values = np.take_along_axis(v, order, axis=0)
+    score, where = np.full((len(q), k), NONE), np.zeros((len(q), k), np.int64)
+    seen, depth, open_ = np.zeros(n, bool), FIRST_DEPTH, np.arange(len(q))
+    while len(open_):
+        depth = min(depth, n)
+        some = q[open_]
+        up, down = (some > 0).any(axis=0), (some < 0).any(axis=0)
+        met = np.full(n, depth == n)
+        met[order[n - depth:, up]] = True
+        met[order[:depth, down]] = True
         new = np.flatnonzero(met & ~seen)
         seen |= met
-        new = new[own[new] != query]
-        where, score = np.concatenate([where, new]), np.concatenate([score, v[new] @ q])
-        if len(where) > k:
-            kth = np.partition(score, len(score) - k)[len(score) - k]
-            top = score >= kth                       # ties stay until the last cut
-            where, score = where[top], score[top]
+        if len(new):
+            found = (some @ v[new].T).astype(np.int64)
+            found[query[open_, None] == own[new]] = NONE
+            both = np.concatenate([score[open_], found], axis=1), np.concatenate([where[open_], np.broadcast_to(new, found.shape)], axis=1)
+            score[open_], where[open_] = _best(*both, k, n)
         if depth == n:
             break
-        if len(where) >= k:
-            edge = np.where(up, values[n - depth, used], values[depth - 1, used])
-            if (edge * q[used]).sum() < kth_of(score, k):
-                break
+        edge = np.where(some > 0, values[n - depth] * some, values[depth - 1] * some).sum(axis=1)
+        open_ = open_[edge >= score[open_].min(axis=1)]
         depth *= DEEPER
-    best = np.lexsort((ids[where], -score))[:k]
-    return where[best], score[best]
-
-
-def kth_of(score: np.ndarray, k: int):
-    return np.partition(score, len(score) - k)[len(score) - k]
+    return score, where, int(seen.sum())
 
 
 def _pair(k: int, scale: float):
@@ -77,13 +88,12 @@ def _pair(k: int, scale: float):
         if most * most * max(1, x.shape[1]) >= 2.0 ** 53:       # no longer exact in doubles
             x = x.astype(np.int64)
         v, vid, vown = x[~query], ids[~query], own[~query]
-        order = np.argsort(v, axis=0, kind="stable")
-        values = np.take_along_axis(v, order, axis=0)
-        out = []
-        for q, qid, qown in zip(x[query], ids[query], own[query], strict=True) if len(v) else ():
-            where, score = _search(v, vid, vown, q, qown, order, values, k)
-            out.append((np.full(len(where), qid), np.full(len(where), qown), vid[where], vown[where], score.astype(np.int64)))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 5
+        by = np.lexsort((vown, vid))                     # positions in the order of ties
+        v, vid, vown = v[by], vid[by], vown[by]
+        score, where, _ = _search(v, vown, x[query], own[query], k) if len(v) else (np.full((0, k), NONE), np.zeros((0, k), np.int64), 0)
+        row, col = np.nonzero(score != NONE)
+        at = where[row, col]
+        cols = [ids[query][row], own[query][row], vid[at], vown[at], score[row, col]]
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "query_own", "vec_id", "own", "score"])
     return run
 
