@@ -22,19 +22,23 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as pb
 
-from .common import Memo, documents, slices
+from .common import Memo, binary_rows, documents, gathered, looked_up, slices, spaced_parts, words_and_marks
 
 FIRST = 0x100          # byte b is the code point FIRST + b
 MAPPED = {b: FIRST + b for b in range(256)}
 #: White_Space of Unicode, which the rank library's \\s means; Python's differs at U+001C to U+001F.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Marks of which a run behind letters is one pre-token.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 SLICE = 2 << 20        # bytes of text handled at a time
 
 
@@ -65,7 +69,9 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
 class Codec:
     """Encoder and decoder of one vocabulary; ``ids`` are little-endian uint32."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, cache: int = 1 << 19):
+        #: only of this pattern is it known that a space between two other characters starts a pre-token
+        self.spaced = pattern == public_tokenizers.PATTERN
         ranks = read_ranks(path)
         self.split = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")).findall
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(ranks))
@@ -79,8 +85,8 @@ class Codec:
                 seed[token.decode()] = np.uint32(r).astype("<u4").tobytes()
             except UnicodeDecodeError:
                 pass
-        self.cache = Memo(self._pieces, 1 << 17, seed=seed)
-        self.parts = Memo(self._after_space, 1 << 17)
+        self.cache = Memo(self._pieces, cache, seed=seed)
+        self.parts = Memo(self._after_space, cache // 2)
         # inverse mapping: piece text -> bytes, laid out by id
         size = max(ranks.values(), default=-1) + 1
         pieces: list[bytes] = [b""] * size
@@ -111,41 +117,60 @@ class Codec:
         ids = dict(zip(good, self._whole([" " + p for p in good]), strict=True))
         return [ids.get(p) for p in parts]
 
+    def encode_array(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one run, and where each text's end."""
+        if not self.spaced:
+            whole = self._whole([t or "" for t in text.to_pylist()])
+            return gathered(whole, np.arange(len(whole)), np.ones(len(whole), np.int64), "<u4")
+        which, counts, parts = spaced_parts(text)
+        first = np.cumsum(counts) - counts
+        inner = np.ones(len(which), bool)
+        inner[first] = False
+        simple, core, tail = words_and_marks(parts, MARKS)
+        ids = np.empty(len(parts), object)
+        ids[simple] = [a + b for a, b in zip(looked_up(self.cache, pc.replace_substring_regex(core, "^", " ")), looked_up(self.cache, tail), strict=True)]
+        ids[~simple] = looked_up(self.parts, parts.filter(pa.array(~simple)))
+        ids = ids.tolist()
+        unsure = np.fromiter((x is None for x in ids), bool, len(ids))
+        bad = np.add.reduceat(unsure[which] & inner, first) > 0 if len(first) else np.empty(0, bool)
+        heads = parts.take(pa.array(which[first])).to_pylist()
+        bad |= (counts > 1) & np.fromiter((h != h.rstrip() for h in heads), bool, len(heads))
+        # a text's first part has no space before it; an unsure text is encoded whole in its place
+        odd = np.flatnonzero(bad)
+        for i, t in zip(odd.tolist(), text.take(pa.array(odd)).to_pylist(), strict=True):
+            heads[i] = t
+        which[first] = len(parts) + np.arange(len(heads))
+        keep = ~(np.repeat(bad, counts) & inner)
+        values = [x or b"" for x in ids] + self._whole(heads)
+        return gathered(values, which[keep], np.where(bad, 1, counts), "<u4")
+
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text."""
-        cut = [t.split(" ") if t else [""] for t in texts]
-        self.parts.fill(itertools.chain.from_iterable(x[1:] for x in cut))
-        heads = self._whole([x[0] for x in cut])
-        get, out, odd = self.parts.__getitem__, [], []
-        for i, (head, parts) in enumerate(zip(heads, cut, strict=True)):
-            rest = list(map(get, parts[1:]))
-            if None in rest or rest and parts[0] != parts[0].rstrip():
-                odd.append(i)
-            out.append(head + b"".join(rest) if not odd or odd[-1] != i else b"")
-        for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        return out
+        return binary_rows(*self.encode_array(pa.array(texts, pa.string()))).to_pylist()
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]
 
+    def decode_array(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of a run of ids by the inverse mapping, and where the bytes of each run up to ``ends`` end."""
+        out = [np.empty(0, np.uint8)]
+        for at in range(0, len(ids), 1 << 20):
+            x = ids[at:at + (1 << 20)]
+            n = self.lengths[x]
+            last = np.cumsum(n)
+            where = np.repeat(self.starts[x] - (last - n), n) + np.arange(last[-1])
+            out.append(self.blob[where])
+        return np.concatenate(out), np.concatenate([[0], np.cumsum(self.lengths[ids])])[ends]
+
     def decode(self, ids: bytes) -> bytes:
-        """Bytes of a run of ids, by the inverse mapping."""
-        out = []
         every = np.frombuffer(ids, dtype="<u4")
-        for at in range(0, len(every), 1 << 20):
-            x = every[at:at + (1 << 20)]
-            n = self.lengths[x]
-            ends = np.cumsum(n)
-            where = np.repeat(self.starts[x] - (ends - n), n) + np.arange(ends[-1])
-            out.append(self.blob[where].tobytes())
-        return b"".join(out)
+        return self.decode_array(every, np.array([len(every)]))[0].tobytes()
 
 
 @functools.lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, cache: int = 1 << 19) -> Codec:
     """One codec a Python worker."""
-    return Codec(path, pattern)
+    return Codec(path, pattern, cache)
 
 
 ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()),
@@ -158,16 +183,11 @@ CHECKED = T.StructType([*ENCODED.fields, T.StructField("decoded_sha256", T.Strin
 
 
 def _mapped(df: DataFrame, schema: T.StructType, column: str, fn) -> DataFrame:
-    """``fn(values) -> rows`` behind doc_id, for slices of bounded size."""
-    names = schema.fieldNames()[1:]
-
+    """``fn(array) -> columns`` behind doc_id, for slices of bounded size."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64()] + [{"ids": pa.binary(), "text": pa.binary(), "n_tokens": pa.int64()}.get(n, pa.string()) for n in names]
         for batch in batches:
             for part in slices(batch, column, SLICE):
-                rows = fn(part.column(column).to_pylist())
-                cols = [part.column("doc_id")] + [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds[1:])]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *names])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *fn(part.column(column))], names=schema.fieldNames())
 
     return df.mapInArrow(run, schema)
 
@@ -177,32 +197,44 @@ def _ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return d.select(d["doc_id"].cast("long").alias("doc_id"), "text")
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _digests(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """sha256 of the items of ``data`` up to each of ``ends``."""
+    raw, ends = memoryview(np.ascontiguousarray(data)).cast("B"), (ends * data.itemsize).tolist()
+    return pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in itertools.pairwise([0, *ends])], pa.string())
+
+
+def _counts(ends: np.ndarray) -> pa.Array:
+    return pa.array(np.diff(ends, prepend=0))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", cache: int = 1 << 19) -> DataFrame:
     """doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit) of every whole text."""
-    def rows(texts):
-        return [(len(ids) // 4, ids) for ids in codec(path, pattern).encode_all(texts)]
-    return _mapped(_ids(docs, id_col, text_col), ENCODED, "text", rows)
+    def columns(text):
+        ids, ends = codec(path, pattern, cache).encode_array(text)
+        return _counts(ends), binary_rows(ids, ends)
+    return _mapped(_ids(docs, id_col, text_col), ENCODED, "text", columns)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and the decoded bytes (``text``, binary) of ``encode``'s rows."""
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.BinaryType())])
     return _mapped(encoded.select("doc_id", "ids"), schema, "ids",
-                   lambda every: [(codec(path, pattern).decode(ids or b""),) for ids in every])
+                   lambda every: [pa.array([codec(path, pattern).decode(ids or b"") for ids in every.to_pylist()], pa.binary())])
 
 
-def encode_checked(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_checked(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", cache: int = 1 << 19) -> DataFrame:
     """``encode`` with the sha256 of what the ids decode to."""
-    def rows(texts):
-        c = codec(path, pattern)
-        return [(len(ids) // 4, ids, hashlib.sha256(c.decode(ids)).hexdigest()) for ids in c.encode_all(texts)]
-    return _mapped(_ids(docs, id_col, text_col), CHECKED, "text", rows)
+    def columns(text):
+        c = codec(path, pattern, cache)
+        ids, ends = c.encode_array(text)
+        return _counts(ends), binary_rows(ids, ends), _digests(*c.decode_array(ids, ends))
+    return _mapped(_ids(docs, id_col, text_col), CHECKED, "text", columns)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", cache: int = 1 << 19) -> DataFrame:
     """Encode and decode again; the digests of the ids and of the decoded bytes."""
-    def rows(texts):
-        c = codec(path, pattern)
-        return [(len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest())
-                for ids in c.encode_all(texts)]
-    return _mapped(_ids(docs, id_col, text_col), DIGESTS, "text", rows)
+    def columns(text):
+        c = codec(path, pattern, cache)
+        ids, ends = c.encode_array(text)
+        return _counts(ends), _digests(ids, ends), _digests(*c.decode_array(ids, ends))
+    return _mapped(_ids(docs, id_col, text_col), DIGESTS, "text", columns)

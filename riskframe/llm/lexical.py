@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..operators.running import top_k_per_group
 from ..session import checkpoint_dir
-from .common import ascii_lower, documents, row_key, slices, written
+from .common import ascii_lower, binary_rows, documents, row_key, slices, written
 
 #: What is no part of a term.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -52,12 +52,6 @@ BUNDLE = ("block long, chunk int, doc_ids array<long>, sizes binary, items array
           "at_item binary, at_doc binary, score binary")
 
 
-def _rows(data: np.ndarray, starts: np.ndarray) -> pa.Array:
-    """One binary value a run of ``data`` that begins at ``starts``."""
-    offsets = np.append(starts, len(data)) * data.itemsize
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
-
-
 def block_of(block: int, doc_ids: pa.Array, text: pa.Array) -> list[pa.RecordBatch]:
     """The posting lists of one block, and a row (term null) of its documents and their sizes."""
     text = pa.concat_arrays([text.cast(pa.large_string())])
@@ -74,9 +68,9 @@ def block_of(block: int, doc_ids: pa.Array, text: pa.Array) -> list[pa.RecordBat
     starts = np.flatnonzero(np.diff(term, prepend=-1))
     sizes = np.bincount(doc, minlength=n)
     names = [c.split()[0] for c in POSTINGS.split(", ")]
-    listed = len(starts)
+    listed, ends = len(starts), np.append(starts, len(term))[1:]
     lists = [np.full(listed, block), word.dictionary.take(pa.array(term[starts])).cast(pa.string()), np.diff(starts, append=len(term)),
-             np.add.reduceat(tf, starts) if listed else tf, _rows(at.astype("<u4"), starts), _rows(tf.astype("<u4"), starts),
+             np.add.reduceat(tf, starts) if listed else tf, binary_rows(at.astype("<u4"), ends), binary_rows(tf.astype("<u4"), ends),
              pa.nulls(listed, pa.list_(pa.int64())), pa.nulls(listed, pa.binary())]
     own = [[block], pa.nulls(1, pa.string()), [int((sizes > 0).sum())], [int(sizes.sum())], pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()),
            pa.array([doc_ids.to_pylist()], pa.list_(pa.int64())), [sizes.astype("<i8").tobytes()]]

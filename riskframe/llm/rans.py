@@ -25,12 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from .common import Memo, documents, row_key, shuffle_width, slices
+from .common import Memo, binary_rows, documents, gathered, looked_up, row_key, shuffle_width, slices, spaced_parts, words_and_marks
 
 BITS = 20                       # frequencies sum to 2**BITS
 LANES = 2048
@@ -63,7 +64,7 @@ class Words:
         if suffix:
             self.last[[i for token, i in self.model.get_vocab().items() if token.endswith(suffix)]] = True
         self.cores = Memo(self._encode, 1 << 19)
-        self.parts = Memo(self._split, 1 << 19)
+        self.parts = Memo(self._split, 1 << 18)
 
     def _encode(self, words: list[str]) -> list[bytes]:
         """Plain words are one pre-token each: many go in one text, cut behind each
@@ -98,11 +99,18 @@ class Words:
         get = self.cores.__getitem__
         return [get(a) + get(b) for a, b in cut]
 
+    def encode_array(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one run, and where each text's end."""
+        which, counts, parts = spaced_parts(pc.replace_substring(text, "\n", " "))
+        simple, core, tail = words_and_marks(parts, TAIL)
+        ids = np.empty(len(parts), object)
+        ids[simple] = [a + b for a, b in zip(looked_up(self.cores, pc.utf8_lower(core)), looked_up(self.cores, tail), strict=True)]
+        ids[~simple] = looked_up(self.parts, parts.filter(pa.array(~simple)))
+        return gathered(ids.tolist(), which, counts, self.kind)
+
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        self.parts.fill(itertools.chain.from_iterable(cut))
-        get = self.parts.__getitem__
-        return [b"".join(map(get, x)) for x in cut]
+        ids, ends = self.encode_array(pa.array(texts, pa.string()))
+        return binary_rows(ids, ends).to_pylist()
 
 
 @functools.lru_cache(maxsize=2)
@@ -116,11 +124,12 @@ def tokenised(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = words(path)
-        end = b"" if end_id is None else np.array([end_id], w.kind).tobytes()
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                ids = [x + end for x in w.encode_all(part.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc_id", "k1", "k2")] + [pa.array(ids, pa.binary())], names=["doc_id", "k1", "k2", "ids"])
+                ids, ends = w.encode_array(part.column("text"))
+                if end_id is not None:
+                    ids, ends = np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc_id", "k1", "k2")] + [binary_rows(ids, ends)], names=["doc_id", "k1", "k2", "ids"])
 
     return d.mapInArrow(run, "doc_id long, k1 long, k2 long, ids binary")
 
