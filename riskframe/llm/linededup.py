@@ -19,12 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, ascii_lower, documents, row_key, shuffle_width, written
+from .common import WHITE, ascii_lower, documents, fresh_names, key_columns, row_key, shuffle_width, slices, written
 
+SLICE = 4 << 20
 DECIDED, PENDING, SUMMARY = 0, 1, 2
 FIELDS = ["h1", "h2", "doc_id", "k1", "k2", "pos"]
 STREAM = "kind int, " + ", ".join(f"{c} long" for c in FIELDS) + ", seq long, n_docs long, l1 long, l2 long"
@@ -64,7 +66,7 @@ def _stream(min_docs: int, keep_first: bool):
         hash_, first, n_docs, last, seen = None, None, 0, None, 0
         opening = True                                   # still in the range's first run
         before = None
-        held = np.empty((6, 0), np.int64)                # undecided rows of the open run: fewer than min_docs documents
+        held: list[np.ndarray] = []                      # undecided rows of the open run: fewer than min_docs documents
 
         for batch in batches:
             x = np.stack([batch.column(c).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False) for c in FIELDS]).astype(np.int64)
@@ -98,10 +100,10 @@ def _stream(min_docs: int, keep_first: bool):
                 if opening:
                     yield rows(PENDING, part, seen + np.arange(part.shape[1]))
                 else:
-                    held = np.concatenate([held, part], axis=1)
+                    held.append(part)
                     if n_docs >= min_docs:
-                        yield rows(DECIDED, held)
-                        held = held[:, :0]
+                        yield from (rows(DECIDED, x_) for x_ in held)
+                        held = []
                 seen += part.shape[1]
                 last = (x[3, ends[0] - 1], x[4, ends[0] - 1])
                 lo = 1
@@ -109,7 +111,7 @@ def _stream(min_docs: int, keep_first: bool):
                 if hash_ is not None and opening:        # the first run ends here
                     yield rows(SUMMARY, first, None, n_docs, last)
                 opening = hash_ is None
-                held = held[:, :0]
+                held = []
                 # whole runs inside this batch; the last one stays open, and the range's first is pending
                 a = lo + int(opening)
                 if opening and len(starts) > lo + 1:
@@ -129,14 +131,16 @@ def _stream(min_docs: int, keep_first: bool):
                 if opening:
                     yield rows(PENDING, part, np.arange(part.shape[1]))
                 else:
-                    held = part[:, int(keep_first):].copy()
+                    held = [part[:, int(keep_first):].copy()]
                     if n_docs >= min_docs:
-                        yield rows(DECIDED, held)
-                        held = held[:, :0]
+                        yield rows(DECIDED, held[0])
+                        held = []
         if hash_ is not None:
             # seq 1 on later rows: the row that opened this run here is no longer first of all if a fragment precedes
-            if held.shape[1]:
-                yield rows(PENDING, held, int(keep_first) + np.arange(held.shape[1]))
+            at = int(keep_first)
+            for part in held:
+                yield rows(PENDING, part, at + np.arange(part.shape[1]))
+                at += part.shape[1]
             yield rows(SUMMARY, first, None, n_docs, last)
 
     return run
@@ -190,29 +194,31 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 2, keep_first: bool = True, mi
     return rows.mapInArrow(_pack, "k1 long, k2 long, n_lines long, n_dropped long, keep binary")
 
 
-def _apply(columns: list[str], text: str):
+def _apply(columns: list[str], text: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kept = []
-            for t, n, gone, keep in zip(*(b.column(c).to_pylist() for c in (text, "n_lines", "n_dropped", "keep")), strict=True):
-                if not gone:
-                    kept.append(t)
-                    continue
-                bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), count=n)
-                lines = t.split("\n")
-                kept.append("\n".join([lines[i] for i in np.flatnonzero(bits)]))
-            cols = [pa.array(kept, pa.string()) if c == text else b.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays(cols, names=columns)
+        for batch in batches:
+            for b in slices(batch, text, SLICE):
+                changed = pc.greater(b.column("n_dropped"), 0)
+                some, kept = b.filter(changed), []
+                for t, n, keep in zip(*(some.column(c).to_pylist() for c in (text, "n_lines", "keep")), strict=True):
+                    bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), count=n)
+                    lines = t.split("\n")
+                    kept.append("\n".join([lines[i] for i in np.flatnonzero(bits)]))
+                new = pc.replace_with_mask(b.column(text), changed, pa.array(kept, b.column(text).type))
+                yield pa.RecordBatch.from_arrays([new if c == text else b.column(c) for c in columns], names=names)
     return run
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with dropped lines cut from the text, plus n_lines and n_dropped
-    (a text without dropped lines is left as it is)."""
+    in place of any columns of its own of these names (a text without dropped
+    lines is left as it is)."""
+    docs = docs.drop("n_lines", "n_dropped")
+    d, own = fresh_names(docs, *key_columns(docs))
+    joined = d.join(bitmaps.select("k1", "k2", "n_lines", "n_dropped", "keep"), (F.col("v0") == F.col("k1")) & (F.col("v1") == F.col("k2")))
+    columns = [f"c{i}" for i in range(len(docs.columns))] + ["n_lines", "n_dropped"]
     schema = T.StructType(list(docs.schema.fields)).add("n_lines", "long").add("n_dropped", "long")
-    d = docs.withColumns({"__k1": F.xxhash64(F.lit(1), docs["doc_id"], docs["text"]), "__k2": F.xxhash64(F.lit(2), docs["doc_id"], docs["text"])})
-    b = bitmaps.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "n_lines", "n_dropped", "keep")
-    return d.join(b, ["__k1", "__k2"]).drop("__k1", "__k2").mapInArrow(_apply(schema.fieldNames(), "text"), schema)
+    return joined.select(*columns, "keep").mapInArrow(_apply(columns, f"c{docs.columns.index('text')}", schema.fieldNames()), schema)
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 2, keep_first: bool = True, min_chars: int = 1) -> DataFrame:

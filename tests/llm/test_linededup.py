@@ -75,3 +75,19 @@ def test_query(spark, sf_small):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()]
     want = [(i, n, g, hashlib.sha256(t.encode()).hexdigest()) for i, t, n, g in brute(docs, 10, False)]
     assert sorted((repr(r.doc_id), r.n_lines, r.n_dropped, r.kept_sha256) for r in QUERIES["op9_line_dedup"](spark, sf_small).collect()) == want
+
+
+def test_bitmaps_over_columns_of_any_name(spark):
+    rows = [(i, f"same\nown {i}", 7, b"x", 9, 1) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, keep binary, k1 int, n_dropped int")
+    got = linededup.apply_bitmaps(df, linededup.keep_bitmaps(df, min_docs=3, keep_first=False))
+    assert got.columns == ["doc_id", "text", "keep", "k1", "n_lines", "n_dropped"]
+    assert sorted(map(tuple, got.collect())) == [(i, f"own {i}", b"x", 9, 2, 1) for i in range(4)]
+
+
+def test_a_text_of_many_equal_lines(spark):
+    df = spark.createDataFrame([(1, "x\n" * 200_000), (2, "x")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in linededup.dedup_lines(df, min_docs=3, keep_first=False).collect()}
+    assert got == {1: (200_001, 0), 2: (1, 0)}
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in linededup.dedup_lines(df, min_docs=2, keep_first=True).collect()}
+    assert got == {1: (200_001, 199_999), 2: (1, 1)}
