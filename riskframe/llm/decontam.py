@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, row_key
+from .common import documents, fresh_names, key_columns, row_key
 
 #: For windows of WINDOW tokens, and for items of LITTLE to WINDOW - 1; shorter ones have masks by their size.
 MASKS = ("1101111", "11010111", "111001011")
@@ -89,14 +89,20 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     seeds = seeds.where("h is not null")
     found = seeds.count()
 
-    d = row_key(documents(docs)).select("doc_id", "__k1", "__k2", tokens(F.col("text")).alias("w"))
-    d = _positions(d.withColumn("n", F.size("w")), masks)
+    d = row_key(documents(docs)).select("doc_id", "__k1", "__k2", tokens(F.col("text")).alias("w")).withColumn("n", F.size("w"))
+    each = _positions(d, masks)
     h = F.explode(F.array(*_seeds("w", "p", masks, 0)))
-    d = d.select("doc_id", "__k1", "__k2", "w", "n", "p", h.alias("h")).where("h is not null")
+    if found <= BROADCAST_SEEDS:
+        hits = each.select("doc_id", "__k1", "__k2", "w", "p", h.alias("h")).where("h is not null").join(F.broadcast(seeds), "h")
+    else:
+        # only hashes and places are shuffled by hash; a document's tokens come back to its hits
+        met = each.select("__k1", "__k2", "p", h.alias("h")).where("h is not null").join(seeds, "h")
+        met = met.select("__k1", "__k2", "p", "i1", "i2", "q", "size").distinct()
+        hits = met.join(d.select("doc_id", "__k1", "__k2", "w").dropDuplicates(["__k1", "__k2"]), ["__k1", "__k2"])
 
     # the item from its first token on, laid over the document at p - q
     start = F.col("p") - F.col("q")
-    hits = d.join(_broadcast(seeds, found), "h").select(
+    hits = hits.select(
         "doc_id", "__k1", "__k2", "i1", "i2", "q", "size",
         F.slice("w", F.greatest(start, F.lit(0)) + 1, F.least("size", F.col("size") + start)).alias("dw"),
         F.greatest(-start, F.lit(0)).alias("lead"))
@@ -115,5 +121,5 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that overlap no item; its own columns."""
     bad = overlaps(docs, items).select("k1", "k2").distinct()
-    keyed = docs.withColumns({"__k1": F.xxhash64(F.lit(1), docs["doc_id"], docs["text"]), "__k2": F.xxhash64(F.lit(2), docs["doc_id"], docs["text"])})
-    return keyed.join(bad, (keyed["__k1"] == bad["k1"]) & (keyed["__k2"] == bad["k2"]), "left_anti").drop("__k1", "__k2")
+    d, own = fresh_names(docs, *key_columns(docs))
+    return d.join(bad, (d["v0"] == bad["k1"]) & (d["v1"] == bad["k2"]), "left_anti").select(own)

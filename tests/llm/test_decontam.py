@@ -105,3 +105,24 @@ def test_short_items_and_unspaced_scripts(spark):
     got = {(r.doc_id, r.item_id): (r.matched, r.window) for r in decontam.overlaps(d, b).collect()}
     assert got == {(1, 1): (1, 1), (2, 2): (3, 3), (4, 3): (7, 7), (5, 4): (18, 18), (6, 4): (16, 18), (7, 5): (15, 15), (8, 6): (8, 8), (9, 7): (2, 2)}
     assert sorted(r.doc_id for r in decontam.clean(d, b).collect()) == [3, 10, 11, 12]
+
+
+def test_shuffle_carries_no_text(spark, monkeypatch):
+    long = " ".join(f"v{i % 997}" for i in range(20_000))
+    items = spark.createDataFrame([(1, " ".join(f"v{i}" for i in range(100, 130))), (2, "nothing of the sort here at all my friend")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, long), (1, long), (2, "v1 v2"), (3, None)], "doc_id long, text string")
+    want = sorted(map(tuple, decontam.overlaps(docs, items).select("doc_id", "item_id", "matched").collect()))
+    monkeypatch.setattr(decontam, "BROADCAST_SEEDS", 0)
+    found = decontam.overlaps(docs, items)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    join = next(x for x in plan.split("\n") if "Join Inner" in x and "h#" in x)
+    below = plan.split(join)[1].split("Relation")[0].split("LogicalRDD")[0].split("\n")
+    carried = next(x for x in below if "Generate explode" in x)
+    assert not re.search(r"[\[ ,]w#", re.search(r"\[h#.*", carried).group(0))        # no tokens beside the hash
+    assert sorted(map(tuple, found.select("doc_id", "item_id", "matched").collect())) == want and want
+
+
+def test_clean_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, 6, 7, 8)], "doc_id long, text string, __k1 int, k1 int, v0 int, c0 int")
+    items = spark.createDataFrame([(1, "x y z")], "item_id long, text string")
+    assert [r.asDict() for r in decontam.clean(docs, items).collect()] == [r.asDict() for r in docs.collect()]
