@@ -234,7 +234,9 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The columns of ``docs`` (doc_id first) with lang_pred and lang_score behind them."""
+    """The columns of ``docs`` (doc_id first) with lang_pred and lang_score behind them,
+    in place of any columns of its own of these names."""
+    docs = docs.drop("lang_pred", "lang_score")
     schema = T.StructType(list(docs.schema.fields)).add("lang_pred", "string").add("lang_score", "double")
     own = len(docs.columns)
     return _labelled(docs, model, schema, schema.fieldNames(), _documents, own)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, row_key, shuffle_width, slices, written
+from .common import documents, fresh_names, key_columns, row_key, shuffle_width, slices, written
 from .components import components
 
 SLICE = 4 << 20
@@ -209,9 +209,7 @@ def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """One row of each near-duplicate group, that of its smallest doc_id (a null id last); ``docs``'s columns."""
     found = near_duplicates(docs, shingle, max_bits)
     first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("one"))
-    first = first.select(F.col("one.k1").alias("__k1"), F.col("one.k2").alias("__k2"))
-    keyed = docs.withColumns({"__k1": F.xxhash64(F.lit(1), docs["doc_id"], docs["text"]), "__k2": F.xxhash64(F.lit(2), docs["doc_id"], docs["text"])})
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    w = Window.partitionBy("__k1", "__k2").orderBy(*rest) if rest else Window.partitionBy("__k1", "__k2").orderBy("__k1")
-    kept = keyed.join(first, ["__k1", "__k2"]).withColumn("__n", F.row_number().over(w))      # equal rows: one
-    return kept.where("__n = 1").select(docs.columns)
+    first = first.select(F.col("one.k1").alias("v0"), F.col("one.k2").alias("v1"))
+    d, own = fresh_names(docs, *key_columns(docs))
+    w = Window.partitionBy("v0", "v1").orderBy(*[f"c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")] or ["v0"])
+    return d.join(first, ["v0", "v1"]).withColumn("n", F.row_number().over(w)).where("n = 1").select(own)      # equal rows: one

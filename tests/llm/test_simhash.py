@@ -100,3 +100,9 @@ def test_query(spark, sf_small):
     comp = slow_components(fps, [r.doc_id for r in docs], 4)
     got = {(r.doc_id, r.fingerprint, r.component_id) for r in QUERIES["op1_simhash"](spark, sf_small).collect()}
     assert got == {(r.doc_id, f"{f:016x}", c) for r, f, c in zip(docs, fps, comp, strict=True)}
+
+
+def test_keep_one_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d e", 1, 2, 3), (2, "a b c d e", 4, 5, 6), (3, "p q r s t u v", 7, 8, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __k1 int, n int, __n int")
+    assert sorted(map(tuple, simhash.keep_one(df).collect())) == [rows[0], rows[2]]
