@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.hashing import unit_hash
-from .cleaning import clean_data, params_of
+from .cleaning import params_of
 from .running import join_on, running_totals
 
 def split_label(u, bounds=config.SPLIT_BOUNDS):
@@ -46,6 +46,17 @@ def fit_levels(fit_df: DataFrame, columns: list[str]) -> DataFrame:
     return fit_df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in columns])
 
 
+def known_levels(src: DataFrame, columns: list[str], max_levels: int = 10_000) -> dict[str, list[str]]:
+    """Each column's levels in byte order, or an error beyond ``max_levels`` of one."""
+    # collect_set buffers every level: bound the distinct counts first (HyperLogLog).
+    ndv = src.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in columns]).first().asDict()
+    wide = [c for c in columns if (ndv[c] or 0) > max_levels]
+    if wide:
+        raise ValueError(f"{wide}: more than {max_levels} levels; not categorical columns")
+    row = fit_levels(src, columns).first()
+    return {c: list(row[c] or []) for c in columns}
+
+
 def one_hot(df: DataFrame, columns: list[str], fit_df: DataFrame | None = None,
             levels: dict[str, list[str]] | None = None, keep: list[str] | None = None,
             max_levels: int = 10_000) -> DataFrame:
@@ -57,14 +68,7 @@ def one_hot(df: DataFrame, columns: list[str], fit_df: DataFrame | None = None,
     than ``max_levels`` of them raises an error instead of being cut.
     """
     if levels is None:
-        src = fit_df if fit_df is not None else df
-        # collect_set buffers every level: bound the distinct counts first (HyperLogLog).
-        ndv = src.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in columns]).first().asDict()
-        wide = [c for c in columns if (ndv[c] or 0) > max_levels]
-        if wide:
-            raise ValueError(f"{wide}: more than {max_levels} levels; not categorical columns")
-        row = fit_levels(src, columns).first()
-        levels = {c: list(row[c] or []) for c in columns}
+        levels = known_levels(fit_df if fit_df is not None else df, columns, max_levels)
     keep = [c for c in df.columns if c not in columns] if keep is None else keep
     encoded = [F.when(F.col(c) == F.lit(v), F.lit(1.0)).otherwise(F.lit(0.0)).alias(f"{c}_{v}")
                for c in columns for v in levels[c]]
@@ -102,8 +106,8 @@ class PrepModel:
                  levels: dict[str, list[str]] | None = None):
         self.medians, self.modes, self.scaler = medians, modes, scaler
         self.categoricals, self.scaled = categoricals, scaled
-        # Training levels of the categoricals (one-hot vocabulary) when the
-        # fit could collect them in the same pass; None means fit them apart.
+        # Training levels of the categoricals (one-hot vocabulary), if the fit
+        # was asked for them; None means ``encode`` fits them apart.
         self.levels = levels
 
     def encode(self, prepared_df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
@@ -135,8 +139,8 @@ def with_split(df: DataFrame) -> DataFrame:
     return df.withColumn("dataset", split_label(unit_hash("id", config.SPLIT_SALT)))
 
 
-def fit_prep(raw: DataFrame, categoricals: list[str] | None = None, approx: bool = False) -> PrepModel:
-    """Fit imputers, then the scaler, on the training split of a batch raw table."""
+def fit_prep(raw: DataFrame, categoricals: list[str] | None = None, approx: bool = False, levels: bool = False) -> PrepModel:
+    """Fit imputers, then the scaler (and the categoricals' levels), on the training split of a batch raw table."""
     from .cleaning import drop_columns, fit_imputers, rename_columns
     cats = config.FIXTURE_CATEGORICALS if categoricals is None else categoricals
     df = with_split(drop_columns(rename_columns(raw)))
@@ -148,15 +152,17 @@ def fit_prep(raw: DataFrame, categoricals: list[str] | None = None, approx: bool
         StorageLevel.MEMORY_AND_DISK)
     try:
         medians, modes = fit_imputers(train, nums, cats, approx)
-        scaler = params_of(fit_scaler(PrepModel(medians, modes, {}, cats, scaled).clean(train), scaled))
+        clean = PrepModel(medians, modes, {}, cats, scaled).clean(train)
+        scaler = params_of(fit_scaler(clean, scaled))
+        known = known_levels(clean, cats) if levels else None
     finally:
         train.unpersist()
-    return PrepModel(medians, modes, scaler, cats, scaled)
+    return PrepModel(medians, modes, scaler, cats, scaled, known)
 
 
 def prepared_encoded(raw: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
-    """Prepared table with the one-hot block, vocabulary from the same fit pass."""
-    model = fit_prep(raw)
+    """Prepared table with the one-hot block, its levels from the same kept training rows."""
+    model = fit_prep(raw, levels=True)
     return model.encode(model.transform(raw), columns, keep)
 
 

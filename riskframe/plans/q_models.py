@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions.hashing import unit_hash, unit_hash_sql
 from ..operators import counterfactual as cf
-from ..operators import explain, features, metrics, models
+from ..operators import explain, features, metrics, models, stages
 from ..session import checkpoint_dir, cut_lineage
+from ..sources import io
 from ..streaming import scoring
 from . import common
 from .q_explain import _BEST, _CAND, _GEN, _SCORED_C, MUT, ONE_HOT, _case_rows, _prepared, _ranges
@@ -103,9 +104,7 @@ def logistic_importance(spark, sf):
     return explain.feature_importance(models.coefficient_table(spark, _logistic(enc, names), names))
 
 
-@query("score_model", with_views("""
-SELECT dataset, CAST(COUNT(*) AS BIGINT) AS n, CAST(COUNT(*) AS BIGINT) AS n_recomputed, CAST(COUNT(*) AS BIGINT) AS n_labels
-FROM prepared GROUP BY dataset""", "prepared"))
+@query("score_model", with_views("SELECT id, dataset, status, TRUE AS recomputed, TRUE AS label_ok FROM prepared", "prepared"))
 def score_model(spark, sf):
     """I4: the fitted logistic model applied to every row, checked: each probability equals the
     sigmoid of the returned coefficients, each label its threshold."""
@@ -115,7 +114,43 @@ def score_model(spark, sf):
     scored = models.score_model(m, enc.withColumn("_p", p), names, ["id", "dataset", "status", "_p"])
     close = F.abs(F.col("_p") - F.col("predicted_probability")) < 1e-9
     label = F.col("predicted_label") == (F.col("_p") >= config.DECISION_THRESHOLD).cast("int")
-    return scored.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.count_if(close).alias("n_recomputed"), F.count_if(label).alias("n_labels"))
+    return scored.select("id", "dataset", "status", close.alias("recomputed"), label.alias("label_ok"))
+
+
+def _saved_and_loaded(spark, sf):
+    """One folder holds preparation and classifier; nothing of the fit is used behind it."""
+    path = f"{checkpoint_dir(spark)}/application-model-{uuid.uuid4().hex}"
+    io.save_model(stages.fit_application_model(common.raw(spark, sf)), path)
+    return io.load_pipeline_model(path)
+
+
+_SAME = with_views("SELECT id, dataset, status, TRUE AS same_probability, TRUE AS same_label FROM prepared", "prepared")
+
+
+def _held_against_parts(spark, sf, model, scored):
+    """The loaded model's rows against the preparation and the score done step by step with its coefficients."""
+    lr = next(s for s in model.stages if hasattr(s, "coefficients"))
+    names = stages.feature_names(model)
+    enc, _ = model_input(spark, sf)
+    p = models.sigmoid(models.linear_logit(dict(zip(names, map(float, lr.coefficients), strict=True)), float(lr.intercept)))
+    own = enc.select(F.col("id").alias("_id"), p.alias("_p"))
+    j = scored.join(own, F.col("id") == F.col("_id"))
+    return j.select("id", "dataset", "status", (F.abs(F.col("_p") - F.col("predicted_probability")) < 1e-9).alias("same_probability"),
+                    (F.col("predicted_label") == (F.col("_p") >= config.DECISION_THRESHOLD).cast("int")).alias("same_label"))
+
+
+@query("saved_model_scores", _SAME)
+def saved_model_scores(spark, sf):
+    """Preparation and classifier saved as one model, loaded, applied to raw rows."""
+    model = _saved_and_loaded(spark, sf)
+    return _held_against_parts(spark, sf, model, model.transform(common.raw(spark, sf)))
+
+
+@query("saved_model_stream", _SAME)
+def saved_model_stream(spark, sf):
+    """The loaded model applied to a stream of raw rows."""
+    model = _saved_and_loaded(spark, sf)
+    return _held_against_parts(spark, sf, model, scoring.model_stream(spark, sf, model))
 
 
 @query("model_metrics", check="R")

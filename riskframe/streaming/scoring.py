@@ -39,16 +39,27 @@ def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
     return os.path.join(base, "out"), os.path.join(base, "checkpoint")
 
 
-def score_stream(spark: SparkSession, sf_dir: str, prep: features.PrepModel) -> DataFrame:
-    """Run the scoring stream to completion; returns the sink as a batch frame."""
-    scored = models.score_linear(prep.transform(application_stream(spark, sf_dir)))
-    out, ck = _paths(spark, "scores")
+def _run_to_end(scored: DataFrame, name: str) -> DataFrame:
+    """Run a stateless stream to completion; its sink as a batch frame."""
+    spark = scored.sparkSession
+    out, ck = _paths(spark, name)
     q = (scored.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(scored.schema).parquet(out)
 
 
+def score_stream(spark: SparkSession, sf_dir: str, prep: features.PrepModel) -> DataFrame:
+    """Run the scoring stream to completion; returns the sink as a batch frame."""
+    return _run_to_end(models.score_linear(prep.transform(application_stream(spark, sf_dir))), "scores")
+
+
+def model_stream(spark: SparkSession, sf_dir: str, model) -> DataFrame:
+    """Raw applications through a saved pipeline model as they arrive."""
+    scored = model.transform(application_stream(spark, sf_dir))
+    return _run_to_end(scored.select("id", "dataset", "status", "predicted_probability", "predicted_label"), "model-scores")
+
+
 def counterfactual_stream(spark: SparkSession, sf_dir: str, prep: features.PrepModel,
                           ranges: dict[str, tuple[float, float]],
                           threshold: float = config.HIGH_RISK_THRESHOLD) -> DataFrame:
