@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import unit_hash
 from ..session import cut_lineage
+from . import pivots
 from .running import running_totals, top_k_per_group
 
 MAX_CELL = 20000
 TARGET_OCCUPANCY = 8.0
 GROWTH = 2  # cell width factor between rounds
+FINEST = 2.0 ** 40  # cells along the widest side, beyond which the pivot index takes over
 # Multipliers tried (in this order) for the allocation permutation.
 PERMUTATION_MULTIPLIERS = [7919, 7907, 7901, 7883, 7877, 7873]
 
@@ -75,6 +77,8 @@ def knn(points: DataFrame, feats: list[str], k: int = 5, id_col: str = "id",
         if occ["mx"] <= max_cell and occ["sq"] / n <= TARGET_OCCUPANCY:
             break
         size /= 2.0
+        if size < widest / FINEST:       # an outlier far off: cell numbers would no longer tell the rest apart
+            return pivots.knn(pts.select("id", *[F.col(f"p_{f}").alias(f) for f in feats]), feats, k).withColumnRenamed("id", id_col)
     offsets = list(itertools.product((-1, 0, 1), repeat=d))
     want = min(k + 1, n)                            # its own location is the first
     pending = locs.select(F.col("p_loc").alias("q_loc"), *[F.col(f"p_{f}").alias(f"q_{f}") for f in feats])
