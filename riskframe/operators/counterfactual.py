@@ -127,6 +127,72 @@ def generate(cases: DataFrame, ranges: dict[str, tuple[float, float]], mutable:
     return c.select("case_id", "cf_no", "candidate", "n_changed", "distance", "predicted_proba", *mutable, *whole)
 
 
+def linear_probability(coefficients: dict | None = None, intercept: float | None = None):
+    """The linear score as a function of feature columns: {feature: Column} to Column."""
+    coefficients = config.SCORE_COEFFICIENTS if coefficients is None else coefficients
+    intercept = config.SCORE_INTERCEPT if intercept is None else intercept
+
+    def score(values: dict):
+        z = F.lit(float(intercept))
+        for name, w in coefficients.items():
+            z = z + F.lit(float(w)) * values[name]
+        return sigmoid(z)
+    return score
+
+
+def importance_order(mutable: list[str] = config.MUTABLE_FEATURES, coefficients: dict | None = None) -> list[str]:
+    """The mutable features, least important (smallest absolute coefficient, then name) first."""
+    coefficients = config.SCORE_COEFFICIENTS if coefficients is None else coefficients
+    return sorted(mutable, key=lambda f: (abs(coefficients.get(f, 0.0)), f))
+
+
+def sparsify(cases: DataFrame, cfs: DataFrame, ranges: dict[str, tuple[float, float]], mutable: list[str] = config.MUTABLE_FEATURES,
+             order: list[str] | None = None, score=None, steps: int = 30, desired_class: int = config.DESIRED_CLASS) -> DataFrame:
+    """``cfs`` with changes undone that their class does not need.
+
+    Features are visited in ``order`` (least important first), twice.  First a
+    value goes back to the case's own if the class holds without the change.
+    Then each value still changed moves towards it by ``steps`` bisections, a
+    fold inside the row that keeps the class at its near end; the value left is
+    within 2**-steps of the change from where the class would be lost.  What one
+    feature's return gains is there for those behind it.  For a score that is
+    monotone in every feature no changed value can be moved back any further.
+
+    ``score`` maps {feature: Column} to the probability (the linear score by
+    default) and may read the other columns of ``cases``.  A value that is null,
+    or null in the case, stays as it is.  n_changed, distance and
+    predicted_proba are those of the new values; candidate and cf_no stay.
+    """
+    order = importance_order(mutable) if order is None else order
+    score = linear_probability() if score is None else score
+    read = [c for c in cases.columns if c != "id" and c not in mutable and c not in cfs.columns]
+    own = cases.select(F.col("id").alias("_case"), *[F.col(f).alias(f"_o_{f}") for f in mutable], *read)
+    j = cfs.join(own, F.col("case_id") == F.col("_case"))
+
+    def holds(f: str, x):
+        values = {c: F.col(c) for c in [*mutable, *read]} | {f: x}
+        return (score(values) >= F.lit(config.DECISION_THRESHOLD)).cast("int") == F.lit(desired_class)
+
+    for f in order:
+        j = j.withColumn(f, F.when(holds(f, F.col(f"_o_{f}")), F.col(f"_o_{f}")).otherwise(F.col(f)))
+    def halving(f: str):
+        def step(s, _):
+            mid = (s["lo"] + s["hi"]) / F.lit(2.0)
+            return F.when(holds(f, mid), F.struct(s["lo"].alias("lo"), mid.alias("hi"))).otherwise(F.struct(mid.alias("lo"), s["hi"].alias("hi")))
+        return step
+
+    for f in order:
+        start = F.struct(F.col(f"_o_{f}").alias("lo"), F.col(f).alias("hi"))
+        near = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halving(f))["hi"]
+        back = F.when(holds(f, F.col(f"_o_{f}")), F.col(f"_o_{f}")).otherwise(near)
+        j = j.withColumn(f, F.when(F.col(f) == F.col(f"_o_{f}"), F.col(f)).otherwise(F.coalesce(back, F.col(f))))
+    spans = {f: float(hi - lo) if lo is not None and hi is not None else 0.0 for f, (lo, hi) in ranges.items()}
+    moves = [F.coalesce(F.try_divide(F.abs(F.col(f) - F.col(f"_o_{f}")), F.lit(spans[f])), F.lit(0.0)) for f in mutable if spans.get(f)]
+    j = j.withColumns({"n_changed": sum(F.coalesce(F.col(f) != F.col(f"_o_{f}"), F.lit(False)).cast("int") for f in mutable),
+                       "distance": sum(moves, F.lit(0.0)), "predicted_proba": score({c: F.col(c) for c in [*mutable, *read]})})
+    return j.select(cfs.columns)
+
+
 def outcome(cases: DataFrame, cfs: DataFrame) -> DataFrame:
     """Per case: number of counterfactuals found and success flag; failed cases stay."""
     n = cfs.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_counterfactuals"))

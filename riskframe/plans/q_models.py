@@ -227,6 +227,49 @@ def stream_counterfactuals(spark, sf):
     return scoring.counterfactual_stream(spark, sf, prep, ranges)
 
 
+STEPS = 30
+register("cfs_all", f"SELECT * FROM ({_BEST.replace('FROM scored_c ', 'FROM scored_c_all ')}) WHERE cf_no <= {config.TOTAL_CFS}", ["scored_c_all"])
+
+
+def _sparse_sql() -> str:
+    """One CTE a visited feature: first the whole returns, then the bisections."""
+    def proba(f=None, x=None):
+        z = dbl(config.SCORE_INTERCEPT)
+        for name, w in config.SCORE_COEFFICIENTS.items():
+            z = f"({z} + {dbl(w)} * {x if name == f else name})"
+        return f"(1.0 / (1.0 + EXP(-{z})))"
+
+    def holds(f, x):
+        return f"({proba(f, x)} < {dbl(config.DECISION_THRESHOLD)})"
+
+    views = ["s0 AS (SELECT x.*, " + ", ".join(f"o.{f} AS o_{f}" for f in MUT) + " FROM cfs_all x JOIN case_feats_all o ON x.case_id = o.id)"]
+    order = cf.importance_order(MUT)
+    for f in order:
+        views.append(f"s{len(views)} AS (SELECT * REPLACE (CASE WHEN {holds(f, f'o_{f}')} THEN o_{f} ELSE {f} END AS {f}) FROM s{len(views) - 1})")
+    for f in order:
+        mid = "((s.lo + s.hi) / 2.0)"
+        dummy = "{'lo': CAST(0 AS DOUBLE), 'hi': CAST(0 AS DOUBLE)}"
+        fold = (f"list_reduce(list_prepend({{'lo': o_{f}, 'hi': {f}}}, list_transform(range({STEPS}), lambda i: {dummy})), "
+                f"lambda s, i: CASE WHEN {holds(f, mid)} THEN {{'lo': s.lo, 'hi': {mid}}} ELSE {{'lo': {mid}, 'hi': s.hi}} END).hi")
+        views.append(f"s{len(views)} AS (SELECT * REPLACE (CASE WHEN {f} = o_{f} THEN {f} WHEN {holds(f, f'o_{f}')} THEN o_{f} ELSE {fold} END AS {f}) FROM s{len(views) - 1})")
+    changed = " + ".join(f"CAST({f} <> o_{f} AS INT)" for f in MUT)
+    moved = " + ".join(f"COALESCE(ABS({f} - o_{f}) / NULLIF(r.{f}__max - r.{f}__min, 0), 0)" for f in MUT)
+    return (f"WITH {', '.join(views)} SELECT case_id, cf_no, candidate, CAST({changed} AS INT) AS n_changed, {moved} AS distance, "
+            f"{proba()} AS predicted_proba, {', '.join(MUT)} FROM s{len(views) - 1}, ranges r")
+
+
+register("cfs_sparse", _sparse_sql(), ["cfs_all", "case_feats_all", "ranges"])
+
+
+@query("counterfactuals_sparse", with_views("SELECT * FROM cfs_sparse", "cfs_sparse"), ["distance", "predicted_proba", *MUT])
+def counterfactuals_sparse(spark, sf):
+    """K3: counterfactuals of every application above 0.7, changes undone that the class does not need."""
+    p = cut_lineage(_prepared(spark, sf))
+    cases = cut_lineage(cf.top_cases(models.score_linear(p, keep=["id", "dataset", "status", *MUT]), None))
+    ranges = _ranges(p)
+    return cf.sparsify(cases.select("id", *MUT), cf.generate(cases.select("id", *MUT), ranges), ranges, steps=STEPS)
+
+
 @query("counterfactuals_model", check="R")
 def counterfactuals_model(spark, sf):
     """K3 for a fitted classifier: the search scored by the Spark ML logistic model, whole rows."""
