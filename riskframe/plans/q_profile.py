@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 
 from .. import config
-from ..operators import cleaning, profile
+from ..operators import cleaning, features, profile
 from . import common
 from .q_metrics import histogram_sql
+from .q_neighbors import ENCODED
 from .registry import query
-from .sql_views import dbl, register, with_views
+from .sql_views import dbl, q, register, with_views
 
 DESCRIBE_COLS = ["id", "year", "loan_amount", "rate_of_interest", "income", "credit_score", "ltv", "property_value",
                  "term", "dtir1", "status"]
@@ -122,6 +123,23 @@ def correlation_matrix(spark, sf):
     return profile.correlation_matrix(_renamed(spark, sf), CORR_COLS)
 
 
+def _encoded_corr_sql() -> str:
+    pairs = [(a, b) for i, a in enumerate(ENCODED) for b in ENCODED[i:]]
+    wide = "SELECT " + ", ".join(f"CORR({q(a)}, {q(b)}) AS _{i}" for i, (a, b) in enumerate(pairs)) + " FROM encoded"
+    rows = [f"{{'a': '{a}', 'b': '{b}', 'c': _{i}}}" for i, (a, b) in enumerate(pairs)]
+    rows += [f"{{'a': '{b}', 'b': '{a}', 'c': _{i}}}" for i, (a, b) in enumerate(pairs) if a != b]
+    return f"""
+SELECT r.a AS row_feature, r.b AS col_feature, CASE WHEN isnan(r.c) THEN NULL ELSE r.c END AS corr
+FROM (SELECT unnest([{', '.join(rows)}]) AS r FROM ({wide}))"""
+
+
+@query("correlation_encoded", with_views(_encoded_corr_sql(), "encoded"), ["corr"])
+def correlation_encoded(spark, sf):
+    """The matrix over every encoded feature, by masked block products."""
+    enc = features.prepared_encoded(common.raw(spark, sf), config.FIXTURE_CATEGORICALS, keep=config.SCALED_COLS)
+    return profile.correlation_matrix(enc, ENCODED)
+
+
 @query("target_correlation", with_views(
     "SELECT col_feature AS target, row_feature AS feature, corr, CAST(ROW_NUMBER() OVER (PARTITION BY col_feature "
     "ORDER BY corr DESC NULLS LAST, row_feature) AS INT) AS rank FROM corr_long WHERE col_feature IN ("
