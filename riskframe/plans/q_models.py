@@ -12,7 +12,7 @@ from ..operators import counterfactual as cf
 from ..operators import explain, features, metrics, models, stages
 from ..session import checkpoint_dir, cut_lineage
 from ..sources import io
-from ..streaming import scoring
+from ..streaming import late, scoring
 from . import common
 from .q_explain import _BEST, _CAND, _GEN, _SCORED_C, MUT, ONE_HOT, _case_rows, _prepared, _ranges
 from .registry import query
@@ -209,6 +209,12 @@ def stream_scores(spark, sf):
     return scoring.score_stream(spark, sf, prep)
 
 
+@query("stream_late_customers", with_views("SELECT * FROM scored", "scored"), ["predicted_probability"])
+def stream_late_customers(spark, sf):
+    """L1: orders and customers both as streams that meet in state; equal to the batch scores, whichever comes first."""
+    return late.late_scores(spark, sf, features.fit_prep(common.raw(spark, sf)))[0]
+
+
 register("case_feats_all", "SELECT p.* FROM prepared p JOIN scored s ON p.id = s.id "
                            f"WHERE s.predicted_probability > {dbl(config.HIGH_RISK_THRESHOLD)}", ["prepared", "scored"])
 register("cand_all", _CAND.replace("FROM case_feats,", "FROM case_feats_all,"), ["case_feats_all"])

@@ -34,7 +34,11 @@ CUSTOMER_COLS = ["c_custkey", "c_acctbal", "c_mktsegment"]
 
 def applications_from(o: DataFrame, c: DataFrame) -> DataFrame:
     """The application view from an orders frame (batch or stream) and customers (static)."""
-    j = o.join(c, o.o_custkey == c.c_custkey)
+    return application_columns(o.join(c, o.o_custkey == c.c_custkey))
+
+
+def application_columns(j: DataFrame) -> DataFrame:
+    """The application view of rows that hold an order's and its customer's columns."""
 
     def u(salt: int):
         return unit_hash("o_orderkey", salt)
