@@ -123,39 +123,6 @@ def logistic_gradient(train: DataFrame, model, features: list[str], C: float, la
     return train.sparkSession.createDataFrame(rows, "feature_index int, feature string, gradient double")
 
 
-def cv_grid(train: DataFrame, features: list[str], c_values=(0.01, 1.0, 100.0), folds: int = 5,
-            label: str = "status", fold_salt: int = 42, max_iter: int = 1000):
-    """k-fold grid search over C; folds from a keyed hash (not ``rand``); exact AUC (no score bins).
-
-    Returns (C values, mean AUC per C, {(fold, C): (AUC, model)}, the model of the best C)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from ..functions.hashing import unit_hash
-    d = assemble(train, features).withColumn(label, F.col(label).cast("double")).withColumn(
-        "fold", F.least(F.floor(unit_hash("id", fold_salt) * folds), F.lit(folds - 1)).cast("int"))
-    d = d.select("id", label, "features", "fold").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        sizes = {r["fold"]: r["count"] for r in d.groupBy("fold").count().collect()}
-        n = sum(sizes.values())
-
-        def fitted(part, size, c):
-            return LogisticRegression(featuresCol="features", labelCol=label, regParam=1.0 / (c * size), elasticNetParam=0.0,
-                                      standardization=False, maxIter=max_iter, tol=1e-8).fit(part)
-
-        ev = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0)
-        aucs = {}
-        for f in range(folds):
-            rest, held = d.where(F.col("fold") != f), d.where(F.col("fold") == f)
-            for c in c_values:
-                m = fitted(rest, n - sizes.get(f, 0), c)
-                aucs[f, c] = float(ev.evaluate(m.transform(held))), m
-        means = [sum(aucs[f, c][0] for f in range(folds)) / folds for c in c_values]
-        best = c_values[max(range(len(c_values)), key=lambda i: means[i])]
-        return list(c_values), means, aucs, fitted(d, n, best)
-    finally:
-        d.unpersist()
-
-
 # ------------------------------------------------------- network forward pass
 
 def _affine(x: np.ndarray, layer: dict) -> np.ndarray:
