@@ -30,7 +30,7 @@ def cumulative(pred: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """(keys, p, pos, neg, tps, fps, rn, tot_pos, tot_neg) by descending score; rn = 1 for the top score."""
     g = score_groups(pred, keys).withColumn("one", F.lit(1))
     # Keys name models and datasets: their number is bounded by the call.
-    c = running_totals(g, keys, "p", ["pos", "neg", "one"], descending=True, small=True, totals_prefix="tot_")
+    c = running_totals(g, keys, "p", ["pos", "neg", "one"], descending=True, totals_prefix="tot_")
     return c.select(*keys, "p", "pos", "neg", F.col("cum_pos").alias("tps"), F.col("cum_neg").alias("fps"),
                     F.col("cum_one").alias("rn"), "tot_pos", "tot_neg")
 

@@ -1,10 +1,9 @@
 """Running totals and exact order statistics without a single-task window.
 
 ``Window.orderBy(x)`` with no partition key sends every row to one task.  The
-helpers here split each group's order into equi-depth buckets (bounds from the
-bounded ``percentile_approx`` sketch), add per-bucket offsets computed on the
-tiny bucket-total table, and run the window inside (group, bucket) only.  The
-result is exact; the approximation only decides where buckets are cut.
+helpers here range-partition (group, value), cut the order into runs, add the
+offsets of the few groups that a boundary cuts, and run the window inside (run,
+group) only.  The result is exact, whatever the boundaries.
 
 Callers pre-aggregate so that the order column is unique within a group
 (``groupBy(group, value).count``): duplicates, and with them hot keys,
@@ -16,9 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, through_files
 
 ROWS_PER_BUCKET = 1_000_000
+RUNS_PER_TASK = 32             # runs that one task of the range partitioning sorts, at most
 SKETCH_ACCURACY = 10000
 _ONE = "_one_group"
 
@@ -44,61 +44,74 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(F.broadcast(right) if small else right, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def _bucketed(df: DataFrame, group_cols: list[str], order_col: str, n_buckets: int, small: bool) -> DataFrame:
-    if n_buckets <= 1:
-        return df.withColumn("_bucket", F.lit(0))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = df.groupBy(*group_cols).agg(
-        F.percentile_approx(order_col, probs, max(SKETCH_ACCURACY, 4 * n_buckets)).alias("_bounds"))
-    out = join_on(df, bounds, group_cols, small=small or group_cols == [_ONE])
-    # Number of bounds below the value by halving steps: log2(n) comparisons a row.
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range((n_buckets - 1).bit_length()))])
-    v, last = F.col(order_col), F.lit(n_buckets - 1)
-
-    def halve(pos, step):
-        below = (pos + step <= last) & F.coalesce(F.get("_bounds", pos + step - 1) < v, F.lit(False))
-        return F.when(below, pos + step).otherwise(pos)
-
-    out = out.withColumn("_bucket", F.aggregate(steps, F.lit(0), halve))
-    return out.drop("_bounds")
-
-
 def running_totals(df: DataFrame, group_cols: list[str], order_col: str, sum_cols: list[str],
                    descending: bool = False, n_buckets: int | None = None,
-                   prefix: str = "cum_", materialize: bool = True, small: bool = False,
+                   prefix: str = "cum_", materialize: bool = True,
                    totals_prefix: str | None = None) -> DataFrame:
     """Adds ``prefix+c``: inclusive running sum of each ``c`` along ``order_col``.
 
-    ``order_col`` must be unique within each group and non-null.  The input
-    feeds three branches (bounds, bucket totals, window); with
-    ``materialize`` it is checkpointed once to the shared checkpoint folder,
-    which also cuts the lineage a lost executor would have to replay.
-    ``totals_prefix`` adds each group's whole sums as well; ``small`` says that
-    the number of groups is bounded by the call.
+    ``order_col`` must be unique within each group and non-null; a NULL group
+    is a group.  With ``materialize`` the input is checkpointed once to the
+    shared checkpoint folder, which also cuts the lineage a lost executor would
+    have to replay.  ``totals_prefix`` adds each group's whole sums as well.
+
+    A prefix scan: beyond one bucket the rows are range-partitioned and sorted by
+    (group, value) and cut into numbered runs, so only a run's first and last
+    group can go on in another one.  Their offsets are a row a run, joined by the
+    run's number: nothing is joined or windowed on a whole group.
     """
     if materialize:
         df = cut_lineage(df)
-    if n_buckets is None:
-        # Size the buckets from the (already materialised, cheap to count)
-        # input: about ROWS_PER_BUCKET rows per window task, however many.
-        n_buckets = max(1, -(-df.count() // ROWS_PER_BUCKET))
+    # The input is materialised by now and cheap to count: about ROWS_PER_BUCKET rows per window task, however many.
+    size = ROWS_PER_BUCKET
+    if n_buckets is None or n_buckets > 1:
+        rows = df.count()
+        n_buckets = n_buckets or max(1, -(-rows // size))
+        size = max(1, -(-rows // n_buckets))
     cols = df.columns
-    df, group_cols = _with_group(df, group_cols)
-    b = _bucketed(df, group_cols, order_col, n_buckets, small)
-    keys = group_cols + ["_bucket"]
-    totals = b.groupBy(*keys).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
-    bucket_order = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
-    w_off = Window.partitionBy(*group_cols).orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group_cols)
-    offsets = totals.select(*keys, *[F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_o_{c}") for c in sum_cols],
-                            *[F.sum(f"_t_{c}").over(whole).alias(f"{totals_prefix}{c}") for c in (sum_cols if totals_prefix else [])])
-    # (#groups x n_buckets) rows on the keys of the window that follows: one
-    # exchange serves both, and a bucket holds about ROWS_PER_BUCKET rows.
-    j = join_on(b, offsets, keys, small=small and n_buckets <= 1024)
+    df, groups = _with_group(df, group_cols)
     row_order = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    if n_buckets > 1:
+        # Runs of ``size`` rows within sorted range partitions.  The bounds come from a sample, so the
+        # numbered rows are kept: both uses below must see the same runs.
+        width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ordered = df.repartitionByRange(max(min(n_buckets, width), n_buckets // RUNS_PER_TASK), *groups, row_order)
+        ordered = ordered.sortWithinPartitions(*groups, row_order)
+        run = F.floor(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) / F.lit(size))
+        part = F.shiftleft(F.spark_partition_id().cast("long"), 33) + run
+        df = through_files(ordered.withColumn("_part", part), "prefix-scan")
+        edges = _edges(df, groups, sum_cols)
+        df = df.join(F.broadcast(edges) if n_buckets <= 1024 else edges, "_part")
+        here = F.get(F.filter("_edges", lambda e: e["_g"].eqNullSafe(F.struct(*groups))), 0)
+        df, keys = df.withColumn("_edge", here), ["_part", *groups]
+    else:
+        keys = groups
     w = Window.partitionBy(*keys).orderBy(row_order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return j.select(*cols, *[(F.col(f"_o_{c}") + F.sum(c).over(w)).alias(prefix + c) for c in sum_cols],
-                    *[F.col(f"{totals_prefix}{c}") for c in (sum_cols if totals_prefix else [])])
+    whole = Window.partitionBy(*keys)
+
+    def running(c):
+        own = F.sum(c).over(w)
+        return own if n_buckets == 1 else F.coalesce(F.col(f"_edge._o_{c}"), F.lit(0)) + own
+
+    def total(c):
+        own = F.sum(c).over(whole)
+        return own if n_buckets == 1 else F.coalesce(F.col(f"_edge._w_{c}"), own)
+
+    return df.select(*cols, *[running(c).alias(prefix + c) for c in sum_cols],
+                     *[total(c).alias(f"{totals_prefix}{c}") for c in (sum_cols if totals_prefix else [])])
+
+
+def _edges(parts: DataFrame, groups: list[str], sum_cols: list[str]) -> DataFrame:
+    """A row a run: its first and last group, each with the group's sums before the run and its whole sums."""
+    held = parts.groupBy("_part", F.struct(*groups).alias("_g")).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+    one = F.struct("_g", *[f"_t_{c}" for c in sum_cols])
+    ends = held.groupBy("_part").agg(F.min(one).alias("first"), F.max(one).alias("last"))
+    cut = ends.select("_part", F.explode(F.array_distinct(F.array("first", "last"))).alias("e")).select("_part", "e.*")
+    whole = Window.partitionBy("_g")            # a row for each run that the group reaches
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.select("_part", F.struct("_g", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sum_cols],
+                                       *[F.sum(f"_t_{c}").over(whole).alias(f"_w_{c}") for c in sum_cols]).alias("e"))
+    return cut.groupBy("_part").agg(F.collect_list("e").alias("_edges"))
 
 
 def value_counts_long(df: DataFrame, group_cols: list[str], value_col: str) -> DataFrame:

@@ -8,6 +8,7 @@ is absent (local runs, tests) do we point it at a folder we are given.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -82,3 +83,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
     finally:
         df.unpersist()
+
+
+def through_files(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to a folder of its own beside the checkpoints and read it back.
+
+    Cuts the lineage as ``cut_lineage`` does, in one job; the reader packs small
+    files, so many short partitions cost later passes little.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -280,3 +280,17 @@ def test_cleaning_of_the_full_column_list_from_csv_to_csv(spark, tmp_path):
 def test_missing_name_list_is_reported_by_the_reader(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         io.read_feature_names(spark, str(tmp_path / "none.txt"))
+
+
+def test_prefix_scan_joins_on_partition_numbers_alone(spark):
+    # a class with most rows, one value's classes that no boundary cuts, a NULL class; same rows on 1 and 1,024 partitions
+    t = spark.range(30_000).selectExpr("CASE WHEN id % 10 < 8 THEN 'hot' WHEN id % 10 = 8 THEN NULL ELSE CONCAT('g', id % 700) END AS g",
+                                       "id AS o", "id % 5 AS n")
+    found = {}
+    for n in (1, 7, 1024):
+        scan = running_totals(t, ["g"], "o", ["n"], n_buckets=n, totals_prefix="all_")
+        found[n] = sorted(map(tuple, scan.collect()), key=str)
+        plan = scan._jdf.queryExecution().optimizedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join" in line]
+        assert len(joins) == (n > 1) and all("_part" in line and "g#" not in line for line in joins)
+    assert found[1] == found[7] == found[1024] and len(found[1]) == 30_000
