@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.hashing import unit_hash_sql
 from ..operators import counterfactual as cf
 from ..operators import explain, features, models
-from ..session import cut_lineage
+from ..session import checkpoint_dir, cut_lineage
+from ..sources import cases as store
 from . import common
 from . import q_metrics  # noqa: F401  (registers the "scored" view used below)
 from .q_cleaning import FIXTURE_LEVELS
@@ -289,3 +292,20 @@ def counterfactuals_permitted(spark, sf):
     """K9: the search inside user bounds, cut to the training range."""
     p = _prepared(spark, sf)
     return cf.generate(_case_rows(p), _ranges(p, PERMITTED))
+
+
+register("case_rows_all", "\nUNION ALL ".join(
+    f"SELECT p.id AS case_id, '{f}' AS feature, p.{f} AS value, s.predicted_probability AS predicted_proba FROM prepared p JOIN scored s ON p.id = s.id "
+    f"WHERE s.dataset = 'test' AND s.predicted_probability > {dbl(config.HIGH_RISK_THRESHOLD)}" for f in MUT), ["prepared", "scored"])
+
+
+@query("case_store", with_views("SELECT * FROM case_rows_all", "case_rows_all"), ["value", "predicted_proba"])
+def case_store(spark, sf):
+    """A6 for every high-risk case: a row a feature, written to the per-case store and read back."""
+    scored = models.score_linear(_prepared(spark, sf), keep=["id", "dataset", *MUT])
+    high = cf.top_cases(scored.where(F.col("dataset") == "test"), None)
+    rows = high.select(F.col("id").alias("case_id"), F.explode(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in MUT])).alias("f"), F.col("predicted_probability").alias("predicted_proba"))
+    path = f"{checkpoint_dir(spark)}/cases-{uuid.uuid4().hex}"
+    store.write_cases(rows.select("case_id", "f.*", "predicted_proba"), path, "case_id")
+    return store.read_cases(spark, path)
