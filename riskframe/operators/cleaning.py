@@ -40,7 +40,7 @@ def present(df: DataFrame, columns: list[str], strict: bool = False) -> list[str
     return [c for c in columns if c in df.columns]
 
 
-def _long(df: DataFrame, columns: list[str], value_type: str = "double") -> DataFrame:
+def long_values(df: DataFrame, columns: list[str], value_type: str = "double") -> DataFrame:
     """Unpivot ``columns`` into (column, value)."""
     return df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast(value_type).alias("value")) for c in columns
@@ -53,13 +53,13 @@ def fit_medians(fit_df: DataFrame, columns: list[str], approx: bool = False) ->
     Exact by default (distributed selection, no per-task value buffer);
     ``approx=True`` uses the one-pass bounded sketch.
     """
-    q = quantiles_wide(_long(fit_df, columns), ["column"], "value", {"median": 0.5}, approx=approx, small=True)
+    q = quantiles_wide(long_values(fit_df, columns), ["column"], "value", {"median": 0.5}, approx=approx, small=True)
     return q.agg(*[F.max(F.when(F.col("column") == c, F.col("median"))).alias(c) for c in columns])
 
 
 def fit_modes(fit_df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: most frequent non-null value per column, ties to the smallest value."""
-    counts = (_long(fit_df, columns, "string").where(F.col("value").isNotNull())
+    counts = (long_values(fit_df, columns, "string").where(F.col("value").isNotNull())
               .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
     # min over (-n, value): highest count first, then the smallest value; a
     # plain partial aggregate, so no per-column task ever sees all levels.

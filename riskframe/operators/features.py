@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.hashing import unit_hash
-from .cleaning import params_of
+from ..session import cut_lineage
+from .cleaning import long_values, params_of
 from .running import join_on, running_totals
 
 def split_label(u, bounds=config.SPLIT_BOUNDS):
@@ -79,6 +81,63 @@ def encoded_names(columns: list[str], levels: dict[str, list[str]]) -> list[str]
     return [f"{c}_{v}" for c in columns for v in levels[c]]
 
 
+def fit_index(fit_df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, level, index): each column's non-null levels numbered from 0 in byte order.
+
+    A table: its levels are counted and numbered on the executors, however many.
+    """
+    levels = long_values(fit_df, columns, "string").where(F.col("value").isNotNull()).select("column", F.col("value").alias("level")).distinct()
+    ranked = running_totals(levels.withColumn("_one", F.lit(1)), ["column"], "level", ["_one"])
+    return cut_lineage(ranked.select("column", "level", (F.col("cum__one") - 1).alias("index")))
+
+
+def index_sizes(index: DataFrame, columns: list[str]) -> dict[str, int]:
+    """Levels of each column; a column without any is left out."""
+    n = {r["column"]: r["n"] for r in index.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}   # a row a column
+    return {c: n[c] for c in columns if c in n}
+
+
+def vector_positions(index: DataFrame, columns: list[str], n_numeric: int = 0) -> DataFrame:
+    """(position, column, level): what each entry of ``encode_sparse``'s vector behind the numeric ones stands for."""
+    at, out = n_numeric, F.lit(None).cast("long")
+    for c, n in index_sizes(index, columns).items():
+        out = F.when(F.col("column") == c, F.lit(at).cast("long")).otherwise(out)
+        at += n
+    return index.select((out + F.col("index")).alias("position"), "column", "level").where(F.col("position").isNotNull())
+
+
+def encode_sparse(df: DataFrame, columns: list[str], index: DataFrame, numeric: list[str] = (), out: str = "features") -> DataFrame:
+    """``df`` with a vector of its numeric columns and a 1 at each categorical's level.
+
+    The levels are joined from ``fit_index``'s table (Spark broadcasts it under
+    its own threshold, else both sides are shuffled and a hot level is split by
+    the adaptive join), so neither the plan nor the driver grows with them.  A
+    NULL or unknown level has no entry, as zeros in ``one_hot``; a NULL number is
+    an error.  Columns of ``df`` stay as they are, whatever their names.
+    """
+    sizes = index_sizes(index, columns)
+    taken = set(df.columns)
+
+    def free(name: str) -> str:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        return name
+
+    keep, at, hot = df.columns, {}, {}
+    for c, n in sizes.items():
+        level, at[c], hot[c] = free(f"_level_{c}"), free(f"_index_{c}"), free(f"_hot_{c}")
+        own = index.where(F.col("column") == c).select(F.col("level").alias(level), F.col("index").cast("double").alias(at[c]))
+        df = df.join(own, F.col(c).cast("string") == F.col(level), "left").drop(level)
+        df = df.withColumn(at[c], F.coalesce(at[c], F.lit(float(n))))         # beyond the last level: dropped by the encoder
+    if sizes:
+        last = df.sparkSession.createDataFrame([tuple(float(n - 1) for n in sizes.values())], [at[c] for c in sizes])
+        encoder = OneHotEncoder(inputCols=list(at.values()), outputCols=list(hot.values()), dropLast=True, handleInvalid="keep")
+        df = encoder.fit(last).transform(df)
+    df = VectorAssembler(inputCols=[*numeric, *hot.values()], outputCol=out, handleInvalid="error").transform(df)
+    return df.select(*keep, out)
+
+
 def fit_scaler(fit_df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: mean and population std per column (sklearn StandardScaler)."""
     aggs = []

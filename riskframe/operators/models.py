@@ -56,7 +56,12 @@ def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataF
 
 def fit_logistic(train: DataFrame, features: list[str], C: float = 100.0, max_iter: int = 1000,
                  label: str = "status"):
-    """L2 logistic regression matching sklearn's C on an unscaled design.
+    """``fit_logistic_vectors`` on the named columns."""
+    return fit_logistic_vectors(assemble(train, features), C, max_iter, label)
+
+
+def fit_logistic_vectors(train: DataFrame, C: float = 100.0, max_iter: int = 1000, label: str = "status"):
+    """L2 logistic regression on a vector column ``features``, dense or sparse, matching sklearn's C on an unscaled design.
 
     sklearn minimises 0.5*||w||^2 + C*sum(loss); Spark minimises
     mean(loss) + 0.5*regParam*||w||^2, so regParam = 1 / (C * n).
@@ -65,7 +70,7 @@ def fit_logistic(train: DataFrame, features: list[str], C: float = 100.0, max_it
     n = train.count()
     lr = LogisticRegression(featuresCol="features", labelCol=label, regParam=1.0 / (C * max(n, 1)),
                             elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-8)
-    return lr.fit(assemble(train, features).withColumn(label, F.col(label).cast("double")))
+    return lr.fit(train.withColumn(label, F.col(label).cast("double")))
 
 
 def coefficient_table(spark, model, features: list[str]) -> DataFrame:

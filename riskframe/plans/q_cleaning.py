@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.hashing import unit_hash_sql
 from ..operators import cleaning, features
+from ..session import cut_lineage
 from . import common
 from .registry import query
 from .sql_views import with_views
@@ -139,3 +141,22 @@ def _one_hot_sql():
 def one_hot(spark, sf):
     """H1: one 0/1 column per level, all levels, byte order (levels fitted on train)."""
     return features.prepared_encoded(common.raw(spark, sf), CAT, keep=["id"])
+
+
+def _one_hot_sparse_sql():
+    every = [(c, v) for c in CAT for v in FIXTURE_LEVELS[c]]
+    return with_views("\nUNION ALL ".join(
+        f"SELECT id, CAST({len(config.SCALED_COLS) + i} AS BIGINT) AS position, '{c}' AS \"column\", {c} AS level, "
+        f"CAST(1 AS DOUBLE) AS value FROM prepared WHERE {c} = '{v}'" for i, (c, v) in enumerate(every)), "prepared")
+
+
+@query("one_hot_sparse", _one_hot_sparse_sql())
+def one_hot_sparse(spark, sf):
+    """H1 with any number of levels: the categorical entries of the sparse vector, named from the level table."""
+    raw = common.raw(spark, sf)
+    p = cut_lineage(features.fit_prep(raw).transform(raw))
+    index = features.fit_index(p.where(F.col("dataset") == "train"), CAT)
+    vectors = features.encode_sparse(p, CAT, index, config.SCALED_COLS).select("id", vector_to_array("features").alias("v"))
+    entries = vectors.select("id", F.posexplode("v").alias("position", "value")).where("value <> 0")
+    names = features.vector_positions(index, CAT, len(config.SCALED_COLS))
+    return entries.join(names, "position").select("id", F.col("position").cast("long").alias("position"), "column", "level", "value")
