@@ -31,7 +31,7 @@ from .components import components
 
 SLICE = 4 << 20
 CHUNK = 1 << 16                # shingles hashed at a time
-LONG_LIST = 1 << 16            # a longer list is dealt anew by one more byte
+LONG_LIST = 1 << 16            # a longer list is dealt anew by one more byte, then by nibbles
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -109,27 +109,34 @@ def _linked(x: np.ndarray, y, max_bits: int, matches: int) -> np.ndarray:
 
 
 def _links(max_bits: int, matches: int, limit: int | None):
-    """Links within the lists of a sorted partition; lists over ``limit`` are handed on."""
+    """Links within the lists of a sorted partition; lists over ``limit`` are handed on
+    (kind 1: the fingerprint as ``a``, what its list says of ``free`` nibbles as ``b``)."""
 
-    def out(kind, key, a, b):
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(a), pa.int32()), pa.array([key] * len(a), pa.int64()),
-                                           pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64))],
+    def batched(kind, key, a, b):
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(a), pa.int32()), pa.array([key] * len(a), pa.int64()), pa.array(a), pa.array(b)],
                                           names=["kind", "key", "a", "b"])
 
+    def linked(a, b):
+        return batched(0, 0, np.array(a, np.uint64).view(np.int64), np.array(b, np.uint64).view(np.int64))
+
+    def on(key, fp, free):
+        return batched(1, key, fp.view(np.int64), free)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp, passing = np.empty(0, np.int64), np.empty(0, np.uint64), None
+        key, fp, free, passing = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), None
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
                 k = batch.column("key").to_numpy(zero_copy_only=False)
                 f = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+                r = batch.column("free").to_numpy(zero_copy_only=False)
                 if passing is not None:                  # the rest of a long list
                     more = k == passing
                     if more.any():
-                        yield out(1, passing, f[more], f[more])
-                        k, f = k[~more], f[~more]
+                        yield on(passing, f[more], r[more])
+                        k, f, r = k[~more], f[~more], r[~more]
                     if len(k):
                         passing = None
-                key, fp = np.concatenate([key, k]), np.concatenate([fp, f])
+                key, fp, free = np.concatenate([key, k]), np.concatenate([fp, f]), np.concatenate([free, r])
             if not len(key):
                 continue
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -147,17 +154,30 @@ def _links(max_bits: int, matches: int, limit: int | None):
                 a += x
                 b += y
             if a:
-                yield out(0, 0, a, b)
+                yield linked(a, b)
             if batch is not None:
-                key, fp = key[starts[-1]:], fp[starts[-1]:]
+                key, fp, free = key[starts[-1]:], fp[starts[-1]:], free[starts[-1]:]
                 if limit is not None and len(key) > limit:
                     passing = int(key[0])
-                    yield out(1, passing, fp, fp)
-                    key, fp = key[:0], fp[:0]
+                    yield on(passing, fp, free)
+                    key, fp, free = key[:0], fp[:0], free[:0]
 
     return run
 
 
+#: A long list again, under each further byte that its pairs may share.  ``free`` has a bit for each nibble (from
+#: the most significant) that the list's key doesn't hold.  Keys are hashed: lists that happen to meet only add comparisons.
+BYTE_ROUND = """transform(filter(sequence(0, 7), p -> (shiftright(free, 2 * p) & 1) = 1), p ->
+    struct(xxhash64(key, p, shiftrightunsigned(fp, 56 - 8 * p) & 255) AS key, free & ~shiftleft(3L, 2 * p) AS free))"""
+
+
+def _nibble_round(max_bits: int) -> str:
+    """And again under single nibbles: differing bits spoil ``max_bits`` of the free ones at most, so of any
+    ``max_bits + 1`` one is shared.  When ``max_bits`` are free a list holds 16 ** max_bits values at most."""
+    return f"""transform(slice(filter(sequence(0, 15), p -> (shiftright(free, p) & 1) = 1), 1, {max_bits + 1}), p ->
+        struct(xxhash64(key, p, 16L, shiftrightunsigned(fp, 60 - 4 * p) & 15) AS key, free & ~shiftleft(1L, p) AS free))"""
+
+
 def links(fps: DataFrame, max_bits: int = 4, key_bytes: int | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints that span every group of
     fingerprints joined by pairs at ``max_bits`` or fewer differing bits."""
@@ -166,30 +186,32 @@ def links(fps: DataFrame, max_bits: int = 4, key_bytes: int | None = None) -> Da
         raise ValueError("at 8 or more bits no positional byte need be shared")
     sets = cover(matches, key_bytes or max(1, matches - 1))
     fp, width = F.col("fp"), shuffle_width(fps.sparkSession)
+    fixed = len(sets[0])
+    wide = fixed < matches                               # one more byte must be shared
+    nibbles = 16 - 2 * (fixed + wide)
+    rounds = [BYTE_ROUND] * wide + [_nibble_round(max_bits)] * max(0, nibbles - max_bits)
 
     def listed(df: DataFrame, limit: int | None) -> DataFrame:
-        return (df.repartition(width, "key").sortWithinPartitions("key", "fp")
-                .mapInArrow(_links(max_bits, matches, limit), "kind int, key long, a long, b long"))
+        return written(df.repartition(width, "key").sortWithinPartitions("key", "fp")
+                       .mapInArrow(_links(max_bits, matches, limit), "kind int, key long, a long, b long"), "simhash-links")
 
     keys = []
     for i, s in enumerate(sets):
-        key = F.lit(i).cast("long")
+        key, free = F.lit(i).cast("long"), sum(1 << n for n in range(16) if n // 2 not in s)
         for p in s:
             key = F.shiftleft(key, 8).bitwiseOR(_byte(fp, p))
-        keys.append(key)
-    wide = len(sets[0]) < matches                        # one more byte must be shared
-    found = listed(fps.select("fp", F.explode(F.array(*keys)).alias("key")), LONG_LIST if wide else None)
-    found = written(found, "simhash-links")
-    direct = found.where("kind = 0").select("a", "b")
-    if not wide:
-        return direct
-    # a long list again, under each further byte that its pairs may share; the key is hashed, so
-    # lists that happen to meet only add comparisons
-    others = F.array(*[F.array(*[F.lit(p) for p in range(8) if p not in s]) for s in sets])
-    free = F.get(others, F.shiftright("key", 8 * len(sets[0])).cast("int")).alias("free")
-    more = F.expr("transform(free, p -> xxhash64(key, p, shiftrightunsigned(a, 56 - 8 * p) & 255))")
-    deep = found.where("kind = 1").select("key", "a", free).select(F.col("a").alias("fp"), F.explode(more).alias("key"))
-    return direct.unionByName(listed(deep, None).select("a", "b"))
+        keys.append(F.struct(key.alias("key"), F.lit(free).cast("long").alias("free")))
+    lists = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.*")
+    direct = None
+    for left in range(len(rounds), -1, -1):
+        found = listed(lists, LONG_LIST if left else None)
+        own = found.where("kind = 0").select("a", "b")
+        direct = own if direct is None else direct.unionByName(own)
+        handed = found.where("kind = 1").select("key", F.col("a").alias("fp"), F.col("b").alias("free"))
+        if not left or handed.isEmpty():
+            return direct
+        deal = rounds[len(rounds) - left]
+        lists = handed.select("fp", F.explode(F.expr(deal)).alias("k")).select("fp", "k.*")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:

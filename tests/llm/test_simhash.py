@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -106,3 +107,26 @@ def test_keep_one_keeps_columns_of_any_name(spark):
     rows = [(1, "a b c d e", 1, 2, 3), (2, "a b c d e", 4, 5, 6), (3, "p q r s t u v", 7, 8, 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, __k1 int, n int, __n int")
     assert sorted(map(tuple, simhash.keep_one(df).collect())) == [rows[0], rows[2]]
+
+
+def test_one_hot_list_is_split_down_to_nibbles(spark, monkeypatch):
+    # all fingerprints share four bytes: the byte round leaves them in one list
+    rng = np.random.default_rng(9)
+    low = np.unique(rng.integers(0, 1 << 32, 1500, dtype=np.uint64))
+    low = np.unique(np.concatenate([low, low[:700] ^ (np.uint64(1) << rng.integers(0, 32, 700).astype(np.uint64)) ^ np.uint64(0x01000100)]))
+    fps = low | np.uint64(0xA5000F3C << 32)
+    near = [fps[np.bitwise_count(fps ^ x) <= 4] for x in fps]
+    want = {int(x): int(x) for x in fps}
+    for _ in range(len(fps)):
+        new = {int(x): min(want[int(y)] for y in ys) for x, ys in zip(fps, near, strict=True)}
+        if new == want:
+            break
+        want = new
+    monkeypatch.setattr(simhash, "LONG_LIST", 100)
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    root = {r.node: r.root for r in components.components(simhash.links(df, 4), "a", "b").collect()}
+    groups = {}
+    for x, s in zip(fps, fps.view(np.int64), strict=True):
+        groups.setdefault(root.get(int(s), int(s)), set()).add(want[int(x)])
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want.values()))
+    assert len(groups) < len(fps) - 600
