@@ -20,6 +20,7 @@ from ..session import cut_lineage, through_files
 ROWS_PER_BUCKET = 1_000_000
 RUNS_PER_TASK = 32             # runs that one task of the range partitioning sorts, at most
 SKETCH_ACCURACY = 10000
+WINDOW_ROWS = 100_000          # cells of a group that a window of the quantiles holds, at most
 _ONE = "_one_group"
 
 
@@ -127,49 +128,94 @@ def exact_quantiles(long_df: DataFrame, group_cols: list[str], value_col: str, p
     Returns (group..., prob, quantile), equal to numpy's default
     ``percentile`` and SQL ``quantile_cont``; NULL values are skipped, a NULL
     group is a group.  Pass one brackets each quantile with a bounded sketch
-    (rank error at most 1 / accuracy).  Pass two counts the rows below, above,
-    and per value inside each bracket, and the target ranks
-    floor/ceil(p * (n - 1)) are looked up there: a window holds the distinct
-    values of a bracket, 8 / accuracy of the group's rows, not the group.  A
-    rank outside its bracket would raise an error.  ``small`` says that the
+    (rank error at most 1 / accuracy).  Pass two turns each group into cells in
+    the order of their values: one a distinct value inside a bracket, one a gap
+    between brackets with its row count and ends.  Running totals over the cells,
+    a prefix scan, place the ranks floor/ceil(p * (n - 1)): no window holds more
+    than ``WINDOW_ROWS`` cells, however many rows a group has.  Where a rank lies
+    inside a gap, that gap alone is read again and cut into its values.  The cells
+    and the result are written to the checkpoint folder.  ``small`` says that the
     number of groups is bounded by the call.
     """
-    out_groups = list(group_cols)
-    base, groups = _with_group(long_df.where(F.col(value_col).isNotNull()), group_cols)
-    base = base.select(*groups, F.col(value_col).cast("double").alias("_v"))
+    keyed, groups = _with_group(long_df, group_cols)
+    small = small or groups == [_ONE]
+    found = _quantiles(keyed, groups, value_col, probs, _bracketed(keyed, groups, value_col, probs, accuracy), small, accuracy)
+    return found.select(*group_cols, "prob", "quantile")
+
+
+def _bracket_ends(probs: list[float], accuracy: int) -> tuple[list[float], list[int]]:
+    """Bracket ends as ascending fractions, and the numbers of the gaps below an end that lie in a bracket."""
     margin = 4.0 / accuracy
-    ends = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
-    sketch = base.groupBy(*groups).agg(F.percentile_approx("_v", ends, accuracy).alias("_e"))
-    brackets = sketch.select(*groups, F.array(*[
-        F.struct(F.lit(j).alias("j"), F.col("_e")[j].alias("lo"), F.col("_e")[j + len(probs)].alias("hi"))
-        for j in range(len(probs))]).alias("_b"))
-    v = join_on(base, brackets, groups, small=small or groups == [_ONE])
-    v = v.select(*groups, "_v", F.explode("_b").alias("_b")).select(*groups, "_v", "_b.*")
-    side = F.when(F.col("_v") < F.col("lo"), 0).when(F.col("_v") > F.col("hi"), 2).otherwise(1)
-    v = v.withColumn("_side", side).withColumn("_in", F.when(F.col("_side") == 1, F.col("_v")))
-    cells = v.groupBy(*groups, "j", "_side", "_in").agg(
+    spans = [(max(0.0, p - margin), min(1.0, p + margin)) for p in probs]
+    ends = sorted({e for span in spans for e in span})
+    return ends, [i for i in range(1, len(ends)) if any(lo <= ends[i - 1] and ends[i] <= hi for lo, hi in spans)]
+
+
+def _bracketed(keyed: DataFrame, groups: list[str], value_col: str, probs: list[float], accuracy: int,
+               extra_aggs: list | None = None) -> DataFrame:
+    """A row a group: the values ``_ends`` at the bracket ends (NULL without a value) and ``extra_aggs``, from one pass.
+
+    Written, so that a join with it is planned by its size."""
+    ends, _ = _bracket_ends(probs, accuracy)
+    sketch = F.percentile_approx(F.col(value_col).cast("double"), ends, accuracy)
+    return through_files(keyed.groupBy(*groups).agg(sketch.alias("_ends"), *(extra_aggs or [])), "quantile-brackets")
+
+
+def _quantiles(keyed: DataFrame, groups: list[str], value_col: str, probs: list[float], brackets: DataFrame,
+               small: bool, accuracy: int) -> DataFrame:
+    """(group..., prob, quantile) from the brackets of ``_bracketed``."""
+    ends, inner = _bracket_ends(probs, accuracy)
+    base = keyed.select(*groups, F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    v = join_on(base, brackets.select(*groups, "_ends"), groups, small=small)
+    below, kept = F.lit(0), F.lit(False)
+    for k in range(len(ends)):
+        below = below + (F.col("_ends")[k] < F.col("_v")).cast("int")
+        kept = kept | (F.col("_ends")[k] == F.col("_v"))
+    v = v.select(*groups, "_v", below.alias("_gap"), F.when(kept | below.isin(inner), F.col("_v")).alias("_in"))
+    cells = v.groupBy(*groups, "_gap", "_in").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
-    w = Window.partitionBy(*groups, "j").orderBy("_side", "_in")
-    whole = Window.partitionBy(*groups, "j")
-    cells = cells.withColumns({"_to": F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-                               "_all": F.sum("_n").over(whole)})
-    p = F.element_at(F.array(*[F.lit(float(x)) for x in probs]), F.col("j") + 1)
-    cells = cells.withColumns({"prob": p, "_pos": p * (F.col("_all") - 1)})
-    cells = cells.withColumns({"_lo": F.floor("_pos"), "_hi": F.ceil("_pos")})
-
-    def at(rank: str):
-        here = (F.col(rank) >= F.col("_to") - F.col("_n")) & (F.col(rank) < F.col("_to"))
-        value = (F.when(F.col("_side") == 1, F.col("_in"))
-                 .when((F.col("_side") == 0) & (F.col(rank) == F.col("_to") - 1), F.col("_mx"))
-                 .when((F.col("_side") == 2) & (F.col(rank) == F.col("_to") - F.col("_n")), F.col("_mn"))
-                 .otherwise(F.raise_error(F.lit("a quantile's rank lies outside its bracket")).cast("double")))
-        return F.max(F.when(here, value))
-
-    picked = cells.groupBy(*groups, "prob").agg(at("_lo").alias("_v_lo"), at("_hi").alias("_v_hi"),
-                                                F.max(F.col("_pos") - F.col("_lo")).alias("_frac"))
+    cells = through_files(cells.select(*groups, "_n", "_mn", "_mx"), "quantile-cells")
+    hits = _rank_hits(cells, groups, probs)
+    found = through_files(_interpolated(hits, groups), "quantiles")
+    if not found.where(F.col("quantile").isNull()).isEmpty():
+        inside = F.col("_unknown_lo") | F.col("_unknown_hi")
+        gaps = through_files(hits.where(inside).select(*groups, "_mn", F.col("_mx").alias("_end")).distinct(), "quantile-gaps")
+        values = join_on(base, gaps, groups, small=small).where((F.col("_v") >= F.col("_mn")) & (F.col("_v") <= F.col("_end")))
+        values = values.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_n"))
+        rest = join_on(cells, gaps.drop("_end"), [*groups, "_mn"], "left_anti", small=small)
+        cells = rest.unionByName(values.select(*groups, "_n", F.col("_v").alias("_mn"), F.col("_v").alias("_mx")))
+        cells = through_files(cells, "quantile-cells")
+        found = through_files(_interpolated(_rank_hits(cells, groups, probs), groups), "quantiles")
+    return found
+
+
+def _rank_hits(cells: DataFrame, groups: list[str], probs: list[float]) -> DataFrame:
+    """The cells that hold a rank of a quantile, a row a quantile, with the values at the ranks.
+
+    A rank inside a cell of several values, at neither of its ends, is unknown."""
+    placed = running_totals(cells, groups, "_mn", ["_n"], n_buckets=max(1, -(-cells.count() // WINDOW_ROWS)),
+                            materialize=False, totals_prefix="_all")
+    start, end = F.col("cum__n") - F.col("_n"), F.col("cum__n")
+    wanted = F.array(*[F.struct(F.lit(float(p)).alias("prob"), (F.lit(float(p)) * (F.col("_all_n") - 1)).alias("_pos")) for p in probs])
+    here = F.filter(wanted, lambda t: (F.ceil(t["_pos"]) >= start) & (F.floor(t["_pos"]) < end))
+    hits = placed.withColumn("_here", here).where(F.size("_here") > 0)
+    hits = hits.select(*groups, "_n", "_mn", "_mx", "cum__n", F.explode("_here").alias("_t")).select("*", "_t.*")
+
+    def at(rank, name):
+        inside = (rank >= start) & (rank < end)
+        known = F.when(rank == start, F.col("_mn")).when((rank == end - 1) | (F.col("_mn") == F.col("_mx")), F.col("_mx"))
+        return [F.when(inside, known).alias(f"_v_{name}"), (inside & known.isNull()).alias(f"_unknown_{name}")]
+
+    return hits.select(*groups, "prob", "_pos", "_mn", "_mx", *at(F.floor("_pos"), "lo"), *at(F.ceil("_pos"), "hi"))
+
+
+def _interpolated(hits: DataFrame, groups: list[str]) -> DataFrame:
+    """(group..., prob, quantile); NULL where a rank's value is unknown."""
+    picked = hits.groupBy(*groups, "prob").agg(F.max("_v_lo").alias("_v_lo"), F.max("_v_hi").alias("_v_hi"),
+                                               F.max(F.col("_pos") - F.floor("_pos")).alias("_frac"))
     q = F.when(F.col("_v_lo") == F.col("_v_hi"), F.col("_v_lo")).otherwise(
         (F.lit(1.0) - F.col("_frac")) * F.col("_v_lo") + F.col("_frac") * F.col("_v_hi"))
-    return picked.select(*out_groups, "prob", q.alias("quantile"))
+    return picked.select(*groups, "prob", q.alias("quantile"))
 
 
 def quantiles_wide(long_df: DataFrame, group_cols: list[str], value_col: str, probs: dict[str, float],
@@ -178,8 +224,8 @@ def quantiles_wide(long_df: DataFrame, group_cols: list[str], value_col: str, pr
 
     ``approx=True`` uses the bounded ``percentile_approx`` sketch (one pass);
     the default is exact (see ``exact_quantiles``).  ``extra_aggs`` are aliased
-    aggregate columns over all of ``long_df``'s rows, NULL values included; a
-    group without any value has NULL quantiles.
+    aggregate columns over all of ``long_df``'s rows, NULL values included, from
+    the sketch's pass; a group without any value has NULL quantiles.
     """
     names = list(probs)
     ps = [float(probs[n]) for n in names]
@@ -188,12 +234,13 @@ def quantiles_wide(long_df: DataFrame, group_cols: list[str], value_col: str, pr
         res = keyed.groupBy(*groups).agg(F.percentile_approx(value_col, ps, SKETCH_ACCURACY).alias("_q"), *(extra_aggs or []))
         rest = [c for c in res.columns if c not in (*groups, "_q")]
         return res.select(*group_cols, *[F.col("_q")[i].cast("double").alias(n) for i, n in enumerate(names)], *rest)
-    q = exact_quantiles(keyed, groups, value_col, ps, small or groups == [_ONE])
+    small = small or groups == [_ONE]
+    every = _bracketed(keyed, groups, value_col, ps, SKETCH_ACCURACY, extra_aggs)
+    q = _quantiles(keyed, groups, value_col, ps, every, small, SKETCH_ACCURACY)
     wide = q.groupBy(*groups).agg(*[F.max(F.when(F.col("prob") == F.lit(p), F.col("quantile"))).alias(n)
                                     for n, p in zip(names, ps, strict=True)])
-    every = keyed.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rows"), *(extra_aggs or [])).drop("_rows")
-    out = join_on(every, wide, groups, "left", small=small or groups == [_ONE])
-    return out.select(*group_cols, *names, *[c for c in every.columns if c not in groups])
+    out = join_on(every.drop("_ends"), wide, groups, "left", small=small)
+    return out.select(*group_cols, *names, *[c for c in every.columns if c not in (*groups, "_ends")])
 
 
 def top_k_per_group(df: DataFrame, group_cols: list[str], order: list, k: int, key_col: str,

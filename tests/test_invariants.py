@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskframe import config
-from riskframe.operators import cleaning, counterfactual, features, metrics
+from riskframe.operators import cleaning, counterfactual, features, metrics, running
 from riskframe.operators.running import exact_quantiles, quantiles_wide, running_totals, top_k_per_group
 from riskframe.sources import tables
 
@@ -215,3 +215,37 @@ def test_permitted_ranges_bound_generated_values(spark, sf_small):
     assert all(r.counterfactual <= 0.0 for r in d if r.feature == "income")
     with pytest.raises(ValueError):
         counterfactual.fetch_ranges(ranges, {"ltv": (1e9, None)})
+
+
+def test_quantile_ranks_outside_their_brackets_are_read_again(spark, monkeypatch):
+    df = spark.createDataFrame([(g, float(v), None) for g in ("a", None) for v in range(1000)], "g string, v double, w string")
+    honest = running._bracketed
+
+    def off(*args):
+        # brackets far from every rank: the first two and the last value of each group
+        found = honest(*args)
+        n = len(running._bracket_ends(args[3], args[4])[0])
+        return found.withColumn("_ends", F.array(*[F.lit(float(min(i, 1) if i < n - 1 else 999)) for i in range(n)]))
+
+    monkeypatch.setattr(running, "_bracketed", off)
+    probs = [0.0, 0.2505, 0.5, 0.77, 1.0]
+    for small in (True, False):
+        got = {(r.g, r.prob): r.quantile for r in exact_quantiles(df, ["g"], "v", probs, small=small).collect()}
+        assert got == pytest.approx({(g, p): np.percentile(np.arange(1000.0), 100 * p) for g in ("a", None) for p in probs})
+
+
+def test_quantile_windows_stay_bounded(spark, monkeypatch):
+    # one group of 400,000 rows and wide brackets: more cells than a window may hold
+    monkeypatch.setattr(running, "WINDOW_ROWS", 2_000)
+    totals, buckets = running.running_totals, []
+
+    def counted(cells, *args, **kw):
+        buckets.append((cells.count(), kw["n_buckets"]))
+        return totals(cells, *args, **kw)
+
+    monkeypatch.setattr(running, "running_totals", counted)
+    df = spark.range(400_000).selectExpr("CAST((id * 7919) % 400009 AS DOUBLE) AS v")
+    x = (np.arange(400_000, dtype=np.int64) * 7919 % 400009).astype(float)
+    got = {r.prob: r.quantile for r in exact_quantiles(df, [], "v", [0.25, 0.5, 0.9], accuracy=500).collect()}
+    assert got == pytest.approx({p: np.percentile(x, 100 * p) for p in (0.25, 0.5, 0.9)})
+    assert buckets[0][0] > 10_000 and buckets[0][0] <= 2_000 * buckets[0][1]
