@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
+from ..session import read_once
 from .running import quantiles_wide
 
 LOG_COLS_DEFAULT = config.LOG_TRANSFORM_COLS
@@ -92,7 +93,9 @@ def impute_median(df: DataFrame, columns: list[str] | None = None, fit_df: DataF
     cols = present(df, config.NUMERIC_COLS if columns is None else columns)
     if not cols:
         return df
-    return apply_fill(df, params_of(fit_medians(fit_df if fit_df is not None else df, cols, approx)), cols)
+    with read_once((fit_df if fit_df is not None else df).select(*cols)) as kept:
+        medians = params_of(fit_medians(kept, cols, approx))
+    return apply_fill(df, medians, cols)
 
 
 def impute_mode(df: DataFrame, columns: list[str] | None = None, fit_df: DataFrame | None = None,
@@ -114,11 +117,13 @@ def clean_data(raw: DataFrame, categoricals: list[str] | None = None, fit_filter
     """rename -> drop -> impute (median / mode) -> log1p.
 
     ``fit_filter`` restricts the rows the imputers are fitted on (for example
-    the training split); by default they are fitted on the whole table.
+    the training split); by default they are fitted on the whole table.  The
+    fits' columns are read once and released before the transform.
     """
     df = drop_columns(rename_columns(raw))
     fit_df = df.where(fit_filter) if fit_filter is not None else df
     nums = present(df, config.NUMERIC_COLS)
     cats = present(df, config.CATEGORICAL_COLS if categoricals is None else categoricals, strict=True)
-    medians, modes = fit_imputers(fit_df, nums, cats, approx)
+    with read_once(fit_df.select(*nums, *cats)) as kept:
+        medians, modes = fit_imputers(kept, nums, cats, approx)
     return log_transform(apply_fill(apply_fill(df, medians, nums), modes, cats))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.hashing import unit_hash
-from ..session import cut_lineage
+from ..session import cut_lineage, read_once
 from .cleaning import long_values, params_of
 from .running import join_on, running_totals
 
@@ -207,15 +206,12 @@ def fit_prep(raw: DataFrame, categoricals: list[str] | None = None, approx: bool
     scaled = [c for c in config.SCALED_COLS if c in df.columns]
     # Several fits scan the training rows: read them once, as Spark ML
     # estimators do with their input; released when fitting is done.
-    train = df.where(F.col("dataset") == "train").select(*{*nums, *scaled, *cats}).persist(
-        StorageLevel.MEMORY_AND_DISK)
-    try:
+    columns = list(dict.fromkeys([*nums, *scaled, *cats]))
+    with read_once(df.where(F.col("dataset") == "train").select(*columns)) as train:
         medians, modes = fit_imputers(train, nums, cats, approx)
         clean = PrepModel(medians, modes, {}, cats, scaled).clean(train)
         scaler = params_of(fit_scaler(clean, scaled))
         known = known_levels(clean, cats) if levels else None
-    finally:
-        train.unpersist()
     return PrepModel(medians, modes, scaler, cats, scaled, known)
 
 

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, read_once
 from . import gram
 from .metrics import histogram_bins
 from .running import join_on, quantiles_wide, top_k_per_group
@@ -31,10 +31,10 @@ QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 def describe_numeric(df: DataFrame, columns: list[str], approx: bool = False) -> DataFrame:
     """count, mean, std (n-1), min, 25/50/75 % (linear), max per numeric column."""
-    lf = long_form(df, columns)
     basic = [F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
              F.min("value").alias("min"), F.max("value").alias("max")]
-    q = quantiles_wide(lf, ["feature"], "value", QUARTILES, approx=approx, small=True, extra_aggs=basic)
+    with read_once(df.select(*columns)) as kept:
+        q = quantiles_wide(long_form(kept, columns), ["feature"], "value", QUARTILES, approx=approx, small=True, extra_aggs=basic)
     return q.select("feature", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
@@ -116,8 +116,10 @@ def histogram_auto(df: DataFrame, columns: list[str]) -> DataFrame:
     column -> counts; the last bin is closed.
     """
     lf = long_form(df, columns).where(F.col("value").isNotNull())
-    s = quantiles_wide(lf, ["feature"], "value", {"q25": 0.25, "q75": 0.75}, small=True, extra_aggs=[
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("mn"), F.max("value").alias("mx")])
+    with read_once(df.select(*columns)) as kept:
+        s = quantiles_wide(long_form(kept, columns), ["feature"], "value", {"q25": 0.25, "q75": 0.75}, small=True, extra_aggs=[
+            F.count("value").alias("n"), F.min("value").alias("mn"), F.max("value").alias("mx")])
+    s = s.where(F.col("n") > 0)
     ptp = F.col("mx") - F.col("mn")
     sturges = ptp / (F.log(F.col("n").cast("double")) / F.lit(math.log(2.0)) + 1.0)
     fd = F.lit(2.0) * (F.col("q75") - F.col("q25")) * F.pow(F.col("n").cast("double"), F.lit(-1.0 / 3.0))
@@ -175,7 +177,9 @@ def density(df: DataFrame, columns: list[str], grid_points: int = 200, fine_bins
 def box_stats(df: DataFrame, columns: list[str], approx: bool = False) -> DataFrame:
     """Quartiles, whiskers (extreme values inside 1.5 IQR fences) and outlier counts."""
     lf = long_form(df, columns).where(F.col("value").isNotNull())
-    q = quantiles_wide(lf, ["feature"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, approx=approx, small=True)
+    with read_once(df.select(*columns)) as kept:
+        q = quantiles_wide(long_form(kept, columns).where(F.col("value").isNotNull()), ["feature"], "value",
+                           {"q1": 0.25, "median": 0.5, "q3": 0.75}, approx=approx, small=True)
     q = q.select("*", (F.col("q3") - F.col("q1")).alias("iqr"))
     q = q.select("*", (F.col("q1") - 1.5 * F.col("iqr")).alias("lower_fence"),
                  (F.col("q3") + 1.5 * F.col("iqr")).alias("upper_fence"))
@@ -191,8 +195,9 @@ def group_quartiles(df: DataFrame, group: str, measure: str) -> DataFrame:
     """Per group of ``group``: quartiles, min, max and count of ``measure`` (violin inner lines)."""
     d = df.select(F.col(group).alias("group"), F.col(measure).cast("double").alias("value")).where(
         F.col("value").isNotNull())
-    q = quantiles_wide(d, ["group"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, extra_aggs=[
-        F.min("value").alias("min"), F.max("value").alias("max"), F.count(F.lit(1)).alias("count")])
+    with read_once(d) as kept:
+        q = quantiles_wide(kept, ["group"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, extra_aggs=[
+            F.min("value").alias("min"), F.max("value").alias("max"), F.count(F.lit(1)).alias("count")])
     return q.select("group", "q1", "median", "q3", "min", "max", "count")
 
 

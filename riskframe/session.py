@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -85,6 +87,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         df.unpersist()
 
 
+@contextmanager
+def read_once(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` kept by the executors while several passes read it, released behind them.
+
+    A frame that its caller keeps already stays kept.
+    """
+    if df.storageLevel != StorageLevel.NONE:
+        yield df
+        return
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 def through_files(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to a folder of its own beside the checkpoints and read it back.
 

@@ -38,10 +38,16 @@ def applications_from(o: DataFrame, c: DataFrame) -> DataFrame:
 
 
 def application_columns(j: DataFrame) -> DataFrame:
-    """The application view of rows that hold an order's and its customer's columns."""
+    """The application view of rows that hold an order's and its customer's columns.
+
+    A row's draws are columns of a projection below, so each digest is taken once
+    a row, though several columns use it, and the plans above stay short.
+    """
+    j = j.select("o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus", "o_totalprice", "c_acctbal", "c_mktsegment",
+                 *[unit_hash("o_orderkey", salt).alias(f"_draw_{salt}") for salt in range(1, 13)])
 
     def u(salt: int):
-        return unit_hash("o_orderkey", salt)
+        return F.col(f"_draw_{salt}")
 
     price = F.col("o_totalprice").cast("double")
     null_d = F.lit(None).cast("double")
