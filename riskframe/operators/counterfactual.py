@@ -8,11 +8,18 @@ range; draws come from a keyed digest of (case_id, k), so reruns and
 lost executors reproduce them.  Candidates are scored by the given scorer
 (the batch scorer's linear expression by default), filtered to the desired class, and the best
 ``total_cfs`` per case (fewest changes, then smallest range-scaled L1 move,
-then candidate number) are kept with one window partitioned by case.
+then candidate number) are kept: of each batch first, where a case's candidates
+lie together, so that only a few rows a case are sorted and shuffled, then with
+one window partitioned by case.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +86,21 @@ def linear_scorer(coefficients: dict | None = None, intercept: float | None = No
     return lambda df: df.withColumn("predicted_proba", sigmoid(linear_logit(coefficients, intercept)))
 
 
+def _best_of_batches(total_cfs: int, desired_class: int):
+    """Of each batch a case's best usable candidates (something changed, the desired class reached).
+
+    A candidate that is not among them is not among the case's best either, however its candidates are dealt."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            usable = pc.and_(pc.greater(batch.column("n_changed"), 0), pc.equal(batch.column("label"), desired_class))
+            batch = batch.filter(usable)                  # a null is not usable
+            case = batch.column("case_id").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            order = np.lexsort([*(batch.column(n).to_numpy(zero_copy_only=False) for n in ("candidate", "distance", "n_changed")), case])
+            case = case[order]
+            yield batch.take(pa.array(order[np.arange(len(case)) - np.searchsorted(case, case) < total_cfs]))
+    return run
+
+
 def generate(cases: DataFrame, ranges: dict[str, tuple[float, float]], mutable: list[str] = config.MUTABLE_FEATURES,
              n_candidates: int = config.CF_CANDIDATES, total_cfs: int = config.TOTAL_CFS,
              desired_class: int = config.DESIRED_CLASS, scorer=None, carry: list[str] | None = None) -> DataFrame:
@@ -113,16 +135,11 @@ def generate(cases: DataFrame, ranges: dict[str, tuple[float, float]], mutable:
     c = c.withColumn("n_changed", sum(changed))
     c = c.withColumn("distance", sum(F.coalesce(d, F.lit(0.0)) for d in dist))
     c = scorer(c)
-    pred = (F.col("predicted_proba") >= F.lit(config.DECISION_THRESHOLD)).cast("int")
-    # Unusable candidates (nothing changed, or still the original class) sort
-    # after every usable one, so one filter after the window keeps the best
-    # usable ones.  Filtering before the window gives the same rows, but the
-    # optimizer then spends seconds propagating constraints through the
-    # hash-heavy projections.
-    c = c.withColumn("label", pred)
-    c = c.withColumn("_bad", (~((F.col("n_changed") > 0) & (F.col("label") == F.lit(desired_class)))).cast("int"))
-    w = Window.partitionBy("case_id").orderBy("_bad", "n_changed", "distance", "candidate")
-    c = c.withColumn("cf_no", F.row_number().over(w)).where((F.col("cf_no") <= total_cfs) & (F.col("_bad") == 0))
+    c = c.withColumn("label", (F.col("predicted_proba") >= F.lit(config.DECISION_THRESHOLD)).cast("int"))
+    c = c.select("case_id", "candidate", "n_changed", "distance", "predicted_proba", *mutable, *(carry or []), "label")
+    c = c.mapInArrow(_best_of_batches(total_cfs, desired_class), c.schema)
+    w = Window.partitionBy("case_id").orderBy("n_changed", "distance", "candidate")
+    c = c.withColumn("cf_no", F.row_number().over(w)).where(F.col("cf_no") <= total_cfs)
     whole = [*carry, "label"] if carry is not None else []
     return c.select("case_id", "cf_no", "candidate", "n_changed", "distance", "predicted_proba", *mutable, *whole)
 

@@ -64,3 +64,24 @@ def test_order_decides_which_change_goes(spark):
 def test_empty(spark):
     c = cases(spark, 2)
     assert cf.sparsify(c, cf.generate(c, RANGES).limit(0), RANGES).collect() == []
+
+
+def test_only_the_best_of_a_batch_leave_it(spark):
+    c = cases(spark, 300, 5).repartition(2).localCheckpoint()
+    found = cf.generate(c, RANGES)
+    plan = found._jdf.queryExecution().executedPlan().toString()      # printed from the last step to the first
+    assert "Exchange " in plan and max(plan.rindex("Sort "), plan.rindex("Exchange ")) < plan.index("MapInArrow")
+    want = {(r.case_id, r.cf_no): r.candidate for r in found.collect()}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")               # a case's candidates in many batches
+    try:
+        assert {(r.case_id, r.cf_no): r.candidate for r in cf.generate(c, RANGES).collect()} == want and len(want) > 500
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_candidates_without_a_score_take_no_place(spark):
+    c = cases(spark, 30).withColumn("term", F.lit(None).cast("double"))
+    found = cf.generate(c, RANGES).collect()
+    assert len({r.case_id for r in found}) > 20 and all(r.term is not None and r.predicted_proba < 0.5 for r in found)
+    assert all(sorted(r.cf_no for r in found if r.case_id == i) == list(range(1, 1 + sum(r.case_id == i for r in found))) for i in {r.case_id for r in found})
