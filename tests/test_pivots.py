@@ -64,3 +64,22 @@ def test_single_empty_and_null(spark):
     assert pivots.knn(df, ["a"], 3).collect() == [] and pivots.knn(df.limit(0), ["a"], 3).collect() == []
     df = spark.createDataFrame([(1, 1.0), (2, None), (3, 2.0)], "id long, a double")
     assert sorted((r.id, r.neighbor_id) for r in pivots.knn(df, ["a"], 3).collect()) == [(1, 3), (3, 1)]
+
+
+def test_a_location_asks_only_leaves_within_its_bound(spark):
+    """Levels cut the table: the asks grow with the rows, not with pairs of blocks."""
+    asked, points = {}, table(7, 4000, 2, (3, 4, 3))
+    import numpy as np
+    for n in (1000, 4000):
+        x = np.array([p for _, p in points[:n]])
+        nodes = pivots.grow(x, 40)
+        leaf = pivots.leaf_of(nodes, x)
+        kinds = [len({tuple(r[2:]) for r in x[leaf == i]}) for i in range(leaf.max() + 1)]
+        assert min(kinds) >= 1 and sum(k == 1 for k in kinds) > len(kinds) // 2        # most leaves hold one combination of levels
+        low, high = (np.array([f(x[leaf == i], axis=0) for i in range(leaf.max() + 1)]) for f in (np.min, np.max))
+        ask = pivots._ask(x[:50], x[:2], np.arange(len(low)), np.hstack([low, 0 * low[:, :2]]), np.hstack([high, 0 * high[:, :2] + 1e9]), 6, x.shape[1])
+        import pyarrow as pa
+        mine = pa.record_batch({"leaf": pa.array([0], pa.int32()), "part": [0], "parts": [1], "locs": [np.nonzero(leaf == 0)[0].astype("<i8").tobytes()], "at": [x[leaf == 0].tobytes()]})
+        out = next(ask(iter([mine]))).to_pylist()
+        asked[n] = sum(len(r["q_locs"]) // 8 for r in out[1:]) / (leaf == 0).sum() / len(low)
+    assert asked[4000] < 0.25
