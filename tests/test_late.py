@@ -73,3 +73,50 @@ def test_expired_orders_are_kept_apart(spark, sf_small, folder):
     add(customers.where(customers.c_custkey == key), path, "customer")
     scores, dead = late.late_scores(spark, path, prep, 0.5, 100, folders)
     assert scores.count() == 0 and dead.count() == mine.count()      # not scored after all
+
+
+class State:
+    """A group's state without a stream."""
+    def __init__(self):
+        self.kept, self.timer, self.hasTimedOut, self.now = None, None, False, 0
+    exists = property(lambda self: self.kept is not None)
+    get = property(lambda self: self.kept)
+    getCurrentWatermarkMs = lambda self: self.now
+
+    def update(self, value):
+        self.kept = value
+
+    def remove(self):
+        self.kept = None
+
+    def setTimeoutTimestamp(self, at):
+        self.timer = at
+
+
+def test_many_keys_share_a_state():
+    import pandas as pd
+    state, step = State(), late._meet(1000)
+    frame = lambda rows: pd.DataFrame([(k, kind, row, pd.Timestamp(at, unit="ms")) for k, kind, row, at in rows], columns=["key", "kind", "row", "arrived"])
+    met = lambda *frames: [tuple(r) for out in step((0, 0), iter([frame(f) for f in frames]), state) for r in out.itertuples(index=False)]
+    assert met([("1", "order", "o1", 100), ("2", "order", "o2", 100), (None, "order", "o0", 100)]) == [] and state.timer == 1100
+    assert met([("2", "customer", "c2", 200), (None, "customer", "c0", 200)]) == [("o2", "c2", False)]
+    assert met([("2", "order", "o3", 300), ("2", "customer", "c2a", 300)], [("2", "customer", "c2b", 300), ("3", "order", "o4", 300)]) == [("o3", "c2b", False)]
+    kept = state.kept
+    assert met([("2", "order", "o5", 400)]) == [("o5", "c2b", False)]
+    state.hasTimedOut, state.now = True, 1200
+    assert met([]) == [("o1", None, True), ("o0", None, True)] and state.kept != kept
+    state.now = 1400
+    assert met([]) == [("o4", None, True)]
+    state.hasTimedOut, kept = False, state.kept
+    assert met([("2", "order", "o6", 500)]) == [("o6", "c2b", False)] and state.kept is kept         # nothing new: nothing written
+    assert late.json.loads(late.zlib.decompress(state.kept[1])) == [] 
+
+
+def test_calls_do_not_follow_the_keys(spark, sf_small, folder):
+    path, folders = folder
+    prep = features.fit_prep(common.raw(spark, sf_small))
+    for t in ("orders", "customer"):
+        for part in range(3):                                   # part files share a micro-batch, which bytes bound
+            add(spark.read.parquet(f"{sf_small}/{t}.parquet").where(f"{'o_orderkey' if t == 'orders' else 'c_custkey'} % 3 = {part}"), path, t)
+    scores, dead = late.late_scores(spark, path, prep, folders=folders)
+    assert len(os.listdir(f"{folders[0]}/scores")) <= 2 and scores.count() == common.raw(spark, sf_small).count()
