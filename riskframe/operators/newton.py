@@ -13,13 +13,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import through_files
 
 TOLERANCE = 1e-9           # of each entry of the gradient of the mean loss
 ROUNDS = 200
@@ -137,29 +138,33 @@ def held_out_scores(rows: DataFrame, names: list[str], problems: list[Problem],
 def largest_slopes(rows: DataFrame, names: list[str], problems: list[Problem], label: str = "y", fold: str = "fold") -> DataFrame:
     """(problem, left_out, C, n, slope): the largest entry of each problem's gradient at its weights, by column expressions.
 
-    ``problem`` is its place in the list; a problem is a row of a table as long as the call's list."""
-    spark, last = rows.sparkSession, len(names)
-    told = spark.createDataFrame([(i, p.left_out, p.C, [float(w) for w in p.weights]) for i, p in enumerate(problems)],
-                                 "problem int, left_out int, C double, w array<double>")
-    each = rows.select(F.array(*[F.col(f"`{n}`").cast("double") for n in names], F.lit(1.0)).alias("x"), F.col(label).alias("y"), F.col(fold).alias("fold"),
-                       F.explode(F.sequence(F.lit(0), F.lit(len(problems) - 1))).alias("problem")).join(F.broadcast(told), "problem")
-    each = each.where(F.col("left_out").isNull() | (F.col("fold") != F.col("left_out")))
-    z = F.aggregate(F.zip_with("x", "w", lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
-    each = each.select("problem", "left_out", "C", "w", "x", (F.lit(1.0) / (F.lit(1.0) + F.exp(-z)) - F.col("y")).alias("r"))
-    sums = each.groupBy("problem", "left_out", "C", "w").agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col("r") * F.col("x")[i]).alias(f"g{i}") for i in range(last + 1)])
-    slopes = [F.abs(F.col(f"g{i}") + (F.col("w")[i] / (F.col("C") * F.col("n")) if i < last else F.lit(0.0))) for i in range(last + 1)]
-    return sums.select("problem", "left_out", "C", "n", F.array_max(F.array(*slopes)).alias("slope"))
+    ``problem`` is its place in the list.  One aggregate a problem, in one job: its weights are literals, so
+    a row is neither copied a problem nor grouped by weights."""
+    told = []
+    for i, p in enumerate(problems):
+        part = rows if p.left_out is None else rows.where(F.col(fold) != p.left_out)
+        x = [F.col(f"`{n}`").cast("double") for n in names]
+        z = sum((F.lit(float(w)) * c for w, c in zip(p.coefficients, x, strict=True)), F.lit(p.intercept))
+        part = part.select(*[c.alias(f"x{j}") for j, c in enumerate(x)], (F.lit(1.0) / (F.lit(1.0) + F.exp(-z)) - F.col(label)).alias("r"))
+        sums = part.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col("r") * F.col(f"x{j}")).alias(f"g{j}") for j in range(len(names))], F.avg("r").alias("last"))
+        slopes = [F.abs(F.col(f"g{j}") + F.lit(float(w)) / (F.lit(p.C) * F.col("n"))) for j, w in enumerate(p.coefficients)]
+        told.append(sums.where("n > 0").select(F.lit(i).alias("problem"), F.lit(p.left_out).cast("int").alias("left_out"), F.lit(p.C).alias("C"), "n",
+                                               F.array_max(F.array(*slopes, F.abs("last"))).alias("slope")))
+    return reduce(DataFrame.unionByName, told)
 
 
 @dataclass
 class Grid:
-    """A grid search: mean held-out AUC of each C, every fit, and the one of the best C on all rows."""
+    """A grid search: mean held-out AUC of each C, every fit, and the one of the best C on all rows.
+
+    ``aucs`` holds (fold, C, AUC) of every fit that left a fold out."""
 
     means: dict[float, float]
     fits: list[Problem]
     scores: DataFrame
     best: Problem
     rounds: int
+    aucs: list[tuple[int, float, float | None]]
 
 
 def cv_grid(train: DataFrame, names: list[str], c_values=(0.01, 1.0, 100.0), folds: int = 5, label: str = "status", fold: str = "fold") -> Grid:
@@ -167,11 +172,12 @@ def cv_grid(train: DataFrame, names: list[str], c_values=(0.01, 1.0, 100.0), fol
 
     The best C has the highest mean AUC over the folds, the first of equals."""
     from .metrics import roc_auc
-    rows = cut_lineage(train.select(*[F.col(f"`{n}`") for n in names], F.col(label).alias("y"), F.col(fold).alias("fold")))
+    rows = through_files(train.select(*[F.col(f"`{n}`") for n in names], F.col(label).alias("y"), F.col(fold).alias("fold")), "grid-rows")
     problems = [Problem(f, float(c)) for f in range(folds) for c in c_values] + [Problem(None, float(c)) for c in c_values]
     fits, rounds = fit_all(rows, names, problems)
-    scores = cut_lineage(held_out_scores(rows, names, fits))
+    scores = through_files(held_out_scores(rows, names, fits), "grid-scores", ["fold", "C"])
     aucs = roc_auc(scores, ["fold", "C"]).collect()                      # one row a fold and C
     means = {float(c): float(np.mean([r["auc_roc"] for r in aucs if r["C"] == c and r["auc_roc"] is not None] or [np.nan])) for c in c_values}
     top = max(c_values, key=lambda c: (-np.inf if np.isnan(means[float(c)]) else means[float(c)]))
-    return Grid(means, fits, scores, next(p for p in fits if p.left_out is None and p.C == float(top)), rounds)
+    return Grid(means, fits, scores, next(p for p in fits if p.left_out is None and p.C == float(top)), rounds,
+                [(r["fold"], r["C"], r["auc_roc"]) for r in aucs])

@@ -10,7 +10,7 @@ from .. import config
 from ..functions.hashing import unit_hash, unit_hash_sql
 from ..operators import counterfactual as cf
 from ..operators import explain, features, metrics, models, newton, stages
-from ..session import checkpoint_dir, cut_lineage
+from ..session import checkpoint_dir, cut_lineage, through_files
 from ..sources import io
 from ..streaming import late, scoring
 from . import common
@@ -23,9 +23,9 @@ SCALED = config.SCALED_COLS
 
 
 def model_input(spark, sf):
-    """Prepared table plus the one-hot block (levels from the training rows), materialised once:
-    fits pass over it many times."""
-    enc = cut_lineage(features.prepared_encoded(common.raw(spark, sf), CAT, keep=["id", "dataset", "status", *SCALED]))
+    """Prepared table plus the one-hot block (levels from the training rows), written once as columns:
+    fits pass over it many times and the 0/1 columns take no room."""
+    enc = through_files(features.prepared_encoded(common.raw(spark, sf), CAT, keep=["id", "dataset", "status", *SCALED]), "model-input")
     names = [c for c in enc.columns if c not in ("id", "dataset", "status")]
     return enc, names
 
@@ -198,7 +198,8 @@ def cv_grid(spark, sf):
     told = spark.createDataFrame(told, "fold int, C double, auc double")
     flat = newton.largest_slopes(train, names, fits, label="status").select(F.col("left_out").alias("fold"), "C", (F.col("slope") < 1e-7).alias("stationary"))
     sizes = train.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("status").cast("long")).alias("positives"))
-    return metrics.roc_auc(grid.scores, ["fold", "C"]).join(told, ["fold", "C"]).join(flat, ["fold", "C"]).join(sizes, "fold").select(
+    own = spark.createDataFrame(grid.aucs, "fold int, C double, auc_roc double")       # a row a fold and C
+    return own.join(told, ["fold", "C"]).join(flat, ["fold", "C"]).join(sizes, "fold").select(
         "fold", "C", "n", "positives", "stationary", (F.abs(F.col("auc") - F.col("auc_roc")) < 1e-6).alias("auc_checked"))
 
 

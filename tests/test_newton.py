@@ -71,3 +71,27 @@ def test_separable_dependent_and_empty(spark):
     assert all(np.isfinite(p.weights).all() for p in fits) and [p.rows for p in fits] == [10, 5]
     none, _ = newton.fit_all(rows.limit(0), ["x"], [newton.Problem(None, 1.0)])
     assert none[0].rows == 0 and not none[0].weights.any()
+
+
+def test_slopes_copy_no_row_a_problem(spark, rows):
+    data = rows.select("*", F.col("status").alias("y"))
+    problems = [newton.Problem(f, c, np.array([0.5, -0.2, 0.1, 0.3, -0.4])) for f in (None, 0, 9) for c in (0.1, 10.0)]
+    found = newton.largest_slopes(data, NAMES, problems)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    local = data.toPandas()
+    x, y = np.column_stack([local[NAMES].to_numpy(float), np.ones(len(local))]), local["y"].to_numpy()
+    got = {r.problem: r for r in found.collect()}
+    for i, p in enumerate(problems):
+        used = np.ones(len(y), bool) if p.left_out is None else (local["fold"] != p.left_out).to_numpy()
+        g = ((1 / (1 + np.exp(-(x @ p.weights))) - y)[used, None] * x[used]).mean(0)
+        g[:-1] += p.coefficients / (p.C * used.sum())
+        assert got[i].slope == pytest.approx(np.abs(g).max(), abs=1e-12) and got[i].n == used.sum() and got[i].left_out == p.left_out
+    assert newton.largest_slopes(data.limit(0), NAMES, problems).collect() == []
+
+
+def test_scores_of_a_fold_and_c_are_read_alone(rows):
+    grid = newton.cv_grid(rows, NAMES, (0.01, 100.0), folds=3)
+    whole, one = grid.scores.inputFiles(), grid.scores.where((F.col("fold") == 1) & (F.col("C") == 0.01))
+    assert sorted(grid.aucs) == sorted((r["fold"], r["C"], r["auc_roc"]) for r in newton_aucs(grid))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(fold" in plan and len(whole) >= 6
