@@ -294,3 +294,13 @@ def test_prefix_scan_joins_on_partition_numbers_alone(spark):
         joins = [line for line in plan.splitlines() if "Join" in line]
         assert len(joins) == (n > 1) and all("_part" in line and "g#" not in line for line in joins)
     assert found[1] == found[7] == found[1024] and len(found[1]) == 30_000
+
+
+def test_one_file_is_dealt_over_the_cores(spark, sf_small):
+    from riskframe.sources import tables
+    cores = spark.sparkContext.defaultParallelism
+    raw = tables.raw_applications(spark, sf_small)
+    held = [n for n in raw.select("ID").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(held) >= cores and max(held) < 3 * sum(held) / len(held)
+    wide = spark.range(100, numPartitions=3 * cores)
+    assert tables.spread(wide, "id").rdd.getNumPartitions() == 3 * cores
