@@ -30,6 +30,8 @@ def application_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger:
     schema = spark.read.parquet(path).select(*tables.ORDER_COLS).schema
     orders = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(os.path.join(sf_dir, "orders[.]parquet")))
+    # a micro-batch of one file with a few row groups is dealt over the cores
+    orders = orders.repartition(2 * spark.sparkContext.defaultParallelism, "o_orderkey")
     customers = tables.table(spark, sf_dir, "customer", tables.CUSTOMER_COLS)
     return tables.applications_from(orders, customers)
 

@@ -304,3 +304,9 @@ def test_one_file_is_dealt_over_the_cores(spark, sf_small):
     assert len(held) >= cores and max(held) < 3 * sum(held) / len(held)
     wide = spark.range(100, numPartitions=3 * cores)
     assert tables.spread(wide, "id").rdd.getNumPartitions() == 3 * cores
+
+
+def test_a_micro_batch_of_one_file_is_dealt_over_the_cores(spark, sf_small):
+    from riskframe.streaming import scoring
+    plan = scoring.application_stream(spark, sf_small)._jdf.queryExecution().analyzed().toString()
+    assert f"RepartitionByExpression [o_orderkey" in plan
