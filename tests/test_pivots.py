@@ -83,3 +83,38 @@ def test_a_location_asks_only_leaves_within_its_bound(spark):
         out = next(ask(iter([mine]))).to_pylist()
         asked[n] = sum(len(r["q_locs"]) // 8 for r in out[1:]) / (leaf == 0).sum() / len(low)
     assert asked[4000] < 0.25
+
+
+def test_a_location_travels_once_to_a_block(spark):
+    """A block of several leaves is asked once by a location, whatever number of its leaves the bound reaches."""
+    import numpy as np
+    import pyarrow as pa
+    x = np.array([p for _, p in table(11, 3000, 4, (3, 4))])
+    nodes = pivots.grow(x, 60)
+    leaf = pivots.leaf_of(nodes, x)
+    boxes, n_blocks = leaf.max() + 1, 4
+    of = np.arange(boxes, dtype=np.int32) * n_blocks // boxes
+    low, high = (np.array([f(x[leaf == i], axis=0) for i in range(boxes)]) for f in (np.min, np.max))
+    low, high = np.hstack([low, np.zeros((boxes, 2))]), np.hstack([high, np.full((boxes, 2), 1e9)])
+    mine = np.nonzero(of[leaf] == 1)[0]
+    batch = pa.record_batch({"leaf": pa.array([1], pa.int32()), "part": [0], "parts": [1], "locs": [mine.astype("<i8").tobytes()], "at": [x[mine].tobytes()]})
+    out = next(pivots._ask(x[:50], x[:2], of, low, high, 6, x.shape[1])(iter([batch]))).to_pylist()[1:]
+    pairs = [(r["leaf"], q) for r in out for q in np.frombuffer(r["q_locs"], "<i8").tolist()]
+    assert len(pairs) == len(set(pairs)) and {b for b, _ in pairs} <= {0, 2, 3}
+    # who asks has a leaf there within its bound; who does not, has none
+    bound = np.sort(np.sqrt(((x[mine][:, None] - x[mine][None]) ** 2).sum(2)), axis=1)[:, 5]
+    for b in (0, 2, 3):
+        off = np.maximum(np.maximum(low[of == b, None, :-2] - x[mine], x[mine] - high[of == b, None, :-2]), 0)
+        assert {q for to, q in pairs if to == b} == set(mine[(np.sqrt((off ** 2).sum(2)) <= bound * (1 + 1e-8)).any(axis=0)].tolist())
+
+
+def test_large_leaves_are_dealt_over_blocks():
+    import numpy as np
+    assert pivots.into_blocks(np.array([3, 4, 5, 25, 2, 9]), 10) == [[0], [0], [1], [2, 3, 4], [5], [6]]
+
+
+def test_many_askers_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "CHUNK", 20)
+    monkeypatch.setattr(pivots, "PACK", 7)
+    points = table(5, 400, 6, (4, 3))
+    assert got(spark, points, 5, sample=40, n_pivots=3, block=25) == brute(points, 5)
