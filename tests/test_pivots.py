@@ -118,3 +118,19 @@ def test_many_askers_are_dealt_over_tasks(spark, monkeypatch):
     monkeypatch.setattr(pivots, "PACK", 7)
     points = table(5, 400, 6, (4, 3))
     assert got(spark, points, 5, sample=40, n_pivots=3, block=25) == brute(points, 5)
+
+
+def test_passes_do_not_follow_the_scales_of_the_data(spark):
+    """Points whose gaps double from one to the next take no more jobs than points of one scale."""
+    jobs = {}
+    for name, gap in (("even", 1.0), ("doubling", 1.5)):
+        points = [(i, (gap ** i if gap > 1 else float(i), float(i % 3))) for i in range(48)]
+        df = spark.createDataFrame([(i, *x) for i, x in points], "id long, a double, b double")
+        spark.sparkContext.setJobGroup(f"knn-{name}", name)
+        try:
+            out = sorted((r.id, r["rank"], r.neighbor_id, round(r.distance, 9)) for r in neighbors.knn(df, ["a", "b"], 3, max_cell=20).collect())
+        finally:
+            spark.sparkContext._jsc.clearJobGroup()
+        assert out == brute(points, 3)
+        jobs[name] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"knn-{name}"))
+    assert 0 < jobs["doubling"] <= jobs["even"] + 5
